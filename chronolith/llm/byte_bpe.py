@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from chronolith.llm.exchange import bucket_count, corpus_bytes, exchange, in_buckets, into_chunks
+from chronolith.llm.exchange import Keys, bucket_count, corpus_bytes, exchange, into_chunks
 from chronolith.llm.text import pretokens
 from chronolith.session import prepare
 
@@ -86,10 +86,10 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, with_ids: bool = Fa
     ranks: Broadcast = spark.sparkContext.broadcast(ranks_file)
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def keys_of(chunk: pa.Table) -> tuple[pa.Array, dict]:
-        return chunk_words(chunk)[0], {}
+    def keys_of(chunk: pa.Table) -> list[Keys]:
+        return [Keys.of_bytes(chunk_words(chunk)[0])]
 
-    def answer(parts: list[pa.Table]) -> list[pa.Table]:
+    def answer(kind: int, parts: list[pa.Table]) -> list[pa.Table]:
         known, encode_word, _ = _encoder(ranks.value, pattern)
         seen: dict[bytes, list[int]] = {}
         out = []
@@ -106,16 +106,11 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, with_ids: bool = Fa
             out.append(pa.table({"ids": pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), flat)}))
         return out
 
-    def finish(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+    def finish(chunk: pa.Table, answers: list[list[pa.Table]]) -> pa.Table:
         table = _encoder(ranks.value, pattern)[2]
-        keys, codes, first = chunk_words(chunk)
-        order, _ = in_buckets(keys, buckets)
-        place = np.empty(len(keys), np.int64)
-        place[order] = np.arange(len(keys))
-        if len(keys):
-            ids = answers.column("ids").combine_chunks().take(pa.array(place))
-        else:
-            ids = pa.array([], pa.list_(pa.int32()))
+        words, codes, first = chunk_words(chunk)
+        place = Keys.of_bytes(words).restore(np.arange(len(words)), buckets)
+        ids = pa.concat_arrays([c for t in answers[0] for c in t.column("ids").chunks]).take(pa.array(place))
         sizes = np.diff(ids.offsets.to_numpy())
         flat = ids.flatten()
         decimal = _joined(pc.binary_join_element_wise(flat.cast(pa.string()), "", " "), sizes)

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm.text import hash_array
@@ -44,58 +45,80 @@ def corpus_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
 
 
-def into_chunks(docs: DataFrame, total: int) -> DataFrame:
-    """``(chunk, doc_id, text)``: documents dealt evenly by a hash of id and text."""
+def into_chunks(docs: DataFrame, total: int, *columns: Column) -> DataFrame:
+    """``(chunk, doc_id, text, ...)``: documents dealt evenly by a hash of id and text."""
     low, high = CHUNK_BYTES
     n = max(1, math.ceil(total / min(high, max(low, total // 64))))
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk")
-    return docs.select(chunk, "doc_id", "text")
+    return docs.select(chunk, "doc_id", "text", *columns)
 
 
 def bucket_count(total: int) -> int:
     return max(4, math.ceil(total / BUCKET_BYTES))
 
 
-def in_buckets(keys: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order that sorts ``keys`` by bucket, then bytes; and where each bucket begins in it."""
-    home = (hash_array(keys) % np.uint64(buckets)).astype(np.int32) if len(keys) else np.zeros(0, np.int32)
-    table = pa.table({"home": home, "key": keys})
-    order = pc.sort_indices(table, [("home", "ascending"), ("key", "ascending")]).to_numpy()
-    return order, np.searchsorted(home[order], np.arange(buckets + 1))
+@dataclass
+class Keys:
+    """Distinct keys of a chunk, columns that go with them, and a hash that chooses each key's bucket."""
+
+    keys: pa.Array
+    home: np.ndarray
+    columns: dict = field(default_factory=dict)
+
+    @classmethod
+    def of_bytes(cls, keys: pa.Array, columns: dict | None = None) -> Keys:
+        return cls(keys, hash_array(keys) if len(keys) else np.zeros(0, np.uint64), columns or {})
+
+    def order(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The order that sorts the keys by bucket, then value; and where each bucket begins in it."""
+        home = (self.home % np.uint64(buckets)).astype(np.int32)
+        order = pc.sort_indices(pa.table({"home": home, "key": self.keys}), [("home", "ascending"), ("key", "ascending")]).to_numpy()
+        return order, np.searchsorted(home[order], np.arange(buckets + 1))
+
+    def restore(self, answers: np.ndarray, buckets: int) -> np.ndarray:
+        """Answers in the order of ``keys``, from answers in bucket order."""
+        order, _ = self.order(buckets)
+        out = np.empty(len(order), answers.dtype)
+        out[order] = answers
+        return out
 
 
 def exchange(
     chunks: DataFrame,
     buckets: int,
-    keys_of: Callable[[pa.Table], tuple[pa.Array, dict]],
-    answer: Callable[[list[pa.Table]], list[pa.Table]],
-    finish: Callable[[pa.Table, pa.Table], pa.Table],
+    keys_of: Callable[[pa.Table], list[Keys]],
+    answer: Callable[[int, list[pa.Table]], list[pa.Table]],
+    finish: Callable[[pa.Table, list[list[pa.Table]]], pa.Table],
     schema: str,
 ) -> DataFrame:
-    """Run the exchange over ``chunks``.
+    """Run the exchange over ``chunks``, for one or more kinds of keys at once.
 
-    ``keys_of(chunk)`` gives the chunk's distinct keys (a large binary array without empty values) and columns that
-    go with them; ``answer(parts)`` gets for one bucket every chunk's ``(key, ...)`` table and returns a table of
-    answers for each, row for row; ``finish(chunk, answers)`` gets the answers in the order of ``in_buckets`` of the
-    chunk's keys and returns the result's rows.
+    ``keys_of(chunk)`` gives the chunk's distinct keys of each kind; ``answer(kind, parts)`` gets, for one bucket,
+    every chunk's ``(key, ...)`` table and returns a table of answers for each, row for row; every bucket answers
+    every chunk, if only with an empty table, so that metadata of the answers' schemas reaches all chunks.
+    ``finish(chunk, answers)`` gets each kind's tables, bucket by bucket, in the order of ``Keys.order`` and returns the result's rows.
     """
 
     def send(key: tuple, chunk: pa.Table) -> pa.Table:
-        keys, columns = keys_of(chunk)
-        order, begin = in_buckets(keys, buckets)
-        table = pa.table({"key": keys, **columns}).take(order)
-        blobs = [pack(table.slice(begin[b], begin[b + 1] - begin[b])) if begin[b + 1] > begin[b] else None for b in range(buckets)]
-        full = [b for b in range(buckets) if blobs[b] is not None]
-        return pa.table({"chunk": pa.array([key[0].as_py()] * len(full), pa.int32()), "bucket": pa.array(full, pa.int32()), "part": pa.array([blobs[b] for b in full], pa.binary())})
+        homes, parts = [], []
+        for kind, found in enumerate(keys_of(chunk)):
+            order, begin = found.order(buckets)
+            table = pa.table({"key": found.keys, **found.columns}).take(order)
+            for b in range(buckets):
+                homes.append(kind * buckets + b)
+                parts.append(pack(table.slice(begin[b], begin[b + 1] - begin[b])))
+        return pa.table({"chunk": pa.array([key[0].as_py()] * len(homes), pa.int32()), "bucket": pa.array(homes, pa.int32()), "part": pa.array(parts, pa.binary())})
 
     def reply(key: tuple, parts: pa.Table) -> pa.Table:
-        answers = answer([unpack(b) for b in parts.column("part").to_pylist()])
+        answers = answer(key[0].as_py() // buckets, [unpack(b) for b in parts.column("part").to_pylist()])
         return pa.table({"chunk": parts.column("chunk"), "bucket": parts.column("bucket"), "answers": pa.array([pack(a) for a in answers], pa.binary())})
 
     def close(chunk: pa.Table, replies: pa.Table) -> pa.Table:
-        order = pc.sort_indices(replies, [("bucket", "ascending")])
-        blobs = replies.column("answers").take(order).to_pylist()
-        return finish(chunk, pa.concat_tables([unpack(b) for b in blobs]) if blobs else pa.table({}))
+        found = sorted(zip(replies.column("bucket").to_pylist(), replies.column("answers").to_pylist(), strict=True))
+        kinds: dict[int, list[pa.Table]] = {}
+        for bucket, blob in found:
+            kinds.setdefault(bucket // buckets, []).append(unpack(blob))
+        return finish(chunk, [tables for _, tables in sorted(kinds.items())])
 
     sent = chunks.groupBy("chunk").applyInArrow(send, "chunk int, bucket int, part binary")
     replied = sent.groupBy("bucket").applyInArrow(reply, "chunk int, bucket int, answers binary")

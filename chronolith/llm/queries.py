@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(modulus: int) -> Column:
+    """crc32 of the id's text, modulo ``modulus``: the contracts' folds."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PPM and word-unigram scores of every whole text of ``documents``."""
+    from chronolith.llm.ppm import score
+
+    return score(table(spark, sf_dir, "documents"), remainder(5) == 1)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every whole text of ``documents``."""
     import public_tokenizers
@@ -21,7 +34,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_byte_bpe": op7_byte_bpe}
+    return {"op1_ppm": op1_ppm, "op7_byte_bpe": op7_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
