@@ -24,6 +24,20 @@ def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), remainder(5) == 1)
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every whole text of ``documents``."""
+    from chronolith.llm.decontaminate import report
+
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash components of every whole text of ``documents``."""
+    from chronolith.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every whole text of ``documents``."""
     import public_tokenizers
@@ -34,7 +48,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ppm": op1_ppm, "op7_byte_bpe": op7_byte_bpe}
+    return {"op1_ppm": op1_ppm, "op2_winnowing": op2_winnowing, "op3_simhash": op3_simhash, "op7_byte_bpe": op7_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
