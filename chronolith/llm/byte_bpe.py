@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from chronolith.llm.exchange import Keys, bucket_count, corpus_bytes, exchange, into_chunks
+from chronolith.llm.exchange import Keys, bucket_count, corpus_bytes, exchange, into_chunks, narrow
 from chronolith.llm.text import pretokens
 from chronolith.session import prepare
 
@@ -103,14 +103,17 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, with_ids: bool = Fa
                 ids.append(got)
             sizes = np.fromiter(map(len, ids), np.int32, len(ids))
             flat = np.fromiter((i for word in ids for i in word), np.int32, int(sizes.sum()))
-            out.append(pa.table({"ids": pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), flat)}))
+            # One row of two lists: sizes and ids compress far better than a list's offsets do.
+            out.append(pa.table({"sizes": pa.array([narrow(sizes)]), "ids": pa.array([narrow(flat)])}))
         return out
 
     def finish(chunk: pa.Table, answers: list[list[pa.Table]]) -> pa.Table:
         table = _encoder(ranks.value, pattern)[2]
         words, codes, first = chunk_words(chunk)
         place = Keys.of_bytes(words).restore(np.arange(len(words)), buckets)
-        ids = pa.concat_arrays([c for t in answers[0] for c in t.column("ids").chunks]).take(pa.array(place))
+        sizes, flat = (np.concatenate([t.column(c)[0].values.to_numpy() for t in answers[0]]).astype(np.int32) for c in ("sizes", "ids"))
+        ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+        ids = pa.ListArray.from_arrays(ends, flat).take(pa.array(place))
         sizes = np.diff(ids.offsets.to_numpy())
         flat = ids.flatten()
         decimal = _joined(pc.binary_join_element_wise(flat.cast(pa.string()), "", " "), sizes)

@@ -25,7 +25,7 @@ from chronolith.llm.text import hash_array
 CHUNK_BYTES = (4 << 20, 32 << 20)
 BUCKET_BYTES = 16 << 20
 
-_IPC = pa.ipc.IpcWriteOptions(compression="zstd")
+_IPC = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
 
 
 def pack(table: pa.Table) -> bytes:
@@ -36,6 +36,11 @@ def pack(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Non-negative integers in the smallest unsigned type that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0))
+
+
 def unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(blob)).read_all()
 
