@@ -4,19 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolith.llm.sampling import remainder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def remainder(modulus: int) -> Column:
-    """crc32 of the id's text, modulo ``modulus``: the contracts' folds."""
-    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
-
-
 def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PPM and word-unigram scores of every whole text of ``documents``."""
     from chronolith.llm.ppm import score
@@ -38,6 +35,24 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text of ``documents``, learned from the labels outside fold 2 of 4."""
+    from chronolith.llm.quality import classify, learn
+
+    docs, held_out = table(spark, sf_dir, "documents"), remainder(4) == 2
+    found = classify(docs, learn(docs, table(spark, sf_dir, "labels").where(~held_out)))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "score", "predicted").select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op8_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text of ``documents``, learned from documents outside fold 2 of 4."""
+    from chronolith.llm.language import identify, learn
+
+    docs, held_out = table(spark, sf_dir, "documents"), remainder(4) == 2
+    found = identify(docs, learn(docs, ~held_out))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every whole text of ``documents``."""
     import public_tokenizers
@@ -48,7 +63,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ppm": op1_ppm, "op2_winnowing": op2_winnowing, "op3_simhash": op3_simhash, "op7_byte_bpe": op7_byte_bpe}
+    return {"op1_ppm": op1_ppm, "op2_winnowing": op2_winnowing, "op3_simhash": op3_simhash, "op5_mil_quality": op5_mil_quality, "op7_byte_bpe": op7_byte_bpe, "op8_language_crf": op8_language_crf}
 
 
 def oracle_sql() -> dict[str, str]:
