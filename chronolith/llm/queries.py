@@ -62,8 +62,15 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
 
 
+def op10_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit-embedding fingerprints of every whole text of ``documents`` and of its edited version."""
+    from chronolith.llm.edit_embedding import with_next
+
+    return with_next(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ppm": op1_ppm, "op2_winnowing": op2_winnowing, "op3_simhash": op3_simhash, "op5_mil_quality": op5_mil_quality, "op7_byte_bpe": op7_byte_bpe, "op8_language_crf": op8_language_crf}
+    return {"op1_ppm": op1_ppm, "op2_winnowing": op2_winnowing, "op3_simhash": op3_simhash, "op5_mil_quality": op5_mil_quality, "op7_byte_bpe": op7_byte_bpe, "op8_language_crf": op8_language_crf, "op10_edit_embedding": op10_edit_embedding}
 
 
 def oracle_sql() -> dict[str, str]:
