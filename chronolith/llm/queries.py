@@ -35,6 +35,16 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of every whole text of ``documents``."""
+    import public_tokenizers
+
+    from chronolith.llm.byte_bpe import load_ranks
+    from chronolith.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
 def op5_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every whole text of ``documents``, learned from the labels outside fold 2 of 4."""
     from chronolith.llm.quality import classify, learn
@@ -53,6 +63,22 @@ def op8_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+#: A conversation whose texts hold another template's control strings, added to the table.
+PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op6_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all formatted conversations and of the probe."""
+    import public_tokenizers
+
+    from chronolith.llm.chat import digests
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        definition = file.read()
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return digests(rows.unionByName(spark.createDataFrame(PROBE, rows.schema)), definition)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every whole text of ``documents``."""
     import public_tokenizers
@@ -70,7 +96,7 @@ def op10_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ppm": op1_ppm, "op2_winnowing": op2_winnowing, "op3_simhash": op3_simhash, "op5_mil_quality": op5_mil_quality, "op7_byte_bpe": op7_byte_bpe, "op8_language_crf": op8_language_crf, "op10_edit_embedding": op10_edit_embedding}
+    return {"op1_ppm": op1_ppm, "op2_winnowing": op2_winnowing, "op3_simhash": op3_simhash, "op4_token_counts": op4_token_counts, "op5_mil_quality": op5_mil_quality, "op6_chat_masks": op6_chat_masks, "op7_byte_bpe": op7_byte_bpe, "op8_language_crf": op8_language_crf, "op10_edit_embedding": op10_edit_embedding}
 
 
 def oracle_sql() -> dict[str, str]:
