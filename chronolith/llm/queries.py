@@ -88,6 +88,13 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every whole page of ``pages``."""
+    from chronolith.llm.main_text import extract, model
+
+    return extract(table(spark, sf_dir, "pages"), *model())
+
+
 def op10_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edit-embedding fingerprints of every whole text of ``documents`` and of its edited version."""
     from chronolith.llm.edit_embedding import with_next
@@ -96,7 +103,7 @@ def op10_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ppm": op1_ppm, "op2_winnowing": op2_winnowing, "op3_simhash": op3_simhash, "op4_token_counts": op4_token_counts, "op5_mil_quality": op5_mil_quality, "op6_chat_masks": op6_chat_masks, "op7_byte_bpe": op7_byte_bpe, "op8_language_crf": op8_language_crf, "op10_edit_embedding": op10_edit_embedding}
+    return {"op1_ppm": op1_ppm, "op2_winnowing": op2_winnowing, "op3_simhash": op3_simhash, "op4_token_counts": op4_token_counts, "op5_mil_quality": op5_mil_quality, "op6_chat_masks": op6_chat_masks, "op7_byte_bpe": op7_byte_bpe, "op8_language_crf": op8_language_crf, "op9_main_text": op9_main_text, "op10_edit_embedding": op10_edit_embedding}
 
 
 def oracle_sql() -> dict[str, str]:
