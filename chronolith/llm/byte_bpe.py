@@ -119,7 +119,7 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, with_ids: bool = Fa
         decimal = _joined(pc.binary_join_element_wise(flat.cast(pa.string()), "", " "), sizes)
         decoded = _joined(table.take(flat), sizes)
         n_docs = chunk.num_rows
-        counts, id_hash, text_hash, id_lists, texts = np.zeros(n_docs, np.int64), [], [], [], []
+        counts, id_hash, text_hash, texts = np.zeros(n_docs, np.int64), [], [], []
         for k in range(n_docs):
             own = codes[first[k] : first[k + 1]]
             counts[k] = sizes[own].sum()
@@ -127,12 +127,11 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, with_ids: bool = Fa
             body = _body(decoded, own)
             text_hash.append(hashlib.sha256(body).hexdigest())
             if with_ids:
-                id_lists.append(ids.take(pa.array(own)).flatten())
                 texts.append(bytes(body))
-        columns = {"doc_id": chunk.column("doc_id"), "n_tokens": counts, "ids_sha256": id_hash, "decoded_sha256": pa.array(text_hash, pa.string())}
-        columns["ids_sha256"] = pa.array(id_hash, pa.string())
+        columns = {"doc_id": chunk.column("doc_id"), "n_tokens": counts, "ids_sha256": pa.array(id_hash, pa.string()), "decoded_sha256": pa.array(text_hash, pa.string())}
         if with_ids:
-            columns |= {"ids": pa.array([x.to_pylist() for x in id_lists], pa.list_(pa.int32())), "decoded": pa.array(texts, pa.binary())}
+            ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+            columns |= {"ids": pa.ListArray.from_arrays(ends, ids.take(pa.array(codes)).flatten()), "decoded": pa.array(texts, pa.binary())}
         return pa.table(columns)
 
     schema = f"doc_id {doc_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids

@@ -31,7 +31,7 @@ from chronolith.llm.text import SPACED, hash_spans, raw_texts, words
 from chronolith.session import prepare
 
 PASSAGE_WORDS = 64
-SAMPLE, BAG = 3000, 16
+SAMPLE, BAG = 2000, 8
 HIDDEN = 24
 THRESHOLD = 0.7
 CLASSES = 16
@@ -121,18 +121,19 @@ class Attention:
         return 1 / (1 + np.exp(-np.clip(self.forward(features, first)["logit"], -60, 60)))
 
 
-def train(features: np.ndarray, first: np.ndarray, labels: np.ndarray, rounds: int = 300, rate: float = 0.02) -> Attention | None:
+def train(features: np.ndarray, first: np.ndarray, labels: np.ndarray, rounds: int = 150, rate: float = 0.03) -> Attention | None:
     """Fit by Adam on the documents' log loss."""
     if not len(labels):
         return None
     random = np.random.default_rng(5)
     shape = {"encode": (FEATURES, HIDDEN), "encode_bias": (HIDDEN,), "gate": (HIDDEN, HIDDEN), "value": (HIDDEN, HIDDEN), "attend": (HIDDEN,), "score": (HIDDEN,), "score_bias": ()}
     params = {k: random.normal(0, 0.1, s) if len(s) and "bias" not in k else np.zeros(s) for k, s in shape.items()}
-    model = Attention(features.mean(0), features.std(0) + 1e-2, params)
+    params = {k: np.asarray(v, np.float32) for k, v in params.items()}
+    model = Attention(features.mean(0), features.std(0) + np.float32(1e-2), params)
     m, v = ({k: np.zeros(s) for k, s in shape.items()} for _ in range(2))
     for t in range(1, rounds + 1):
         f, p = model.forward(features, first), model.params
-        d_logit = (1 / (1 + np.exp(-np.clip(f["logit"], -60, 60))) - labels) / len(labels)
+        d_logit = ((1 / (1 + np.exp(-np.clip(f["logit"], -60, 60))) - labels) / len(labels)).astype(np.float32)
         g = {"score": f["bag"].T @ d_logit, "score_bias": d_logit.sum()}
         d_bag = d_logit[:, None] * p["score"]
         d_weight = (f["h"] * d_bag[f["owner"]]).sum(1)
@@ -151,7 +152,7 @@ def train(features: np.ndarray, first: np.ndarray, labels: np.ndarray, rounds: i
             grad = g[k] + (1e-3 * p[k] if "bias" not in k else 0)
             m[k] = 0.9 * m[k] + 0.1 * grad
             v[k] = 0.999 * v[k] + 0.001 * grad**2
-            p[k] = p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+            p[k] = np.asarray(p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8), np.float32)
     return model
 
 
