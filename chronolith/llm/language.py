@@ -34,7 +34,7 @@ SAMPLE, SEGMENTS, SEGMENT_WORDS = 4000, 4, 40
 FEATURES = 1 << 16
 UNDETERMINED = "und"
 #: Documents whose winning language has a mean marginal under this are rejected.
-REJECT = 0.5
+REJECT = 0.3
 
 
 @lru_cache(1)
