@@ -24,6 +24,7 @@ def prepare(spark: SparkSession) -> SparkSession:
         _shipped.add(context.applicationId)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
