@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from chronolith.functions.values import dataset_fingerprint
 
-SCHEMA = T.StructType.fromDDL("stage string, version string, as_of timestamp, fingerprint string, path string, n_rows long, finished_at timestamp")
+_TYPES = {"stage": T.StringType(), "version": T.StringType(), "as_of": T.TimestampType(), "fingerprint": T.StringType(), "path": T.StringType(), "n_rows": T.LongType(), "finished_at": T.TimestampType()}
+SCHEMA = T.StructType([T.StructField(name, kind) for name, kind in _TYPES.items()])
 
 
 def fingerprint(configuration: dict, *inputs: DataFrame) -> str:
