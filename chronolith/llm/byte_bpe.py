@@ -67,10 +67,7 @@ def chunk_words(chunk: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         at, done = cut, done + len(tokens)
     if at < len(texts):
         first.append(np.full(len(texts) - at, done, np.int64))
-    coded = pa.chunked_array(pieces, pa.large_binary()).dictionary_encode().combine_chunks()
-    coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) and coded.num_chunks else coded
-    if not len(coded):
-        return pa.array([], pa.large_binary()), np.zeros(0, np.int32), np.concatenate(first)
+    coded = pa.concat_arrays([pa.array([], pa.large_binary()), *pieces]).dictionary_encode()
     return coded.dictionary, coded.indices.to_numpy(), np.concatenate(first)
 
 

@@ -136,10 +136,10 @@ def _feature(name: str) -> int:
 
 
 @lru_cache(1 << 16)
-def _mark_features(tag: str, mark: str) -> tuple[int, ...]:
-    """Features of a tag and of the words of its class, id and role."""
+def _mark_features(tag: str, above: str, mark: str) -> tuple[int, ...]:
+    """Features of a tag, of it below its parent's, and of the words of its class, id and role."""
     words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", mark).lower())
-    return tuple(dict.fromkeys([_feature(f"tag {tag}"), *(_feature(f"word {w}") for w in words)]))
+    return tuple(dict.fromkeys([_feature(f"tag {tag}"), _feature(f"tag {above} {tag}"), *(_feature(f"word {w}") for w in words)]))
 
 
 class Forest:
@@ -184,7 +184,7 @@ class Forest:
         size_id, word_id, link_id = (np.array([[_feature(f"{n} {kind} {k}") for k in range(14)] for kind in ("text", "element")]) for n in ("size", "words", "links"))
         kind = (~self.is_text).astype(int)
         shaped = np.stack((size_id[kind, size_bin], word_id[kind, word_bin], link_id[kind, link_bin]), 1)
-        marks = [_mark_features(tag, mark) for t in trees for tag, mark in zip(t.tags, t.marks, strict=True)]
+        marks = [_mark_features(tag, t.tags[above], mark) for t in trees for tag, above, mark in zip(t.tags, t.parents, t.marks, strict=True)]
         counts = np.fromiter(map(len, marks), np.int64, len(marks)) + 3
         self.node = np.repeat(np.arange(len(marks)), counts)
         ends = np.cumsum(counts)
@@ -222,10 +222,10 @@ class Forest:
         return np.exp(full[:, 1]), joint
 
 
-def train(pages: list[tuple[str, list[bool]]], rounds: int = 120, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+def train(pages: list[tuple[str, list[bool]]], rounds: int = 200, rate: float = 0.08) -> tuple[np.ndarray, np.ndarray]:
     """Weights and edge potentials from pages whose runs of text are labelled, in page order.
 
-    An element is content if all of the text below it is.
+    An element is content if most of the text below it is; the page itself, and what holds it whole, never is.
     """
     trees = [parse(html) for html, _ in pages]
     forest = Forest(trees)
@@ -236,11 +236,13 @@ def train(pages: list[tuple[str, list[bool]]], rounds: int = 120, rate: float =
             raise ValueError(f"page {k} has {len(at)} runs of text and {len(marked)} labels")
         label[forest.first[k] + np.array(at, int)] = marked
     texts = np.array([bool(x.strip()) for t in trees for x in t.texts])
-    full, good = texts.astype(float), (texts & label).astype(float)
+    size = np.array([len(x.strip()) for t in trees for x in t.texts], float)
+    full, good = size.copy(), size * label
     for level in reversed(forest.levels[1:]):
         full += np.bincount(forest.parent[level], full[level], len(full))
         good += np.bincount(forest.parent[level], good[level], len(good))
-    label = (full > 0) & (good == full)
+    whole = np.array([tag in ("#page", "html", "body") for t in trees for tag in t.tags], bool)
+    label = np.where(forest.is_text, label, (full > 0) & (good >= full / 2) & ~whole)
     blank = forest.is_text & ~texts  # white space has its parent's label
     label[blank] = label[forest.parent[blank]]
     weights, edges = np.zeros(FEATURES), np.zeros((2, 2, 2))
@@ -248,15 +250,16 @@ def train(pages: list[tuple[str, list[bool]]], rounds: int = 120, rate: float =
     kind, inner = forest.is_text.astype(int), ~forest.root
     seen = np.zeros_like(edges)
     np.add.at(seen, (kind[inner], label[forest.parent[inner]].astype(int), label[inner].astype(int)), 1)
-    for _ in range(rounds):
+    mean, mean_e = np.zeros_like(weights), np.zeros_like(edges)
+    for t in range(1, rounds + 1):
         belief, joint = forest.marginals(weights, edges)
-        gradient = np.bincount(forest.feature, (label - belief)[forest.node], FEATURES) / len(pages) - 2e-3 * weights
+        gradient = np.bincount(forest.feature, (label - belief)[forest.node], FEATURES) / len(pages) - 3e-5 * weights
         expected = np.stack([joint[inner & (kind == k)].sum(0) for k in (0, 1)])
-        step = (seen - expected) / len(pages) - 2e-3 * edges
-        square += gradient**2
-        square_e += step**2
-        weights += rate * gradient / (np.sqrt(square) + 1e-8)
-        edges += rate * step / (np.sqrt(square_e) + 1e-8)
+        step = (seen - expected) / len(pages) - 3e-5 * edges
+        for value, slope, first, second in ((weights, gradient, mean, square), (edges, step, mean_e, square_e)):
+            first += 0.1 * (slope - first)
+            second += 0.001 * (slope**2 - second)
+            value += rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
     return weights, edges
 
 
@@ -438,6 +441,11 @@ def _article(w: _Writer) -> None:
     else:
         start, end = _element(w, w.chance.choice(["div", "section"]), w.chance.choice(["content", "article", "post", "entry-content", "post-content", "article-body", "main-content", "story-body", "text"]))
     w.raw(start)
+    if w.chance.random() < 0.12:  # hardly any text
+        w.raw("<p>")
+        w.text(w.words(1, 4), True)
+        w.raw("</p>" + end)
+        return
     if w.chance.random() < 0.75:
         h = w.chance.choice(["h1", "h1", "h2"])
         w.raw(f"<{h}>")
@@ -497,6 +505,10 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = 20) -> list[tuple[st
     for number in range(count):
         w = _Writer(random.Random(seed * 100_003 + number))
         chance = w.chance
+        if chance.random() < 0.2:  # a fragment without a head
+            _article(w)
+            pages.append(("".join(w.out), w.labels))
+            continue
         w.raw('<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>')
         w.text(w.words(2, 12), False)
         w.raw("</title>" + chance.choice(["", "<style>p{margin:0}</style>", '<script>var t="</p>";</script>']) + "</head><body>")

@@ -216,7 +216,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
             owners.append(np.repeat(np.arange(low, high), found.per_document))
         pieces.append(pa.array([END_TOKEN] * len(texts), pa.large_binary()))
         owners.append(np.arange(len(texts)))
-        coded = pa.chunked_array(pieces, pa.large_binary()).combine_chunks().dictionary_encode()
+        coded = pa.concat_arrays(pieces).dictionary_encode()
         return coded.dictionary, coded.indices.to_numpy(), np.concatenate(owners)
 
     def gram_keys(texts: list[bytes], training: np.ndarray) -> Keys:

@@ -132,7 +132,7 @@ def count_tokens(docs: DataFrame, ranks_file: bytes) -> DataFrame:
                 "doc_id": chunk.column("doc_id"),
                 "n_pretokens": own.astype(np.int64),
                 "n_tokens": np.bincount(owner, count[codes], len(own)).astype(np.int64),
-                "score": np.bincount(owner, score[codes], len(own)),
+                "score": np.bincount(owner, score[codes], len(own)).astype(float),
             }
         )
 
