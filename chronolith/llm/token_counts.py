@@ -8,6 +8,8 @@ Documents then sum their pre-tokens' counts and scores.
 A piece's probability follows its rank in the vocabulary (Zipf's law): log p = -log(rank + 1) - log H, with H the
 harmonic number of the vocabulary's size. Of equally good segmentations the one with the longer last piece counts.
 
+Scores of words travel in single precision and are summed in double.
+
 Edge cases: a null or empty text has no tokens and score 0; repeated rows give a row each; an empty table gives no
 rows; other columns are ignored.
 """
@@ -119,7 +121,7 @@ def count_tokens(docs: DataFrame, ranks_file: bytes) -> DataFrame:
             order = pc.sort_indices(coded.dictionary).to_numpy()
             count, score = np.zeros(len(order), np.int64), np.zeros(len(order))
             count[order], score[order] = segment(coded.dictionary.take(order), _table(ranks.value))
-        return [pa.table({"count": pa.array([narrow(count[place[a:b]])]), "score": pa.array([score[place[a:b]]])}) for a, b in zip(sizes[:-1], sizes[1:], strict=True)]
+        return [pa.table({"count": pa.array([narrow(count[place[a:b]])]), "score": pa.array([score[place[a:b]].astype(np.float32)])}) for a, b in zip(sizes[:-1], sizes[1:], strict=True)]
 
     def finish(chunk: pa.Table, answers: list[list[pa.Table]]) -> pa.Table:
         words, codes, first = chunk_words(chunk)
@@ -132,7 +134,7 @@ def count_tokens(docs: DataFrame, ranks_file: bytes) -> DataFrame:
                 "doc_id": chunk.column("doc_id"),
                 "n_pretokens": own.astype(np.int64),
                 "n_tokens": np.bincount(owner, count[codes], len(own)).astype(np.int64),
-                "score": np.bincount(owner, score[codes], len(own)).astype(float),
+                "score": np.bincount(owner, score[codes].astype(float), len(own)).astype(float),
             }
         )
 
