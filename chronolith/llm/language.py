@@ -29,7 +29,7 @@ from chronolith.llm.sampling import sampled_ids, with_texts
 from chronolith.llm.text import _classes, mix
 from chronolith.session import prepare
 
-SAMPLE, SEGMENTS, SEGMENT_WORDS = 4000, 4, 40
+SAMPLE, SEGMENTS, SEGMENT_WORDS = 1500, 4, 32
 #: Hashed features.
 FEATURES = 1 << 16
 UNDETERMINED = "und"
@@ -178,7 +178,7 @@ def marginals(scores: np.ndarray, first: np.ndarray, transitions: np.ndarray, co
     return both / both.sum(1, keepdims=True), expected
 
 
-def train(segments: list[tuple[str, str]], rounds: int = 40, rate: float = 0.5) -> Crf | None:
+def train(segments: list[tuple[str, str]], rounds: int = 30, rate: float = 0.5) -> Crf | None:
     """Fit the field to ``(language, segment)`` pairs by gradient ascent on the sequences' log likelihood."""
     labels = sorted({label for label, _ in segments})
     if not labels:
@@ -212,8 +212,7 @@ def train(segments: list[tuple[str, str]], rounds: int = 40, rate: float = 0.5)
         scores = (np.add.reduceat(model.weights[feature], begins, axis=0) / scale).astype(np.float32)
         belief, expected = marginals(scores[form[rows]], first, model.transitions, count=True)
         of_form = np.stack([np.bincount(form[rows], (truth - belief)[:, k], len(first_form)) for k in range(len(labels))], 1) / scale
-        spread = np.repeat(of_form, repeat, axis=0)
-        gradient = np.stack([np.bincount(feature, spread[:, k], FEATURES) for k in range(len(labels))], 1) / len(rows) - 1e-6 * model.weights
+        gradient = np.stack([np.bincount(feature, np.repeat(of_form[:, k], repeat), FEATURES) for k in range(len(labels))], 1) / len(rows) - 1e-6 * model.weights
         square += gradient**2
         model.weights += (rate * gradient / (np.sqrt(square) + 1e-8)).astype(np.float32)
         step = (seen - expected) / max(1, len(at)) - 1e-4 * model.transitions
