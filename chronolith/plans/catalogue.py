@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chronolith.functions import text as X
 from chronolith.functions import values as V
-from chronolith.operators import expectations, lifecycle, linkage, pit, places, readiness, rules, snapshot
+from chronolith.operators import evidence, expectations, governance, lifecycle, linkage, pit, places, readiness, rules, snapshot
 from chronolith.operators.components import components
 from chronolith.session import prepare
 
@@ -523,6 +523,99 @@ def grid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.grid(rows, 5.0).select("latitude_cell", "longitude_cell", "n")
 
 
+# --- evidence and governance -----------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN lang || ' ' || source || ' x' || n_chars WHEN n_chars % 3 = 1 THEN 'x' || n_chars ELSE 'raw ' || lang END AS text, CASE WHEN n_chars % 3 = 0 THEN '80%' ELSE '' END AS workload FROM documents""")
+def payload_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of semi-structured payloads, parts or fallback."""
+    kind, size = F.col("n_chars") % 3, F.concat(F.lit("x"), F.col("n_chars"))
+    whole = F.to_json(F.struct(F.array("lang", "source").alias("description"), size.alias("benefits"), F.lit(" 80% ").alias("workload"), F.lit("no").alias("raw_text")))
+    part = F.to_json(F.struct(size.alias("qualifications"), F.lit("").alias("description")))
+    raw = F.to_json(F.struct(F.concat(F.lit("raw "), F.col("lang")).alias("raw_text")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(kind == 0, whole).when(kind == 1, part).otherwise(raw).alias("p"))
+    return docs.select("doc_id", evidence.payload_text(F.col("p")).alias("text"), evidence.workload(F.col("p")).alias("workload"))
+
+
+@query("""SELECT event_id, coalesce(t, '') AS title FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type <> 'error' THEN event_type || event_id END IGNORE NULLS) OVER w AS t FROM events
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE event_type = 'error'""")
+def absence_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Absences with the title that was last seen."""
+    status = F.when(F.col("event_type") == "error", "NOT_FOUND").otherwise("ACTIVE")
+    log = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", status.alias("observation_status"), F.concat("event_type", "event_id").alias("title"), F.lit("u").alias("canonical_url"))
+    return evidence.absence_rows(log, ["user_id"], _by_time()).select("event_id", "title")
+
+
+@query("""SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || CASE WHEN n_regionkey > 2 THEN 'null' ELSE n_regionkey::VARCHAR END || '}' AS row FROM nation""")
+def serialized_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as JSON, nulls included."""
+    nation = table(spark, sf_dir, "nation").withColumn("n_regionkey", F.when(F.col("n_regionkey") <= 2, F.col("n_regionkey")))
+    return evidence.serialized(nation, ["n_nationkey", "n_name", "n_regionkey"])
+
+
+@query("""SELECT page_id, nullif(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([0-9]+)(\\.html?)?/?$', 1), '') AS posting_id FROM pages""")
+def posting_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids read from URLs."""
+    return table(spark, sf_dir, "pages").select("page_id", evidence.posting_id_of(F.col("url")).alias("posting_id"))
+
+
+@query("""SELECT doc_id FROM (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM documents) WHERE contains(t, ' and of the ') OR ((contains(t, ' de la ') OR contains(t, ' of the ')) AND (contains(t, ' que ') OR contains(t, ' with the ')))""")
+def ext_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: a decisive phrase, or a core phrase in context."""
+    plain = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
+    docs = table(spark, sf_dir, "documents").select("doc_id", plain.alias("t"))
+    return docs.where(evidence.retrieved(F.col("t"), ["and of the"], ["de la", "of the"], ["que", "with the"])).select("doc_id")
+
+
+@query("""SELECT s_suppkey, CASE WHEN k = 0 THEN 'NONE' WHEN k = 1 THEN 'REQUIRED' WHEN k = 2 AND s_acctbal > 0 THEN 'REQUIRED' WHEN k = 3 AND s_acctbal > 0 AND s_suppkey % 2 = 0 THEN 'SUPPORTING' WHEN k = 3 AND s_acctbal > 0 THEN 'REQUIRED' ELSE 'SUPPORTING' END AS role,
+  CASE WHEN k = 0 THEN 'NOT_APPLICABLE' WHEN s_nationkey > 12 THEN 'READY_FOR_IMPLEMENTATION' ELSE 'BLOCKED_PENDING_ACCESS_REVIEW' END AS access FROM (SELECT *, s_suppkey % 5 AS k FROM supplier)""")
+def source_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source is needed for and whether it may be collected."""
+    key = F.col("s_suppkey")
+    family = F.when(key % 5 == 0, "SALARY_REFERENCE").when(key % 5 == 1, "OFFICIAL_CANTON").when(key % 5 == 2, "OFFICIAL_FEDERAL").when(key % 5 == 3, "OFFICIAL_MUNICIPAL").otherwise("PRIVATE")
+    rows = table(spark, sf_dir, "supplier").withColumns(
+        {
+            "source_family": family,
+            "source_type": F.lit("PORTAL"),
+            "priority": F.when(F.col("s_acctbal") > 0, "P0").otherwise("P1"),
+            "canonicality": F.lit("CANONICAL"),
+            "coverage_scope": F.when(key % 2 == 0, "Green Unit jobs").otherwise("all"),
+            "automation_status": F.when(F.col("s_nationkey") > 12, "READY_FOR_IMPLEMENTATION").otherwise("METHOD_RESEARCH_REQUIRED"),
+            "legal_review_status": F.lit("PUBLIC_DATA_DOCUMENTED"),
+        }
+    )
+    return rows.select("s_suppkey", governance.source_policy().alias("p")).select("s_suppkey", "p.role", "p.access")
+
+
+@query("""SELECT 'orders' AS "table", o_orderkey::VARCHAR AS key, 'o_custkey' AS field, o_custkey::VARCHAR AS target_key FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
+def package_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of a package to rows that it does not hold."""
+    orders, customer = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey", "c_name")
+    edges = governance.relationships(orders, "orders", "o_orderkey", {"o_custkey": "customer"})
+    return governance.dangling(edges, governance.inventory({"customer": (customer, "c_custkey")})).select("table", "key", "field", "target_key")
+
+
+@query("""SELECT o_orderkey, o_orderpriority, previous_o_orderpriority, n > 1 AND o_orderpriority IS DISTINCT FROM previous_o_orderpriority AS changed FROM (SELECT *, lag(o_orderpriority) OVER w AS previous_o_orderpriority, row_number() OVER w AS n
+  FROM orders WHERE o_orderstatus = 'F' WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))""")
+def cycle_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Successful cycles against the successful one before."""
+    found = governance.against_previous(table(spark, sf_dir, "orders"), ["o_custkey"], F.col("o_orderstatus") == "F", [F.col("o_orderdate"), F.col("o_orderkey")], ["o_orderpriority"])
+    return found.select("o_orderkey", "o_orderpriority", "previous_o_orderpriority", "changed")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def distinct_cycle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One event for each cycle and fingerprint."""
+    return governance.distinct_events(table(spark, sf_dir, "events").select("user_id", "event_type"), "user_id", "event_type")
+
+
+@query("""SELECT p_partkey, round((p_size - avg(p_size) OVER w) / stddev_samp(p_size) OVER w, 6) AS z_size FROM part WINDOW w AS (PARTITION BY p_type)""")
+def ext_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: standardized values within groups."""
+    found = governance.zscores(table(spark, sf_dir, "part"), ["p_type"], ["p_size"])
+    return found.select("p_partkey", F.round("z_p_size", 6).alias("z_size"))
+
+
 # --- metrics and expectations ----------------------------------------------------------------------------------
 
 
