@@ -164,7 +164,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
             "spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))),
         }
 
-    return annotate(docs, {"text": F.col("text")}, compute, "n_words long, n_hit long, items array<string>, spans array<array<long>>")
+    return annotate(docs, compute, "n_words long, n_hit long, items array<string>, spans array<array<long>>")
 
 
 def _benchmark(block) -> Benchmark:

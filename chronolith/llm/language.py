@@ -24,12 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.rows import annotate, unwrap
+from chronolith.llm.rows import annotate, slices, unwrap
 from chronolith.llm.sampling import sampled_ids, with_texts
 from chronolith.llm.text import _classes, mix
 from chronolith.session import prepare
 
 SAMPLE, SEGMENTS, SEGMENT_WORDS = 1500, 4, 32
+#: Bytes of text whose words run through the field in step, and those whose emissions are scored at a time.
+STEP_BYTES, SCORED_BYTES = 8 << 20, 1 << 20
 #: Hashed features.
 FEATURES = 1 << 16
 UNDETERMINED = "und"
@@ -263,22 +265,26 @@ def identify(docs: DataFrame, model: Crf | None) -> DataFrame:
 
     def compute(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         field = shared.value
-        texts = pc.fill_null(batch.column("text"), "").to_pylist()
-        predicted, score = np.full(len(texts), -1), np.zeros(len(texts))
+        n = batch.num_rows
+        predicted, score = np.full(n, -1), np.zeros(n)
         if field is not None:
-            found = letter_words(texts)
-            scores, form = field.emissions(found)
-            size = np.diff(found.first)
-            if len(form):
-                belief, _ = marginals(scores[form], found.first, field.transitions)
-                owner = np.repeat(np.arange(len(texts)), size)
-                mean = np.stack([np.bincount(owner, belief[:, k], len(texts)) for k in range(belief.shape[1])], 1) / np.maximum(size, 1)[:, None]
+            scores, size = [], []
+            for part in slices(batch, SCORED_BYTES):
+                found = letter_words(pc.fill_null(part.column("text"), "").to_pylist())
+                of_form, form = field.emissions(found)
+                scores.append(of_form[form])
+                size.append(np.diff(found.first))
+            scores, size = np.concatenate(scores), np.concatenate(size)
+            if len(scores):
+                belief, _ = marginals(scores, np.concatenate(([0], np.cumsum(size))), field.transitions)
+                owner = np.repeat(np.arange(n), size)
+                mean = np.stack([np.bincount(owner, belief[:, k], n) for k in range(belief.shape[1])], 1) / np.maximum(size, 1)[:, None]
                 predicted = np.where(size > 0, mean.argmax(1), -1)
                 score = np.where(size > 0, np.minimum(mean.max(1), 1.0), 0.0)
         names = [UNDETERMINED if k < 0 else field.labels[k] for k in predicted.tolist()]
         return {"lang_pred": pa.array(names, pa.string()), "score": pa.array(score)}
 
-    return annotate(docs, {"text": F.col("text")}, compute, "lang_pred string, score double")
+    return annotate(docs, compute, "lang_pred string, score double", STEP_BYTES)
 
 
 def keep_identified(docs: DataFrame, model: Crf | None) -> DataFrame:

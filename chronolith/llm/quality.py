@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.rows import annotate, unwrap
+from chronolith.llm.rows import annotate, slices, unwrap
 from chronolith.llm.sampling import sampled_ids, with_texts
 from chronolith.llm.text import SPACED, hash_spans, raw_texts, words
 from chronolith.session import prepare
@@ -161,7 +161,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Attention | None:
     prepare(docs.sparkSession)
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches if whole.num_rows for part in slices(whole)):
             found, first = passages(raw_texts(batch.column("text")))
             rows = []
             for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -187,7 +187,7 @@ def classify(docs: DataFrame, model: Attention | None) -> DataFrame:
         score = shared.value.score(found, first) if shared.value is not None else np.full(len(first) - 1, 0.5)
         return {"score": pa.array(score.astype(float)), "predicted": pa.array((score >= THRESHOLD).astype(np.int32))}
 
-    return annotate(docs, {"text": F.col("text")}, compute, "score double, predicted int")
+    return annotate(docs, compute, "score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Attention | None) -> DataFrame:

@@ -4,32 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronolith.session import prepare
 
 
-def annotate(rows: DataFrame, inputs: dict[str, Column], compute: Callable[[pa.RecordBatch], dict[str, pa.Array]], schema: str) -> DataFrame:
-    """``(row, ...)``: every row of ``rows`` as a struct, beside the columns that ``compute`` gives for a batch.
+#: Bytes of text that an operator works on at a time.
+SLICE_BYTES = 2 << 20
+
+
+def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows with about ``size`` bytes of ``text`` each: they bound what a task holds at a time."""
+    lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    home = (np.cumsum(lengths) - lengths) // size
+    begin = np.flatnonzero(np.diff(home, prepend=-1))
+    for low, high in zip(begin.tolist(), [*begin[1:].tolist(), batch.num_rows], strict=True):
+        yield batch.slice(low, high - low)
+
+
+def annotate(rows: DataFrame, compute: Callable[[pa.RecordBatch], dict[str, pa.Array]], schema: str, size: int = SLICE_BYTES) -> DataFrame:
+    """``(row, ...)``: every row of ``rows`` as a struct, beside the columns that ``compute`` gives for runs of rows.
 
     The row's own columns stay inside ``row``, so none of their names can clash with an input or an output.
     """
     prepare(rows.sparkSession)
     added = T.StructType.fromDDL(schema)
     out = T.StructType([T.StructField("row", rows.schema), *added.fields])
-    row_type = [f.name for f in added.fields]
+    names = [f.name for f in added.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                found = compute(batch)
-                yield pa.record_batch([batch.column("row"), *(found[n] for n in row_type)], ["row", *row_type])
+            for part in slices(batch, size) if batch.num_rows else ():
+                found = compute(part)
+                yield pa.record_batch([part.column("row"), *(found[n] for n in names)], ["row", *names])
 
     whole = F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row")
-    return rows.select(whole, *(c.alias(n) for n, c in inputs.items())).mapInArrow(run, out)
+    return rows.select(whole, "text").mapInArrow(run, out)
 
 
 def unwrap(annotated: DataFrame) -> DataFrame:
