@@ -24,7 +24,7 @@ from chronolith.llm.text import pretokens
 from chronolith.session import prepare
 
 #: Characters of text that are cut into pre-tokens at a time.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 19
 
 _encoders: dict[bytes, tuple] = {}
 

@@ -20,7 +20,6 @@ first; repeated rows give a row each; an empty table gives no rows; other column
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.exchange import CHUNK_BYTES, corpus_bytes
+from chronolith.llm.exchange import chunk_count, corpus_bytes
 from chronolith.llm.text import mix
 from chronolith.session import prepare
 
@@ -182,9 +181,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     A text's edited version has its second half replaced by as much of the next document's beginning.
     """
     spark = prepare(docs.sparkSession)
-    total = corpus_bytes(docs)
-    low, high = CHUNK_BYTES
-    heads = _heads(docs, max(1, math.ceil(total / min(high, max(low, total // 64)))))  # one number a range
+    heads = _heads(docs, chunk_count(corpus_bytes(docs)))  # one number a range
     shared = spark.sparkContext.broadcast(heads)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,10 @@ chosen by the keys' hash (shuffle one); a bucket answers each distinct key once
 answers in the order in which that chunk's keys sort (shuffle two); the chunk then reassembles its documents by
 position from its own text. A frequent key costs one entry a chunk, so no key makes a task hot, and what moves
 besides the text is a few bytes for each distinct key of a chunk.
+
+Chunks grow with the fourth root of the corpus (14 MB at 1 GB, 250 MB at 100 TB) and buckets with nearly the number
+of chunks, so that a chunk's and a bucket's memory stay bounded while the pieces between them do not become too
+many and small: at 100 TB some 400,000 chunks of 90,000 pieces of a few dozen keys each.
 """
 
 from __future__ import annotations
@@ -21,9 +25,9 @@ from pyspark.sql import functions as F
 
 from chronolith.llm.text import hash_array
 
-#: Bytes of text in a chunk: a 64th of the corpus within these bounds; and bytes of text for each bucket of keys.
-CHUNK_BYTES = (4 << 20, 32 << 20)
-BUCKET_BYTES = 16 << 20
+#: Bytes of text in a chunk: a 64th of the corpus, but no less than the first and no more than the second number,
+#: which is for a corpus of 1 MB and grows with the fourth root.
+CHUNK_BYTES = (4 << 20, 5 << 19)
 
 _IPC = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
 
@@ -50,16 +54,19 @@ def corpus_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
 
 
+def chunk_count(total: int) -> int:
+    least, most = CHUNK_BYTES
+    return max(1, math.ceil(total / max(least, min(total / 64, most * (total / 2**20) ** 0.25))))
+
+
 def into_chunks(docs: DataFrame, total: int, *columns: Column) -> DataFrame:
     """``(chunk, doc_id, text, ...)``: documents dealt evenly by a hash of id and text."""
-    low, high = CHUNK_BYTES
-    n = max(1, math.ceil(total / min(high, max(low, total // 64))))
-    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk")
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunk_count(total))).cast("int").alias("chunk")
     return docs.select(chunk, "doc_id", "text", *columns)
 
 
 def bucket_count(total: int) -> int:
-    return max(4, math.ceil(total / BUCKET_BYTES))
+    return max(4, math.ceil(1.5 * chunk_count(total) ** 0.85))
 
 
 @dataclass
@@ -92,16 +99,18 @@ def exchange(
     chunks: DataFrame,
     buckets: int,
     keys_of: Callable[[pa.Table], list[Keys]],
-    answer: Callable[[int, list[pa.Table]], list[pa.Table]],
+    answer: Callable[..., list[pa.Table]],
     finish: Callable[[pa.Table, list[list[pa.Table]]], pa.Table],
     schema: str,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """Run the exchange over ``chunks``, for one or more kinds of keys at once.
 
     ``keys_of(chunk)`` gives the chunk's distinct keys of each kind; ``answer(kind, parts)`` gets, for one bucket,
     every chunk's ``(key, ...)`` table and returns a table of answers for each, row for row; every bucket answers
     every chunk, if only with an empty table, so that metadata of the answers' schemas reaches all chunks.
-    ``finish(chunk, answers)`` gets each kind's tables, bucket by bucket, in the order of ``Keys.order`` and returns the result's rows.
+    With ``known``, a table whose column ``bucket`` is a key's ``home`` modulo ``buckets`` plus ``kind * buckets``,
+    ``answer`` gets that bucket's rows of it as a third argument. ``finish(chunk, answers)`` gets each kind's tables, bucket by bucket, in the order of ``Keys.order`` and returns the result's rows.
     """
 
     def send(key: tuple, chunk: pa.Table) -> pa.Table:
@@ -114,8 +123,8 @@ def exchange(
                 parts.append(pack(table.slice(begin[b], begin[b + 1] - begin[b])))
         return pa.table({"chunk": pa.array([key[0].as_py()] * len(homes), pa.int32()), "bucket": pa.array(homes, pa.int32()), "part": pa.array(parts, pa.binary())})
 
-    def reply(key: tuple, parts: pa.Table) -> pa.Table:
-        answers = answer(key[0].as_py() // buckets, [unpack(b) for b in parts.column("part").to_pylist()])
+    def respond(key: tuple, parts: pa.Table, *rows: pa.Table) -> pa.Table:
+        answers = answer(key[0].as_py() // buckets, [unpack(b) for b in parts.column("part").to_pylist()], *rows)
         return pa.table({"chunk": parts.column("chunk"), "bucket": parts.column("bucket"), "answers": pa.array([pack(a) for a in answers], pa.binary())})
 
     def close(chunk: pa.Table, replies: pa.Table) -> pa.Table:
@@ -125,6 +134,13 @@ def exchange(
             kinds.setdefault(bucket // buckets, []).append(unpack(blob))
         return finish(chunk, [tables for _, tables in sorted(kinds.items())])
 
-    sent = chunks.groupBy("chunk").applyInArrow(send, "chunk int, bucket int, part binary")
-    replied = sent.groupBy("bucket").applyInArrow(reply, "chunk int, bucket int, answers binary")
+    def reply(key: tuple, parts: pa.Table) -> pa.Table:
+        return respond(key, parts)
+
+    def reply_known(key: tuple, parts: pa.Table, rows: pa.Table) -> pa.Table:
+        return respond(key, parts, rows)
+
+    sent = chunks.groupBy("chunk").applyInArrow(send, "chunk int, bucket int, part binary").groupBy("bucket")
+    replies = "chunk int, bucket int, answers binary"
+    replied = sent.applyInArrow(reply, replies) if known is None else sent.cogroup(known.groupBy("bucket")).applyInArrow(reply_known, replies)
     return chunks.groupBy("chunk").cogroup(replied.groupBy("chunk")).applyInArrow(close, schema)

@@ -6,8 +6,10 @@ escape estimate of method C (distinct symbols over symbols plus distinct symbols
 longer contexts are excluded from the shorter ones. A document's score is the log10 probability of its bytes and
 one end symbol under the pretrained counts; ``code_length_bits`` is the same as a code length.
 
-Grams are keyed so that all contexts that end in the same two bytes meet in one bucket: there the nodes of order
-two and more are complete. Nodes of orders nought and one are 65,536 numbers at most, and are broadcast.
+Gram counts are summed over the corpus by Spark. The counts of all contexts that end in the same two bytes meet in
+one group (of distinct grams, so bounded whatever the corpus): there the nodes of order two and more are complete,
+and every gram's probability is worked out once. Nodes of orders nought and one are 65,536 numbers at most, and are
+broadcast. Chunks of documents then get the probabilities of their distinct grams through the key exchange.
 
 The baseline is a smoothed unigram model of words.
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from chronolith.llm.exchange import Keys, bucket_count, corpus_bytes, exchange, into_chunks
 from chronolith.llm.text import LOWER, SPACED, mix, raw_texts, spans_to_array, words
-from chronolith.session import prepare
+from chronolith.session import materialize, prepare
 
 #: Longest context, in bytes.
 ORDER = 4
@@ -35,6 +37,8 @@ ORDER = 4
 BEFORE, END = 0xFE, 0xFF
 #: The key of the end token; words hold no space.
 END_TOKEN = b" "
+#: Distinct grams that a task holds before it hands them on.
+MOST_GRAMS = 4 << 20
 #: Bytes of text whose grams are sorted at a time.
 SLICE_BYTES = 2 << 20
 
@@ -176,25 +180,51 @@ def log_probabilities(packed: np.ndarray, counts: np.ndarray, pairs: np.ndarray)
     return out
 
 
-def byte_pairs(docs: DataFrame, training: Column) -> np.ndarray:
-    """Counts of (byte before, symbol) in the training documents: the trie's nodes of orders nought and one."""
+def gram_counts(docs: DataFrame, held_out: Column) -> DataFrame:
+    """``(gram, n)``: every gram of the corpus and how often it stands in training documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
+        found, n = merge([], [])
         for batch in batches:
-            texts = raw_texts(batch.column("text"))
-            for low, high in slices(texts):
-                total += np.bincount((grams(texts[low:high])[0] & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
-        at = np.flatnonzero(total)
-        yield pa.record_batch({"pair": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
+            training = ~pc.fill_null(batch.column("held"), False).to_numpy(zero_copy_only=False).astype(bool)
+            more, m = chunk_grams(raw_texts(batch.column("text")), training)
+            found, n = merge([found, more], [n, m])
+            if len(found) > MOST_GRAMS:
+                yield pa.record_batch({"gram": pa.array(found.view(np.int64)), "n": pa.array(n)})
+                found, n = merge([], [])
+        yield pa.record_batch({"gram": pa.array(found.view(np.int64)), "n": pa.array(n)})
 
-    counted = docs.where(training).select("text").mapInArrow(count, "pair int, n long")
+    counted = docs.select("text", held_out.alias("held")).mapInArrow(count, "gram long, n long")
+    return counted.groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def byte_pairs(counts: DataFrame) -> np.ndarray:
+    """Counts of (byte before, symbol): the trie's nodes of orders nought and one."""
     pairs = np.zeros(1 << 16, np.int64)
-    for pair, n in counted.groupBy("pair").agg(F.sum("n")).collect():  # 65,536 rows at most
+    for pair, n in counts.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("n")).collect():  # 65,536 rows at most
         pairs[pair] = n
     return pairs.reshape(256, 256)
 
 
+def home(packed: np.ndarray) -> np.ndarray:
+    return mix(packed)
+
+
+def probabilities(counts: DataFrame, pairs: np.ndarray, buckets: int) -> DataFrame:
+    """``(bucket, gram, logp)`` of every gram, worked out where all grams of its last two context bytes meet."""
+    shared = counts.sparkSession.sparkContext.broadcast(pairs)
+
+    def solve(key: tuple, rows: pa.Table) -> pa.Table:
+        packed = rows.column("gram").to_numpy().view(np.uint64)
+        order = np.argsort(packed)
+        packed, n = packed[order], rows.column("n").to_numpy()[order]
+        bucket = (home(packed) % np.uint64(buckets)).astype(np.int32) + buckets
+        return pa.table({"bucket": bucket, "gram": packed.view(np.int64), "logp": log_probabilities(packed, n, shared.value)})
+
+    suffix = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).alias("suffix")
+    return counts.select(suffix, "gram", "n").groupBy("suffix").applyInArrow(solve, "bucket int, gram long, logp double")
+
+
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """Score every document, learning from those that are not held out.
 
@@ -204,7 +234,8 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     total = corpus_bytes(docs)
     buckets = bucket_count(total)
     chunks = into_chunks(docs, total, held_out.alias("held"))
-    shared = spark.sparkContext.broadcast(byte_pairs(docs, ~held_out))
+    counts = materialize(gram_counts(docs, held_out), "grams")
+    known = probabilities(counts, byte_pairs(counts), buckets)
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
     def chunk_tokens(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -219,9 +250,9 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         coded = pa.concat_arrays(pieces).dictionary_encode()
         return coded.dictionary, coded.indices.to_numpy(), np.concatenate(owners)
 
-    def gram_keys(texts: list[bytes], training: np.ndarray) -> Keys:
-        found, n = chunk_grams(texts, training)
-        return Keys(pa.array(found), mix((found >> np.uint64(8)) & np.uint64(0xFFFF)), {"n": n})
+    def gram_keys(texts: list[bytes]) -> Keys:
+        found, _ = chunk_grams(texts, np.ones(len(texts), bool))
+        return Keys(pa.array(found), home(found))
 
     def read(chunk: pa.Table) -> tuple[list[bytes], np.ndarray]:
         held = pc.fill_null(chunk.column("held"), False).to_numpy().astype(bool)
@@ -231,21 +262,20 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         texts, training = read(chunk)
         tokens, codes, owners = chunk_tokens(texts)
         n = np.bincount(codes, training[owners], len(tokens)).astype(np.int64)
-        return [Keys.of_bytes(tokens, {"n": n}), gram_keys(texts, training)]
-
-    def answer(kind: int, parts: list[pa.Table]) -> list[pa.Table]:
+        return [Keys.of_bytes(tokens, {"n": n}), gram_keys(texts)]
+
+    def answer(kind: int, parts: list[pa.Table], rows: pa.Table) -> list[pa.Table]:
+        if kind == 1:
+            packed, logp = rows.column("gram").to_numpy().view(np.uint64), rows.column("logp").to_numpy()
+            order = np.argsort(packed)
+            packed, logp = packed[order], logp[order]
+            return [pa.table({"value": logp[np.searchsorted(packed, p.column("key").to_numpy())]}) for p in parts]
         sizes = np.cumsum([0] + [p.num_rows for p in parts])
-        counts = np.concatenate([p.column("n").to_numpy() for p in parts])
-        if kind == 0:
-            coded = pa.chunked_array([c for p in parts for c in p.column("key").chunks], pa.large_binary()).combine_chunks().dictionary_encode()
-            place = coded.indices.to_numpy()
-            c = np.bincount(place, counts, len(coded.dictionary)).astype(np.int64)
-            about = {"tokens": str(int(c.sum())), "distinct": str(int((c > 0).sum()))}
-            return [pa.table({"value": c[place[a:b]]}).replace_schema_metadata(about) for a, b in zip(sizes[:-1], sizes[1:], strict=True)]
-        keys = np.concatenate([p.column("key").to_numpy() for p in parts])
-        packed, n = merge([keys], [counts])
-        found = log_probabilities(packed, n, shared.value) if len(packed) else np.zeros(0)
-        return [pa.table({"value": found[np.searchsorted(packed, keys[a:b])]}) for a, b in zip(sizes[:-1], sizes[1:], strict=True)]
+        coded = pa.concat_arrays([c for p in parts for c in p.column("key").chunks]).dictionary_encode()
+        place = coded.indices.to_numpy()
+        c = np.bincount(place, np.concatenate([p.column("n").to_numpy() for p in parts]), len(coded.dictionary)).astype(np.int64)
+        about = {"tokens": str(int(c.sum())), "distinct": str(int((c > 0).sum()))}
+        return [pa.table({"value": c[place[a:b]]}).replace_schema_metadata(about) for a, b in zip(sizes[:-1], sizes[1:], strict=True)]
 
     def finish(chunk: pa.Table, answers: list[list[pa.Table]]) -> pa.Table:
         texts, training = read(chunk)
@@ -257,7 +287,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         c, size = known[codes], len(texts)
         n_tokens = np.bincount(owners, minlength=size)
         base = np.bincount(owners, np.log10(c + 0.5), size) - n_tokens * np.log10(n_all + 0.5 * (distinct + 1))
-        found = gram_keys(texts, training)
+        found = gram_keys(texts)
         logp = Lookup(found.keys.to_numpy(), found.restore(values[1], buckets))
         scores = np.zeros(size)
         for low, high in slices(texts):
@@ -277,4 +307,4 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         )
 
     schema = f"doc_id {doc_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, code_length_bits double"
-    return exchange(chunks, buckets, keys_of, answer, finish, schema)
+    return exchange(chunks, buckets, keys_of, answer, finish, schema, known)

@@ -25,8 +25,6 @@ ROWS = edge_rows()
 @pytest.fixture(autouse=True)
 def small_chunks(monkeypatch):
     monkeypatch.setattr(exchange, "CHUNK_BYTES", (20_000, 1 << 20))
-    monkeypatch.setattr(edit_embedding, "CHUNK_BYTES", (20_000, 1 << 20))
-    monkeypatch.setattr(exchange, "BUCKET_BYTES", 30_000)
 
 
 def by_text(rows, *columns):
