@@ -76,7 +76,8 @@ def op6_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
         definition = file.read()
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return digests(rows.unionByName(spark.createDataFrame(PROBE, rows.schema)), definition)
+    found = digests(rows.unionByName(spark.createDataFrame(PROBE, rows.schema)), definition)
+    return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,5 +107,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_ppm": op1_ppm, "op2_winnowing": op2_winnowing, "op3_simhash": op3_simhash, "op4_token_counts": op4_token_counts, "op5_mil_quality": op5_mil_quality, "op6_chat_masks": op6_chat_masks, "op7_byte_bpe": op7_byte_bpe, "op8_language_crf": op8_language_crf, "op9_main_text": op9_main_text, "op10_edit_embedding": op10_edit_embedding}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+items AS (SELECT DISTINCT item_id, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS g
+  FROM (SELECT item_id, w, least(len(w), 10) AS m, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT m FROM items),
+spans AS (SELECT doc_id, m, i, array_to_string(list_slice(w, i, i + m - 1), ' ') AS g FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, sizes)),
+hits AS (SELECT DISTINCT doc_id, i, m, item_id FROM spans JOIN items USING (m, g)),
+places AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n, string_agg(k, ',' ORDER BY k) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS k FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(p.n, 0) AS n_hit, coalesce(f.n, 0) AS n_items, sha256(coalesce(f.s, '')) AS items_sha256, coalesce(p.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN places p USING (doc_id) LEFT JOIN found f USING (doc_id)"""
+
+_PROBE_SQL = " UNION ALL ".join(f"SELECT {c}, {t}, '{r}', '{x}'" for c, t, r, x in PROBE)
+_ESCAPED = r"length(regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g'))"
+
+OP6_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL {_PROBE_SQL}))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(23 + {_ESCAPED.format("role")} + {_ESCAPED.format("text")})::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that SQL can express; the others are tested against brute force."""
+    return {"op2_winnowing": OP2_SQL, "op6_chat_masks": OP6_SQL}
