@@ -16,6 +16,8 @@ columns are carried along or ignored.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -117,7 +119,8 @@ def hits(found, hashed: np.ndarray, owner: np.ndarray, bench: Benchmark) -> tupl
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list:
-    """Broadcasts of the benchmark's rows, each of about ``block_bytes`` of text."""
+    """Broadcasts of ``(name, rows)``: the benchmark's rows in blocks of about ``block_bytes`` of text. A name is
+    never used again, so tables that a Python worker made of another block can't be taken for this one's."""
     spark = benchmark.sparkSession
     total = benchmark.agg(F.sum(F.octet_length("text").cast("long") + 16)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
@@ -125,11 +128,11 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> li
     out = []
     for block in range(blocks):
         rows = [(r.item_id, r.text.encode("utf-8", "surrogatepass")) for r in items.where(F.col("block") == block).distinct().collect()]
-        out.append(spark.sparkContext.broadcast(rows))
+        out.append(spark.sparkContext.broadcast((uuid.uuid4().hex, rows)))
     return out
 
 
-_made: dict[int, Benchmark] = {}
+_made: dict[str, Benchmark] = {}
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -169,12 +172,12 @@ def mark(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
 
 def _benchmark(block) -> Benchmark:
     """The block's tables, made once for each Python worker while it stays in use."""
-    key = id(block.value)
-    if key not in _made:
+    name, rows = block.value
+    if name not in _made:
         if len(_made) > 8:
             _made.clear()
-        _made[key] = Benchmark(block.value)
-    return _made[key]
+        _made[name] = Benchmark(rows)
+    return _made[name]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -198,6 +198,14 @@ def test_winnowing(spark, edge, empty, block_bytes):
     assert decontaminate.report(edge, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_blocks_of_another_benchmark_are_not_mistaken():
+    found = []
+    for text in (b"first item", b"second item"):  # the first value is gone, and its memory free, when the second comes
+        block = type("Block", (), {"value": (text.decode(), [("1", text)])})
+        found.append(decontaminate._benchmark(block).words)
+    assert found == [[[b"first", b"item"]], [[b"second", b"item"]]]
+
+
 def test_language(edge, empty):
     model = language.learn(edge, remainder(4) != 2)
     got = language.identify(edge, model).select("row.doc_id", "row.text", "lang_pred", "score").collect()
