@@ -31,7 +31,7 @@ from chronolith.session import prepare
 
 SAMPLE, SEGMENTS, SEGMENT_WORDS = 1500, 4, 32
 #: Bytes of text whose words run through the field in step, and those whose emissions are scored at a time.
-STEP_BYTES, SCORED_BYTES = 8 << 20, 1 << 20
+STEP_BYTES, SCORED_BYTES = 4 << 20, 1 << 20
 #: Hashed features.
 FEATURES = 1 << 16
 UNDETERMINED = "und"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -84,21 +85,62 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Bytes whose spans are hashed at a time; a longer span is hashed whole.
+HASHED_BYTES = 1 << 18
+
+
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each non-empty span, equal for equal bytes wherever they stand."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
+    """A 64-bit hash of each non-empty span, equal for equal bytes wherever they stand. Spans come in order and
+    don't overlap."""
+    out, low = np.empty(len(start), np.uint64), 0
+    while low < len(start):
+        base = int(start[low])
+        high = max(low + 1, int(np.searchsorted(end, base + HASHED_BYTES, "right")))
+        part = data[base : int(end[high - 1])]
+        a, b = start[low:high] - base, end[low:high] - base
+        power, inverse = powers(len(part))
+        with np.errstate(over="ignore"):
+            total = prefix_sums(part, power[: len(part)])
+            out[low:high] = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
+        low = high
+    return out
+
+
+def prefix_sums(data: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """Sums of the bytes' digits times ``factor`` before each place."""
+    total = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        power, inverse = _powers(1 << max(16, int(len(data)).bit_length()))
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_digits()[data] * power[: len(data)], out=total[1:])
-        return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+        np.cumsum(_digits()[data] * factor, out=total[1:])
+    return total
+
+
+def hash_parts(data: np.ndarray, size: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """``hash_spans`` for spans inside words that stand one after another, ``size`` bytes each, in any order and as
+    often as asked: the words are summed once."""
+    place = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
+    power, inverse = powers(int(size.max(initial=0)))
+    total = prefix_sums(data, power[place])
+
+    def of(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((total[end] - total[start]) * inverse[place[start]] + (end - start).astype(np.uint64))
+
+    return of
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers, or more, of the hash's base and of its inverse; only small tables are kept."""
+    return _small_powers() if n <= HASHED_BYTES else _powers(n)
+
+
+@lru_cache(1)
+def _small_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(HASHED_BYTES)
 
 
-@lru_cache(2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    return np.cumprod(np.full(n, _BASE), dtype=np.uint64), np.cumprod(np.full(n, inverse), dtype=np.uint64)
+    return tuple(np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n - 1, base), dtype=np.uint64))) for base in (_BASE, inverse))
 
 
 def hash_array(values: pa.Array) -> np.ndarray:
