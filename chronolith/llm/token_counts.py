@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from chronolith.llm.byte_bpe import chunk_words, vocabulary
 from chronolith.llm.exchange import Keys, bucket_count, corpus_bytes, exchange, into_chunks, narrow
-from chronolith.llm.text import hash_array, hash_spans, mix
+from chronolith.llm.text import hash_array, hash_parts, mix
 from chronolith.session import prepare
 
 #: Bytes of a pre-token that choose its bucket.
@@ -56,6 +56,7 @@ def segment(words: pa.Array, table: tuple[np.ndarray, np.ndarray, list[int]]) ->
     data = np.frombuffer(words.buffers()[2], np.uint8)[int(offset[0]) : int(offset[-1])]
     start, size = offset[:-1] - offset[0], np.diff(offset)
     longest, span = int(size.max()), int(min(size.max(), lengths[0]))
+    hash_of = hash_parts(data, size)
     # Scores and counts of each word's last ``span + 1`` prefixes.
     best = np.full((len(words), span + 1), -np.inf)
     count = np.zeros((len(words), span + 1), np.int32)
@@ -74,7 +75,7 @@ def segment(words: pa.Array, table: tuple[np.ndarray, np.ndarray, list[int]]) ->
             if length > depth:
                 continue
             end = start[one] + depth
-            key = hash_spans(data, end - length, end)
+            key = hash_of(end - length, end)
             at = np.minimum(np.searchsorted(hashes, key), len(hashes) - 1)
             known = hashes[at] == key
             before = (depth - length) % (span + 1)
