@@ -3,8 +3,8 @@
 A benchmark item of ``WINDOW`` words or more is fingerprinted by the least hash of each ``SPAN`` consecutive
 ``GRAM``-word hashes, with ``GRAM + SPAN - 1 = WINDOW``: two texts that share ``WINDOW`` consecutive words share a
 run of ``SPAN`` grams, hence that run's least hash, so every such span is found. Document fingerprints are joined
-with the benchmark's on the map side; each hit is extended along its diagonal to the left and right while words
-agree, and counts if it covers a window. Shorter items are looked up whole.
+with the benchmark's on the map side. All windows under a shared fingerprint, however often its gram recurs, are looked
+up among the benchmark's windows and compared word by word. Shorter items are looked up whole.
 
 The benchmark is a stated query set: it is held in blocks of ``BLOCK_BYTES``, each broadcast and joined in turn
 within the same pass over the documents, whatever their number. Documents are never shuffled.
@@ -30,20 +30,27 @@ from chronolith.session import prepare
 WINDOW, GRAM = 10, 5
 SPAN = WINDOW - GRAM + 1
 BLOCK_BYTES = 32 << 20
+#: Windows that are compared word by word at a time.
+VERIFIED = 1 << 15
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def gram_hashes(word_hashes: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each run of ``size`` words."""
+def gram_hashes(word_hashes: np.ndarray, size: int, at: np.ndarray | None = None) -> np.ndarray:
+    """A hash of each run of ``size`` words, or of those that begin at ``at``."""
     n = max(0, len(word_hashes) - size + 1)
     with np.errstate(over="ignore"):
-        total = np.zeros(n, np.uint64)
+        total = np.zeros(n if at is None else len(at), np.uint64)
         for k in range(size):
-            total = total * _STEP + word_hashes[k : k + n]
+            total = total * _STEP + (word_hashes[k : k + n] if at is None else word_hashes[at + k])
         return np.minimum(mix(total), _NONE - np.uint64(1))
 
 
+def whole(owner: np.ndarray, size: int) -> np.ndarray:
+    """Whether each run of ``size`` words lies within one text."""
+    return owner[: max(0, len(owner) - size + 1)] == owner[size - 1 :]
+
+
 def window_minima(hashes: np.ndarray) -> np.ndarray:
     """The least of each ``SPAN`` consecutive hashes."""
     n = len(hashes) - SPAN + 1
@@ -51,71 +58,107 @@ def window_minima(hashes: np.ndarray) -> np.ndarray:
 
 
 class Benchmark:
-    """One block of items: their words, and the sorted fingerprints that lead to them."""
+    """One block of items: their words, the fingerprints of the long ones, and the places of all windows by hash."""
 
     def __init__(self, rows: list[tuple[str, bytes]]):
-        found = words([text for _, text in rows], ALNUM)
-        hashed = hash_spans(found.data, found.start, found.end)
+        found = self.found = words([text for _, text in rows], ALNUM)
         self.ids = [item for item, _ in rows]
-        self.hashes, self.words = [], []
-        prints: dict[int, list[tuple[np.ndarray, np.ndarray, int]]] = {}
-        for k in range(len(rows)):
-            low, high = found.first[k], found.first[k + 1]
-            own = hashed[low:high]
-            self.hashes.append(own)
-            self.words.append([found.data[a:b].tobytes() for a, b in zip(found.start[low:high], found.end[low:high], strict=True)])
-            if len(own) >= WINDOW:
-                grams = gram_hashes(own, GRAM)
-                chosen = np.flatnonzero(np.isin(grams, window_minima(grams)))
-                prints.setdefault(0, []).append((grams[chosen], chosen, k))
-            elif len(own):
-                prints.setdefault(len(own), []).append((gram_hashes(own, len(own)), np.zeros(1, np.int64), k))
+        self.hashed = hash_spans(found.data, found.start, found.end)
+        owner = np.repeat(np.arange(len(rows)), found.per_document)
+        sizes = np.minimum(found.per_document, WINDOW)
+        self.prints = np.unique(window_minima(gram_hashes(self.hashed, GRAM))[whole(owner, WINDOW)])
         self.tables = {}
-        for size, parts in prints.items():
-            key = np.concatenate([p[0] for p in parts])
-            place = np.concatenate([p[1] for p in parts])
-            item = np.repeat([p[2] for p in parts], [len(p[0]) for p in parts])
-            order = np.argsort(key, kind="stable")
-            self.tables[size] = key[order], item[order], place[order]
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            place = np.flatnonzero(whole(owner, size) & (sizes[owner[: max(0, len(owner) - size + 1)]] == size))
+            key, item = gram_hashes(self.hashed, size, place), owner[place]
+            order = np.lexsort((item, key))
+            key, item, place = key[order], item[order], place[order]
+            # An item that repeats a window has it once.
+            once = np.ones(len(key), bool)
+            once[1:] = (key[1:] != key[:-1]) | (item[1:] != item[:-1])
+            self.tables[size] = key[once], item[once], place[once]
+
+    @property
+    def words(self) -> list[list[bytes]]:
+        found = self.found
+        spelled = [found.data[a:b].tobytes() for a, b in zip(found.start.tolist(), found.end.tolist(), strict=True)]
+        return [spelled[a:b] for a, b in zip(found.first[:-1].tolist(), found.first[1:].tolist(), strict=True)]
+
+
+def among(sorted_keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are in ``sorted_keys``."""
+    if not len(sorted_keys):
+        return np.zeros(len(values), bool)
+    return sorted_keys[np.minimum(np.searchsorted(sorted_keys, values), len(sorted_keys) - 1)] == values
+
+
+def candidates(hashed: np.ndarray, owner: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """All windows whose least gram hash is a fingerprint. A run of windows with one least hash is looked up once."""
+    least = window_minima(gram_hashes(hashed, GRAM))
+    begin = np.flatnonzero(np.diff(least, prepend=_NONE))
+    known = np.repeat(among(prints, least[begin]), np.diff(begin, append=len(least)))
+    return np.flatnonzero(known & whole(owner, WINDOW))
+
+
+def same_words(found, at: np.ndarray, bench: Benchmark, place: np.ndarray, size: int) -> np.ndarray:
+    """Whether the ``size`` words from each of ``at`` are those from ``place``, byte by byte."""
+    theirs = bench.found
+    out = np.ones(len(at), bool)
+    for k in range(size):
+        a, b = found.start[at + k], theirs.start[place + k]
+        length = found.end[at + k] - a
+        out &= length == theirs.end[place + k] - b
+        rows = np.flatnonzero(out)
+        if not len(rows):
+            break
+        length = length[rows]
+        begin = np.cumsum(length) - length
+        inner = np.arange(length.sum()) - np.repeat(begin, length)
+        equal = found.data[np.repeat(a[rows], length) + inner] == theirs.data[np.repeat(b[rows], length) + inner]
+        out[rows] = np.logical_and.reduceat(equal, begin)
+    return out
 
 
 def hits(found, hashed: np.ndarray, owner: np.ndarray, bench: Benchmark) -> tuple[np.ndarray, set[tuple[int, int]]]:
     """Which words of a batch are hit, and the (document, item) pairs."""
-    hit = np.zeros(len(hashed) + 1, bool)
+    hit = np.zeros(len(hashed), bool)
     pairs: set[tuple[int, int]] = set()
-    diagonals: set[tuple[int, int, int]] = set()
     for size, (keys, items, places) in bench.tables.items():
-        grams = gram_hashes(hashed, size or GRAM)
-        if size:
-            probe, at = grams, np.arange(len(grams))
+        if size == WINDOW:
+            at = candidates(hashed, owner, bench.prints)
         else:
-            least = window_minima(grams)
-            at = np.flatnonzero(np.diff(least, prepend=_NONE))
-            probe = least[at]
-        low = np.searchsorted(keys, probe)
-        match = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == probe)
-        if not len(match):
-            continue
-        high = np.searchsorted(keys, probe[match], "right")
-        for w, a, b in zip(at[match].tolist(), low[match].tolist(), high.tolist(), strict=True):
-            # All grams of this run with the least hash: a tie must not hide a diagonal.
-            spots = [w] if size else [w + k for k in range(SPAN) if w + k < len(grams) and grams[w + k] == keys[a]]
-            for p in range(a, b):
-                diagonals.update((int(owner[s]), int(items[p]), s - int(places[p])) for s in spots)
-    for doc, item, shift in diagonals:
-        own, text = bench.hashes[item], bench.words[item]
-        low, high = max(shift, int(found.first[doc])), min(shift + len(own), int(found.first[doc + 1]))
-        if high <= low:
+            at = np.flatnonzero(whole(owner, size))
+        key = gram_hashes(hashed, size, at)
+        match = among(keys, key)
+        at, key = at[match], key[match]
+        if not len(at):
             continue
-        same = np.concatenate(([False], hashed[low:high] == own[low - shift : high - shift], [False]))
-        edge = np.flatnonzero(same[1:] != same[:-1])
-        for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
-            if b - a >= min(WINDOW, len(own)):
-                a, b = a + low, b + low
-                if [found.data[x:y].tobytes() for x, y in zip(found.start[a:b], found.end[a:b], strict=True)] == text[a - shift : b - shift]:
-                    hit[a:b] = True
-                    pairs.add((doc, item))
-    return hit[:-1], pairs
+        # A document that repeats a window asks for it once.
+        order = np.lexsort((key, owner[at]))
+        at, key = at[order], key[order]
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (owner[at[1:]] != owner[at[:-1]])
+        first = np.flatnonzero(fresh)
+        low, high = np.searchsorted(keys, key[first]), np.searchsorted(keys, key[first], "right")
+        for a, b in parts(high - low):
+            n = (high - low)[a:b]
+            row = np.repeat(low[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            asks = np.repeat(at[first[a:b]], n)
+            same = np.flatnonzero(same_words(found, asks, bench, places[row], size))
+            pairs.update(zip(owner[asks[same]].tolist(), items[row[same]].tolist(), strict=True))
+        place = places[np.repeat(low, np.diff(first, append=len(at)))]
+        for a in range(0, len(at), VERIFIED):
+            spots = at[a : a + VERIFIED]
+            spots = spots[same_words(found, spots, bench, place[a : a + VERIFIED], size)]
+            for k in range(size):
+                hit[spots + k] = True
+    return hit, pairs
+
+
+def parts(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of rows with about ``VERIFIED`` in all, or one row that has more."""
+    begin = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // VERIFIED, prepend=-1))
+    return list(zip(begin.tolist(), [*begin[1:].tolist(), len(sizes)], strict=True))
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list:

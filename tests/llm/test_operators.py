@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 from chronolith.llm import byte_bpe, chat, decontaminate, edit_embedding, exchange, language, ppm, quality, simhash, token_counts
 from chronolith.llm.sampling import remainder
+from chronolith.llm.text import ALNUM, hash_spans
+from chronolith.llm.text import words as cut_words
 from tests.llm.conftest import edge_rows, low
 
 RANKS = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -198,6 +201,45 @@ def test_winnowing(spark, edge, empty, block_bytes):
     assert decontaminate.report(edge, bench.limit(0)).where("contaminated").count() == 0
 
 
+def brute_hits(texts, items):
+    hit, pairs = [], set()
+    for doc, text in enumerate(texts):
+        own, found = text.split(), set()
+        for item, phrase in enumerate(items):
+            theirs = phrase.split()
+            size = min(10, len(theirs))
+            windows = {tuple(theirs[k : k + size]) for k in range(len(theirs) - size + 1)} if theirs else set()
+            for k in range(len(own) - size + 1):
+                if tuple(own[k : k + size]) in windows:
+                    found |= set(range(k, k + size))
+                    pairs.add((doc, item))
+        hit += [k in found for k in range(len(own))]
+    return hit, pairs
+
+
+def winnowed(texts, items):
+    found = cut_words([t.encode() for t in texts], ALNUM)
+    hashed = hash_spans(found.data, found.start, found.end)
+    hit, pairs = decontaminate.hits(found, hashed, np.repeat(np.arange(len(texts)), found.per_document), decontaminate.Benchmark([(str(k), t.encode()) for k, t in enumerate(items)]))
+    return hit.tolist(), pairs
+
+
+def test_winnowing_finds_texts_that_repeat_themselves():
+    hit, pairs = winnowed(["ha " * 1000], ["ha " * 12])
+    assert all(hit) and pairs == {(0, 0)}
+    chance = random.Random(5)
+    for _ in range(40):  # a period that ends in an item's beginning: whichever gram is the least
+        period = " ".join(f"p{chance.randrange(10**6)}" for _ in range(chance.randint(1, 6)))
+        rest = " ".join(f"z{chance.randrange(10**6)}" for _ in range(9))
+        texts = [f"{period} {period} {period} {period} {rest}", "other words", f"{rest} {period} {period} {period} {rest}"]
+        items = [f"{period} {rest}", f"{rest} {period} {period}", "other words other", rest]
+        assert winnowed(texts, items) == brute_hits(texts, items)
+    for _ in range(40):  # few words, so that windows recur, over the documents' bounds as well
+        text = lambda n: " ".join(chance.choice("ab") for _ in range(chance.randint(0, n)))
+        texts, items = [text(80) for _ in range(6)], [text(30) for _ in range(4)]
+        assert winnowed(texts, items) == brute_hits(texts, items)
+
+
 def test_blocks_of_another_benchmark_are_not_mistaken():
     found = []
     for text in (b"first item", b"second item"):  # the first value is gone, and its memory free, when the second comes
