@@ -7,7 +7,7 @@ octave of steps, so it covers whole texts of any length with a few hundred digit
 samples, weighted by the steps each stands for and corrected for chance.
 
 Near-duplicates are found by banding sampled digits (``similar``): texts that agree on a band meet under its key,
-each is linked to the key's least text, and the link is verified by likeness.
+and each is linked to the least text of its keys that is like it.
 
 ``with_next`` needs each document's successor: documents are dealt into ranges of ids of about equal size, the first
 of a range goes to the range before it as well, and each range is sorted and streamed, so texts are shuffled once.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from chronolith.llm.exchange import chunk_count, corpus_bytes
 from chronolith.llm.text import mix
-from chronolith.session import prepare
+from chronolith.session import materialize, prepare
 
 #: The random bits repeat after so many steps; characters are told apart up to this many classes.
 PERIOD, CLASSES = 4096, 256
@@ -42,6 +42,8 @@ DIGITS = 16
 #: Bands of ``BAND`` digits each, taken from the octave that holds most of a text's second half.
 BANDS, BAND = 4, 8
 SIMILAR = 0.8
+#: Texts of a key that are verified against each other at a time, about.
+BLOCK = 1024
 #: Characters that walk together.
 GROUP_CHARS = 8 << 20
 
@@ -121,17 +123,20 @@ def spelled(found: np.ndarray) -> str:
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Share of equal samples, from 0 (as often as chance) to 1."""
-    size = max(len(a), len(b))
-    a, b = np.pad(a, (0, size - len(a))), np.pad(b, (0, size - len(b)))
+    return float(likenesses(a, b[None])[0])
+
+
+def likenesses(a: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The likeness of ``a`` to each row of ``table``."""
+    size = max(len(a), table.shape[1])
+    a, table = np.pad(a, (0, size - len(a))), np.pad(table, ((0, 0), (0, size - table.shape[1])))
     octave = np.maximum(np.arange(size) // SAMPLES - 1, -1) + FIRST_OCTAVE
     weight = np.where(np.arange(size) < 1 << FIRST_OCTAVE, 1.0, 2.0**octave / SAMPLES)
-    valid = weight * ((a > 0) | (b > 0))
-    total = valid.sum()
-    if not total:
-        return 1.0
-    equal = (valid * (a == b)).sum() / total
+    valid = (table > 0) | (a > 0)
+    total = valid @ weight
+    equal = np.divide((valid & (table == a)) @ weight, total, out=np.ones(len(table)), where=total > 0)
     chance = 1 / (DIGITS - 1)
-    return float(min(1.0, max(0.0, (equal - chance) / (1 - chance))))
+    return np.clip((equal - chance) / (1 - chance), 0.0, 1.0)
 
 
 def compare(texts: list[str]) -> Iterator[tuple]:
@@ -228,13 +233,19 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame) -> DataFrame:
-    """``doc_id, fingerprint, leader``: each text's least verified partner among those that share one of its bands."""
+    """``doc_id, fingerprint, leader`` for every row: each text's least verified partner among those, itself included,
+    that share one of its bands.
+
+    A text is verified against its keys' least texts first. Where that fails, it is verified against all texts of the
+    key: both are dealt into blocks of about ``BLOCK``, and each pair of blocks is a group of its own. A null id leads
+    nobody.
+    """
     prepare(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column("doc_id"), pa.array(fingerprint(pc.fill_null(batch.column("text"), "").to_pylist()))], ["doc_id", "fingerprint"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(fingerprint(pc.fill_null(batch.column("text"), "").to_pylist()), pa.string())], ["doc_id", "fingerprint"])
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,17 +255,59 @@ def similar(docs: DataFrame) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = [likeness(unspelled(a), unspelled(b)) for a, b in zip(batch.column("fingerprint").to_pylist(), batch.column("leading").to_pylist(), strict=True)]
-            yield pa.record_batch([batch.column("fingerprint"), batch.column("leader"), pa.array(near, pa.float64())], ["fingerprint", "leader", "near"])
+            yield pa.record_batch([*(batch.column(c) for c in ("fingerprint", "least", "leader", "met")), pa.array(near, pa.float64())], ["fingerprint", "least", "leader", "met", "near"])
 
-    marked = docs.select("doc_id", "text").mapInArrow(mark, f"doc_id {id_type}, fingerprint string")
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by pair of blocks, in each the known texts by id and then those that ask."""
+        unit, known, leads, table = None, [], [], None
+        for batch in batches:
+            asking, leader = [], []
+            units = zip(*(batch.column(c).to_pylist() for c in ("key", "theirs", "own")), strict=True)
+            for now, asks, text, least in zip(units, *(batch.column(c).to_pylist() for c in ("asks", "fingerprint", "least")), strict=True):
+                if now != unit:
+                    unit, known, leads, table = now, [], [], None
+                if not asks:
+                    known.append(text)
+                    leads.append(least)
+                elif known:
+                    if table is None:
+                        table = stacked(known)
+                    found = np.flatnonzero(likenesses(unspelled(text), table) >= SIMILAR)
+                    if len(found):
+                        asking.append(text)
+                        leader.append(leads[found[0]])
+            yield pa.record_batch([pa.array(asking, pa.string()), pa.array(leader, batch.column("least").type)], ["fingerprint", "leader"])
+
+    marked = materialize(docs.select("doc_id", "text").mapInArrow(mark, f"doc_id {id_type}, fingerprint string"), "fingerprints")
     nodes = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    keyed = nodes.mapInArrow(bands, f"fingerprint string, least {id_type}, keys array<string>").select("fingerprint", "least", F.explode("keys").alias("key"))
-    leaders = keyed.groupBy("key").agg(F.min_by("fingerprint", "least").alias("leading"), F.min("least").alias("leader"))
-    verified = keyed.join(leaders, "key").select("fingerprint", "leading", "leader").distinct().mapInArrow(verify, f"fingerprint string, leader {id_type}, near double")
-    best = verified.where(F.col("near") >= SIMILAR).groupBy("fingerprint").agg(F.min("leader").alias("leader"))
+    listed = nodes.mapInArrow(bands, f"fingerprint string, least {id_type}, keys array<string>")
+    keyed = materialize(listed.select("fingerprint", "least", F.explode(F.array_distinct("keys")).alias("key")), "bands")
+    leading = keyed.where("least IS NOT NULL")
+    leaders = leading.groupBy("key").agg(F.min_by("fingerprint", "least").alias("leading"), F.min("least").alias("leader"), F.count("*").alias("members"))
+    met = keyed.join(leaders, "key").groupBy("fingerprint", "least", "leading", "leader").agg(F.collect_list(F.struct("key", "members")).alias("met"))  # a text has few bands
+    verified = materialize(met.mapInArrow(verify, f"fingerprint string, least {id_type}, leader {id_type}, met array<struct<key:string,members:bigint>>, near double"), "verified")
+    unlike = verified.where(F.col("near") < SIMILAR).select("fingerprint", "least", F.explode("met").alias("met")).select("fingerprint", "least", "met.key", "met.members")
+    open_keys = unlike.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("ask_blocks"), F.ceil(F.first("members") / BLOCK).alias("blocks"))
+    block = lambda n: F.pmod(F.xxhash64("fingerprint"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asks = unlike.join(open_keys, "key").select("key", block("ask_blocks").alias("own"), every("blocks").alias("theirs"), F.lit(1).alias("asks"), "fingerprint", "least")
+    known = leading.join(open_keys, "key").select("key", every("ask_blocks").alias("own"), block("blocks").alias("theirs"), F.lit(0).alias("asks"), "fingerprint", "least")
+    dealt = asks.union(known).repartition("key", "theirs", "own").sortWithinPartitions("key", "theirs", "own", "asks", "least")
+    searched = dealt.mapInArrow(search, f"fingerprint string, leader {id_type}")
+    found = verified.where(F.col("near") >= SIMILAR).select("fingerprint", "leader").union(searched).union(nodes.select("fingerprint", "least"))
+    best = found.groupBy("fingerprint").agg(F.min("leader").alias("leader"))
     return marked.join(best, "fingerprint").select("doc_id", "fingerprint", "leader")
 
 
+def stacked(spelled_texts: list[str]) -> np.ndarray:
+    """Digits of fingerprints, a row each, filled up with zeros."""
+    found = [unspelled(x) for x in spelled_texts]
+    table = np.zeros((len(found), max(map(len, found))), np.uint8)
+    for row, own in zip(table, found, strict=True):
+        row[: len(own)] = own
+    return table
+
+
 def unspelled(text: str) -> np.ndarray:
     both = np.frombuffer(bytes.fromhex(text), np.uint8)
     return np.stack((both >> 4, both & 15), 1).ravel()

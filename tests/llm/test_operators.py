@@ -357,3 +357,23 @@ def test_similar_texts_share_a_leader(spark):
     rows = [(1, text), (2, text), (3, text[:-3] + "xyz"), (4, "entirely other " * 90), (5, None)]
     got = {r.doc_id: r.leader for r in edit_embedding.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_similar_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(edit_embedding, "BLOCK", block, raising=False)
+    chance = random.Random(9)
+    prose = lambda n: " ".join("".join(chance.choice("abcdefgh") for _ in range(chance.randint(1, 7))) for _ in range(n))
+    opening, rows = prose(300), [(0, "short"), (1, "shore"), (2, "shirt"), (3, None), (None, "short text"), (4, "short text")]
+    for group in range(8):  # one opening, and near copies of several other ends
+        text = opening + prose(130)
+        rows += [(10 + 3 * group + k, text[: len(text) - k] + "z" * k) for k in range(3)]
+    got = edit_embedding.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    prints = edit_embedding.fingerprint([t or "" for _, t in rows])
+    digits = [edit_embedding.unspelled(x) for x in prints]
+    keys = [set(edit_embedding.band_keys(x)) for x in prints]
+    shared = lambda a: [b for b, (doc, _) in enumerate(rows) if doc is not None and keys[a] & keys[b]]
+    want = [(doc, prints[a], min(rows[b][0] for b in shared(a) if edit_embedding.likeness(digits[a], digits[b]) >= edit_embedding.SIMILAR)) for a, (doc, _) in enumerate(rows)]
+    order = lambda r: (r[0] is None, r[0] or 0)
+    assert sorted(((r.doc_id, r.fingerprint, r.leader) for r in got), key=order) == sorted(want, key=order)
+    assert len({leader for doc, _, leader in want if (doc or 0) >= 10 and leader != doc}) > 4  # groups that the first text does not lead
