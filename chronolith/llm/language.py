@@ -5,8 +5,9 @@ transitions between the languages of neighbouring words are learned with them fr
 texts of different languages, so code-switched text is labelled word by word by forward-backward. A document's
 language is the one with the greatest mean marginal over its words, and that mean is its score.
 
-Training uses a bounded sample: at most ``SAMPLE`` documents of the training fold, from each at most ``SEGMENTS``
-evenly spaced segments of ``SEGMENT_WORDS`` words. Languages are the values found in that sample.
+Training uses a bounded sample: at most ``SAMPLE`` documents of each language of the training fold, however rare, from
+each at most ``SEGMENTS`` evenly spaced segments of ``SEGMENT_WORDS`` words; a longer run without white space than
+``PIECE_LETTERS`` counts as several words. The driver holds the words' forms; rounds take them in blocks.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0, as is every text if no document teaches
 anything; repeated rows give a row each; an empty table gives no rows; other columns are carried along or ignored.
@@ -25,13 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm.rows import annotate, slices, unwrap
-from chronolith.llm.sampling import sampled_ids, with_texts
+from chronolith.llm.sampling import sampled_of_each, with_texts
 from chronolith.llm.text import _classes, mix
 from chronolith.session import prepare
 
-SAMPLE, SEGMENTS, SEGMENT_WORDS = 1500, 4, 32
+SAMPLE, SEGMENTS, SEGMENT_WORDS, PIECE_LETTERS = 1000, 4, 40, 32
 #: Bytes of text whose words run through the field in step, and those whose emissions are scored at a time.
 STEP_BYTES, SCORED_BYTES = 4 << 20, 1 << 20
+#: Words whose forms, features or marginals are made at a time.
+BLOCK_WORDS = 1 << 14
 #: Hashed features.
 FEATURES = 1 << 16
 UNDETERMINED = "und"
@@ -103,14 +106,16 @@ def word_features(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tup
 
 def distinct_words(found: Letters) -> tuple[np.ndarray, np.ndarray]:
     """Indices of one word of each form, and each word's form."""
-    with np.errstate(over="ignore"):
-        size = found.end - found.start
-        digit = mix(found.points.astype(np.uint64) + np.uint64(1))
-        place = np.arange(len(digit), dtype=np.uint64)
-        # Position within the word enters as a factor, so order matters.
-        owner = np.repeat(np.arange(len(size)), size)
-        at = np.repeat(found.start, size) + _inner(size)
-        key = np.add.reduceat(mix(digit[at] + (place[at] - found.start[owner].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)), np.concatenate(([0], np.cumsum(size)[:-1]))) if len(size) else np.zeros(0, np.uint64)
+    size = found.end - found.start
+    key = np.empty(len(size), np.uint64)
+    for low in range(0, len(size), BLOCK_WORDS):
+        part = size[low : low + BLOCK_WORDS]
+        inner = _inner(part)
+        at = np.repeat(found.start[low : low + BLOCK_WORDS], part) + inner
+        with np.errstate(over="ignore"):
+            # Position within the word enters as a factor, so order matters.
+            digit = mix(found.points[at].astype(np.uint64) + np.uint64(1)) + inner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            key[low : low + BLOCK_WORDS] = np.add.reduceat(mix(digit), np.cumsum(part) - part)
     _, first, form = np.unique(key, return_index=True, return_inverse=True)
     return first, form
 
@@ -180,7 +185,18 @@ def marginals(scores: np.ndarray, first: np.ndarray, transitions: np.ndarray, co
     return both / both.sum(1, keepdims=True), expected
 
 
-def train(segments: list[tuple[str, str]], rounds: int = 30, rate: float = 0.5) -> Crf | None:
+def blocks_of_features(found: Letters, first_form: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features of one word of each form, and their number for each form."""
+    features, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for low in range(0, len(first_form), BLOCK_WORDS):
+        at = first_form[low : low + BLOCK_WORDS]
+        feature, word = word_features(found.points, found.start[at], found.end[at])
+        features.append(feature)
+        sizes.append(np.bincount(word, minlength=len(at)))
+    return np.concatenate(features), np.concatenate(sizes)
+
+
+def train(segments: list[tuple[str, str]], rounds: int = 40, rate: float = 0.5) -> Crf | None:
     """Fit the field to ``(language, segment)`` pairs by gradient ascent on the sequences' log likelihood."""
     labels = sorted({label for label, _ in segments})
     if not labels:
@@ -188,9 +204,9 @@ def train(segments: list[tuple[str, str]], rounds: int = 30, rate: float = 0.5)
     target = np.array([labels.index(label) for label, _ in segments])
     found = letter_words([text for _, text in segments])
     first_form, form = distinct_words(found)
-    feature, word = word_features(found.points, found.start[first_form], found.end[first_form])
-    begins = np.flatnonzero(np.diff(word, prepend=-1))
-    scale = np.sqrt(np.diff(begins, append=len(word)))[:, None]
+    feature, repeat = blocks_of_features(found, first_form)
+    begins = np.cumsum(repeat) - repeat
+    scale = np.sqrt(repeat)[:, None]
     gold = np.repeat(target, np.diff(found.first))
     # Sequences of four segments in an order that mixes languages: the field sees switches within a sequence.
     order = np.random.default_rng(11).permutation(len(segments))
@@ -201,20 +217,36 @@ def train(segments: list[tuple[str, str]], rounds: int = 30, rate: float = 0.5)
     model = Crf(labels, np.zeros((FEATURES, len(labels)), np.float32), np.zeros((len(labels), len(labels))))
     if not len(rows):
         return model
-    truth = np.zeros((len(rows), len(labels)))
-    truth[np.arange(len(rows)), gold[rows]] = 1
     inside = np.ones(len(rows), bool)
     inside[first[:-1][first[:-1] < len(rows)]] = False
     seen = np.zeros((len(labels), len(labels)))
     at = np.flatnonzero(inside)
     np.add.at(seen, (gold[rows[at - 1]], gold[rows[at]]), 1)
     square, square_t = np.zeros_like(model.weights), np.zeros_like(seen)
-    repeat = np.diff(begins, append=len(word))
+    # Whole sequences, about BLOCK_WORDS words at a time; forms likewise.
+    cuts = np.unique(np.append(np.searchsorted(first, np.arange(0, len(rows), BLOCK_WORDS)), len(first) - 1))
+    shapes = [(low, min(low + BLOCK_WORDS, len(first_form))) for low in range(0, len(first_form), BLOCK_WORDS)]
+    span = lambda low, high: slice(int(begins[low]), int(begins[high - 1] + repeat[high - 1]))
+    scores = np.empty((len(first_form), len(labels)), np.float32)
     for _ in range(rounds):
-        scores = (np.add.reduceat(model.weights[feature], begins, axis=0) / scale).astype(np.float32)
-        belief, expected = marginals(scores[form[rows]], first, model.transitions, count=True)
-        of_form = np.stack([np.bincount(form[rows], (truth - belief)[:, k], len(first_form)) for k in range(len(labels))], 1) / scale
-        gradient = np.stack([np.bincount(feature, np.repeat(of_form[:, k], repeat), FEATURES) for k in range(len(labels))], 1) / len(rows) - 1e-6 * model.weights
+        for low, high in shapes:
+            scores[low:high] = np.add.reduceat(model.weights[feature[span(low, high)]], begins[low:high] - begins[low], axis=0) / scale[low:high]
+        of_form, expected = np.zeros((len(first_form), len(labels))), np.zeros_like(seen)
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            part = rows[first[low] : first[high]]
+            if not len(part):
+                continue
+            belief, moved = marginals(scores[form[part]], first[low : high + 1] - first[low], model.transitions, count=True)
+            expected += moved
+            rest = -belief.astype(np.float64)
+            rest[np.arange(len(part)), gold[part]] += 1
+            np.add.at(of_form, form[part], rest)
+        of_form /= scale
+        gradient = np.zeros(model.weights.shape)
+        for low, high in shapes:
+            for k in range(len(labels)):
+                gradient[:, k] += np.bincount(feature[span(low, high)], np.repeat(of_form[low:high, k], repeat[low:high]), FEATURES)
+        gradient = gradient / len(rows) - 1e-6 * model.weights
         square += gradient**2
         model.weights += (rate * gradient / (np.sqrt(square) + 1e-8)).astype(np.float32)
         step = (seen - expected) / max(1, len(at)) - 1e-4 * model.transitions
@@ -223,6 +255,13 @@ def train(segments: list[tuple[str, str]], rounds: int = 30, rate: float = 0.5)
     return model
 
 
+def segments_of(text: str) -> list[str]:
+    """Evenly spaced segments of at most ``SEGMENT_WORDS`` words, or pieces of words, of ``PIECE_LETTERS`` at most."""
+    pieces = [(" " if not at else "") + word[at : at + PIECE_LETTERS] for word in text.split() for at in range(0, len(word), PIECE_LETTERS)]
+    last = max(0, len(pieces) - SEGMENT_WORDS)
+    return ["".join(pieces[at : at + SEGMENT_WORDS]).strip() for at in sorted({last * k // max(1, SEGMENTS - 1) for k in range(SEGMENTS)})]
+
+
 def learn(docs: DataFrame, training: Column) -> Crf | None:
     """Train on the bounded sample of the documents for which ``training`` holds."""
     prepare(docs.sparkSession)
@@ -231,15 +270,13 @@ def learn(docs: DataFrame, training: Column) -> Crf | None:
         for batch in batches:
             languages, segments = [], []
             for text, language in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
-                parts = (text or "").split()
-                last = max(0, len(parts) - SEGMENT_WORDS)
-                for at in sorted({last * k // max(1, SEGMENTS - 1) for k in range(SEGMENTS)}):
+                for segment in segments_of(text or ""):
                     languages.append(language)
-                    segments.append(" ".join(parts[at : at + SEGMENT_WORDS]))
+                    segments.append(segment)
             yield pa.record_batch({"language": pa.array(languages, pa.string()), "segment": pa.array(segments, pa.string())})
 
-    sample = with_texts(docs, sampled_ids(docs.where(training), "lang", SAMPLE)).select("text", F.col("target").cast("string").alias("target"))
-    rows = sample.mapInArrow(cut, "language string, segment string").collect()  # at most SAMPLE * SEGMENTS segments
+    sample = with_texts(docs, sampled_of_each(docs.where(training), "lang", SAMPLE)).select("text", F.col("target").cast("string").alias("target"))
+    rows = sample.mapInArrow(cut, "language string, segment string").collect()  # at most SAMPLE * SEGMENTS segments of each language
     return train(sorted((r.language, r.segment) for r in rows))
 
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from chronolith.llm import byte_bpe, chat, decontaminate, edit_embedding, exchange, language, ppm, quality, simhash, token_counts
-from chronolith.llm.sampling import remainder
+from chronolith.llm.sampling import remainder, sampled_of_each
 from chronolith.llm.text import ALNUM, hash_spans
 from chronolith.llm.text import words as cut_words
 from tests.llm.conftest import edge_rows, low
@@ -261,6 +261,18 @@ def test_language(edge, empty):
     assert language.keep_identified(edge, model).columns == edge.columns
 
 
+def test_rare_languages_are_sampled_and_segments_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 20)
+    rows = [(k, f"the house of the king number{k}", "en") for k in range(600)] + [(1000, "das haus von dem könig", "de")]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert model.labels == ["de", "en"]
+    sample = sampled_of_each(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang", 20).groupBy("target").count().collect()
+    assert {r.target: r["count"] for r in sample} == {"en": 20, "de": 1}
+    found = language.segments_of("漢字" * 50_000)
+    assert len(found) == 4 and all(len(x) <= language.SEGMENT_WORDS * language.PIECE_LETTERS for x in found)
+    assert language.segments_of("one two  three") == ["one two three"] and language.segments_of("") == [""]
+
+
 def test_code_switching_is_labelled_word_by_word():
     english, german = "the house of the king and the thing with that", "das haus von dem könig und nicht mit einer ung"
     model = language.train([("en", english), ("de", german)] * 20)
