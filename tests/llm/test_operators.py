@@ -155,6 +155,17 @@ def test_simhash(edge, empty):
     assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").select("doc_id").collect()) == sorted({d for d, c in components.items() if d is not None and d == c})
 
 
+def test_simhash_repeated_ids_keep_a_row_of_each_component(spark):
+    chance = random.Random(4)
+    prose = lambda: " ".join(f"w{chance.randrange(10**6)}" for _ in range(80))
+    a, b, c = prose(), prose(), prose()
+    rows = [(3, a), (5, a), (5, b), (6, b), (7, c), (7, c + " "), (8, prose()), (9, a), (9, rest := prose())]
+    kept = simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == sorted([(3, a), (5, b), (7, c), rows[6], (9, rest)])
+    rows = [(5, a), (5, b)]  # two components of one id
+    assert sorted(map(tuple, simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == sorted(rows)
+
+
 def test_simhash_large_groups_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 8)
     chance = np.random.default_rng(5)
