@@ -4,7 +4,7 @@ Documents are dealt into chunks of bounded size. Each chunk sends its *distinct*
 chosen by the keys' hash (shuffle one); a bucket answers each distinct key once and returns, for every chunk, the
 answers in the order in which that chunk's keys sort (shuffle two); the chunk then reassembles its documents by
 position from its own text. A frequent key costs one entry a chunk, so no key makes a task hot, and what moves
-besides the text is a few bytes for each distinct key of a chunk.
+besides the compressed text is a few bytes for each distinct key of a chunk.
 
 Chunks grow with the fourth root of the corpus (14 MB at 1 GB, 250 MB at 100 TB) and buckets with nearly the number
 of chunks, so that a chunk's and a bucket's memory stay bounded while the pieces between them do not become too
@@ -14,12 +14,13 @@ many and small: at 100 TB some 400,000 chunks of 90,000 pieces of a few dozen ke
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +30,18 @@ from chronolith.llm.text import hash_array
 #: which is for a corpus of 1 MB and grows with the fourth root.
 CHUNK_BYTES = (4 << 20, 5 << 19)
 
-_IPC = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
+#: Neighbouring rows of a file that go to one chunk together.
+NEIGHBOURS = 64
 
+#: Compression of keys and answers, which are worth more effort, and of texts.
+KEYS, TEXTS = 9, 3
 
-def pack(table: pa.Table) -> bytes:
+
+def pack(table: pa.Table, level: int = KEYS) -> bytes:
     """A table as compressed Arrow IPC bytes."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=_IPC) as out:
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))
+    with pa.ipc.new_stream(sink, table.schema, options=options) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -59,10 +65,36 @@ def chunk_count(total: int) -> int:
     return max(1, math.ceil(total / max(least, min(total / 64, most * (total / 2**20) ** 0.25))))
 
 
+def _place(docs: DataFrame) -> Column:
+    """A hash of where a row stands: of its run of neighbours in its file, so that equal rows are dealt apart; of its id
+    and text where the table is no file, so that equal rows stay together. Either is the same whenever it is asked."""
+    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    try:
+        docs.select(file, row).schema  # noqa: B018
+    except AnalysisException:
+        return F.xxhash64("doc_id", "text")
+    return F.xxhash64(file, F.floor(row / NEIGHBOURS))
+
+
 def into_chunks(docs: DataFrame, total: int, *columns: Column) -> DataFrame:
-    """``(chunk, doc_id, text, ...)``: documents dealt evenly by a hash of id and text."""
-    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunk_count(total))).cast("int").alias("chunk")
-    return docs.select(chunk, "doc_id", "text", *columns)
+    """``(chunk, part)``: documents dealt evenly to chunks, ``doc_id, text, ...`` of several in a compressed part."""
+    chunk = F.pmod(_place(docs), F.lit(chunk_count(total))).cast("int").alias("chunk")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            home = batch.column("chunk").to_numpy()
+            order = np.argsort(home, kind="stable")
+            begin = np.flatnonzero(np.diff(home[order], prepend=-1))
+            rows = pa.Table.from_batches([batch]).drop_columns(["chunk"])
+            parts = [pack(rows.take(pa.array(own)), TEXTS) for own in np.split(order, begin[1:])] if len(order) else []
+            yield pa.record_batch({"chunk": pa.array(home[order][begin], pa.int32()), "part": pa.array(parts, pa.binary())})
+
+    return docs.select(chunk, "doc_id", "text", *columns).mapInArrow(run, "chunk int, part binary")
+
+
+def opened(parts: pa.Table) -> pa.Table:
+    """A chunk's documents."""
+    return pa.concat_tables([unpack(part) for part in parts.column("part").to_pylist()])
 
 
 def bucket_count(total: int) -> int:
@@ -115,7 +147,7 @@ def exchange(
 
     def send(key: tuple, chunk: pa.Table) -> pa.Table:
         homes, parts = [], []
-        for kind, found in enumerate(keys_of(chunk)):
+        for kind, found in enumerate(keys_of(opened(chunk))):
             order, begin = found.order(buckets)
             table = pa.table({"key": found.keys, **found.columns}).take(order)
             for b in range(buckets):
@@ -132,7 +164,7 @@ def exchange(
         kinds: dict[int, list[pa.Table]] = {}
         for bucket, blob in found:
             kinds.setdefault(bucket // buckets, []).append(unpack(blob))
-        return finish(chunk, [tables for _, tables in sorted(kinds.items())])
+        return finish(opened(chunk), [tables for _, tables in sorted(kinds.items())])
 
     def reply(key: tuple, parts: pa.Table) -> pa.Table:
         return respond(key, parts)
