@@ -2,14 +2,15 @@
 
 The trie of contexts of up to ``ORDER`` bytes is held as counts of (context, next byte) grams of the training
 documents. A gram's probability follows the trie from the longest known context towards the root: at each node the
-escape estimate of method C (distinct symbols over symbols plus distinct symbols) is taken, and symbols of the
-longer contexts are excluded from the shorter ones. A document's score is the log10 probability of its bytes and
+escape estimate of method D (half the distinct symbols over the symbols; each symbol gives up a half) is taken, and
+symbols of the longer contexts are excluded from the shorter ones. A document's score is the log10 probability of its bytes and
 one end symbol under the pretrained counts; ``code_length_bits`` is the same as a code length.
 
-Gram counts are summed over the corpus by Spark. The counts of all contexts that end in the same two bytes meet in
-one group (of distinct grams, so bounded whatever the corpus): there the nodes of order two and more are complete,
-and every gram's probability is worked out once. Nodes of orders nought and one are 65,536 numbers at most, and are
-broadcast. Chunks of documents then get the probabilities of their distinct grams through the key exchange.
+Gram counts are summed over the corpus by Spark. The counts of all contexts that end in the same three bytes meet in
+one part of about ``SOLVED`` grams: there the nodes of order three and more are complete, the nodes of order two are
+joined to it, and every gram's probability is worked out once. Nodes of orders nought and one are 65,536 numbers at
+most, and are broadcast. Chunks of documents then get the probabilities of their distinct grams through the key
+exchange.
 
 The baseline is a smoothed unigram model of words.
 
@@ -32,13 +33,15 @@ from chronolith.llm.text import LOWER, SPACED, mix, raw_texts, spans_to_array, w
 from chronolith.session import materialize, prepare
 
 #: Longest context, in bytes.
-ORDER = 4
+ORDER = 5
 #: Bytes that UTF-8 never uses: what stands before a text, and the symbol that ends it.
 BEFORE, END = 0xFE, 0xFF
 #: The key of the end token; words hold no space.
 END_TOKEN = b" "
 #: Distinct grams that a task holds before it hands them on.
 MOST_GRAMS = 4 << 20
+#: Grams whose probabilities are worked out together, about.
+SOLVED = 1 << 18
 #: Bytes of text whose grams are sorted at a time.
 SLICE_BYTES = 2 << 20
 
@@ -129,39 +132,39 @@ def _mask(order: int) -> np.uint64:
     return np.uint64((1 << (8 * (order + 1))) - 1)
 
 
-def log_probabilities(packed: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+def log_probabilities(packed: np.ndarray, counts: np.ndarray, triples: np.ndarray, seen: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """log10 probability of each gram's symbol after its context.
 
-    ``packed``: distinct grams, all training grams that share their last two context bytes among them; ``counts``:
-    how often each was seen in training; ``pairs``: 256 x 256 counts of (byte before, symbol).
+    ``packed``: distinct grams, all training grams that share their last three context bytes among them; ``counts``:
+    how often each was seen in training; ``triples``, ``seen``: the nodes of order two (sorted) for these grams' last
+    two context bytes, and their counts; ``pairs``: 256 x 256 counts of (byte before, symbol).
     """
     n_sym, n_ctx, d_ctx = {}, {}, {}  # by order, for each gram: count of its symbol, of its context, distinct symbols
     level: dict[int, tuple] = {}
     for order in range(ORDER, 1, -1):
-        nodes, place = np.unique(packed & _mask(order), return_inverse=True)
-        n = np.bincount(place, counts, len(nodes))
+        if order > 2:
+            nodes, place = np.unique(packed & _mask(order), return_inverse=True)
+            n = np.bincount(place, counts, len(nodes))
+        else:
+            nodes, n, place = triples, seen, np.searchsorted(triples, packed & _mask(2))
         contexts, of = np.unique(nodes >> np.uint64(8), return_inverse=True)
         total, distinct = np.bincount(of, n, len(contexts)), np.bincount(of, n > 0, len(contexts))
-        level[order] = nodes, n, of, len(contexts)
+        level[order] = nodes, n, of, len(contexts), place
         n_sym[order], n_ctx[order], d_ctx[order] = n[place], total[of][place], distinct[of][place]
     before, symbol = ((packed >> np.uint64(8)) & np.uint64(255)).astype(np.int64), (packed & np.uint64(255)).astype(np.int64)
     single = pairs.sum(0)
     n_sym[1], n_ctx[1], d_ctx[1] = pairs[before, symbol], pairs.sum(1)[before], (pairs > 0).sum(1)[before]
     n_sym[0], n_ctx[0], d_ctx[0] = single[symbol], np.full(len(packed), single.sum()), np.full(len(packed), (single > 0).sum())
     # Counts, at each context, of the symbols that its one byte longer context excludes.
-    excluded = {}
-    for order in range(ORDER - 1, -1, -1):
-        if order >= 1:
-            nodes, n, of, size = level[order + 1]
-            if order >= 2:
-                shorter, m = level[order][0], level[order][1]
-                seen = m[np.searchsorted(shorter, nodes & _mask(order))]
-            else:
-                seen = pairs[((nodes >> np.uint64(8)) & np.uint64(255)).astype(np.int64), (nodes & np.uint64(255)).astype(np.int64)]
-            mass = np.bincount(of, np.where(n > 0, seen, 0), size)
-            excluded[order] = mass[of][np.searchsorted(nodes, packed & _mask(order + 1))]
+    excluded = {0: ((pairs > 0) * single).sum(1)[before]}
+    for order in range(ORDER - 1, 0, -1):
+        nodes, n, of, size, place = level[order + 1]
+        if order > 1:
+            shorter, m = level[order][:2]
+            known = m[np.searchsorted(shorter, nodes & _mask(order))]
         else:
-            excluded[0] = ((pairs > 0) * single).sum(1)[before]
+            known = pairs[((nodes >> np.uint64(8)) & np.uint64(255)).astype(np.int64), (nodes & np.uint64(255)).astype(np.int64)]
+        excluded[order] = np.bincount(of, np.where(n > 0, known, 0), size)[of][place]
     out = np.zeros(len(packed))
     open_ = np.ones(len(packed), bool)
     for order in range(ORDER, -1, -1):
@@ -173,8 +176,8 @@ def log_probabilities(packed: np.ndarray, counts: np.ndarray, pairs: np.ndarray)
         active = open_ & (d > 0)
         hit = active & (n_sym[order] > 0)
         escape = active & ~hit
-        out[hit] += np.log10(n_sym[order][hit] / (n + d)[hit])
-        out[escape] += np.log10(d[escape] / (n + d)[escape])
+        out[hit] += np.log10((n_sym[order][hit] - 0.5) / n[hit])
+        out[escape] += np.log10(0.5 * d[escape] / n[escape])
         open_ &= ~hit
     out[open_] -= np.log10(256 - (single > 0).sum())
     return out
@@ -211,18 +214,27 @@ def home(packed: np.ndarray) -> np.ndarray:
 
 
 def probabilities(counts: DataFrame, pairs: np.ndarray, buckets: int) -> DataFrame:
-    """``(bucket, gram, logp)`` of every gram, worked out where all grams of its last two context bytes meet."""
+    """``(bucket, gram, logp)`` of every gram, worked out where all grams of its last three context bytes meet."""
     shared = counts.sparkSession.sparkContext.broadcast(pairs)
 
-    def solve(key: tuple, rows: pa.Table) -> pa.Table:
+    def arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         packed = rows.column("gram").to_numpy().view(np.uint64)
         order = np.argsort(packed)
-        packed, n = packed[order], rows.column("n").to_numpy()[order]
-        bucket = (home(packed) % np.uint64(buckets)).astype(np.int32) + buckets
-        return pa.table({"bucket": bucket, "gram": packed.view(np.int64), "logp": log_probabilities(packed, n, shared.value)})
+        return packed[order], rows.column("n").to_numpy()[order]
 
-    suffix = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).alias("suffix")
-    return counts.select(suffix, "gram", "n").groupBy("suffix").applyInArrow(solve, "bucket int, gram long, logp double")
+    def solve(key: tuple, rows: pa.Table, nodes: pa.Table) -> pa.Table:
+        packed, n = arrays(rows)
+        bucket = (home(packed) % np.uint64(buckets)).astype(np.int32) + buckets
+        return pa.table({"bucket": bucket, "gram": packed.view(np.int64), "logp": log_probabilities(packed, n, *arrays(nodes), shared.value)})
+
+    parts = max(1, -(-counts.count() // SOLVED))
+    after = lambda n: F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * n) - 1))
+    dealt = counts.select(F.pmod(F.xxhash64(after(3)), F.lit(parts)).cast("int").alias("part"), "gram", "n")
+    triples = counts.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFFFF)).alias("gram")).agg(F.sum("n").alias("n")).withColumn("suffix", after(2))
+    # A suffix has 256 nodes of order two at most and is asked for once by each part.
+    asked = dealt.select(F.col("part").alias("asking"), after(2).alias("suffix")).distinct()
+    nodes = triples.join(asked, "suffix").select("asking", F.col("gram").alias("node"), F.col("n").alias("seen")).toDF("asking", "gram", "n")
+    return dealt.groupBy("part").cogroup(nodes.groupBy("asking")).applyInArrow(solve, "bucket int, gram long, logp double")
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
