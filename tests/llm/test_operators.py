@@ -4,11 +4,13 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -45,66 +47,116 @@ def test_byte_bpe(edge, empty):
     assert byte_bpe.encode(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def segmentations(word, numbers, scores):
+    """Of a word: the best segmentation's count and score, and each piece's expected count."""
+    ends = [[(e - n, numbers[word[e - n : e]]) for n in range(min(e, 128), 0, -1) if word[e - n : e] in numbers] for e in range(len(word) + 1)]
+    best, forward = [(0.0, 0)], [0.0]
+    for own in ends[1:]:
+        top = (-math.inf, 0)
+        for before, piece in own:
+            if best[before][0] + scores[piece] > top[0]:
+                top = (best[before][0] + scores[piece], best[before][1] + 1)
+        best.append(top)
+        forward.append(np.logaddexp.reduce([forward[before] + scores[piece] for before, piece in own]))
+    backward, share = [-math.inf] * len(word) + [0.0], Counter()
+    for end in range(len(word), 0, -1):
+        for before, piece in ends[end]:
+            backward[before] = np.logaddexp(backward[before], backward[end] + scores[piece])
+            share[piece] += math.exp(forward[before] + scores[piece] + backward[end] - forward[-1])
+    return best[-1][1], best[-1][0], share
+
+
 def test_token_counts(edge, empty):
-    scores = token_counts.piece_scores(byte_bpe.vocabulary(RANKS))
-    longest = max(map(len, scores))
+    numbers = {piece: k for k, piece in enumerate(sorted(byte_bpe.vocabulary(RANKS), key=byte_bpe.vocabulary(RANKS).get))}
     pattern = regex.compile(public_tokenizers.PATTERN)
-    known = {}
-
-    def best(word):
-        if word not in known:
-            state = [(0.0, 0)]
-            for end in range(1, len(word) + 1):
-                top = (-math.inf, 0)
-                for size in range(min(end, longest), 0, -1):
-                    value = scores.get(word[end - size : end], -math.inf) + state[end - size][0]
-                    if value > top[0]:
-                        top = (value, state[end - size][1] + 1)
-                state.append(top)
-            known[word] = state[-1]
-        return known[word]
-
-    got = {(-1 if r.doc_id is None else r.doc_id): r for r in token_counts.count_tokens(edge, RANKS).collect()}
+    words = Counter(w.encode() for _, text, *_ in ROWS for w in pattern.findall(text or ""))
+    scores = token_counts.by_rank(len(numbers))
+    for _ in range(2):
+        counts = np.full(len(numbers), token_counts.PRIOR)
+        for word, n in words.items():
+            for piece, share in segmentations(word, numbers, scores)[2].items():
+                counts[piece] += n * share
+        scores = np.log(counts / counts.sum())
+    known = {word: segmentations(word, numbers, scores) for word in words}
+    got = {(-1 if r.doc_id is None else r.doc_id): r for r in token_counts.count_tokens(edge, RANKS, 2).collect()}
     for doc, text, *_ in ROWS:
-        words = [best(w.encode()) for w in pattern.findall(text or "")]
+        own = [known[w.encode()] for w in pattern.findall(text or "")]
         r = got[-1 if doc is None else doc]
-        assert (r.n_pretokens, r.n_tokens) == (len(words), sum(n for _, n in words))
-        assert r.score == pytest.approx(sum(s for s, _ in words))
+        assert (r.n_pretokens, r.n_tokens) == (len(own), sum(x[0] for x in own))
+        assert r.score == pytest.approx(sum(x[1] for x in own))
     assert token_counts.count_tokens(edge, RANKS).count() == len(ROWS) and token_counts.count_tokens(empty, RANKS).count() == 0
 
 
+def test_long_words_are_solved_in_linear_time():
+    chance, pieces = random.Random(8), token_counts.pieces_of(RANKS)
+    scores = token_counts.by_rank(len(pieces.hashes))
+    numbers = {piece: k for k, piece in enumerate(sorted(byte_bpe.vocabulary(RANKS), key=byte_bpe.vocabulary(RANKS).get))}
+    spell = lambda n: "".join(chance.choice("abcdefghé") for _ in range(n)).encode()
+    words = sorted({spell(n) for n in (1, 3, 63, 64, 65, 66, 300)} | {b"a" * 500, b" " * 90})
+    weights = np.arange(1, len(words) + 1)
+    count, score = token_counts.solved(pa.array(words, pa.large_binary()), pieces, scores)
+    want = [segmentations(w, numbers, scores) for w in words]
+    assert count.tolist() == [x[0] for x in want] and score.tolist() == pytest.approx([x[1] for x in want])
+    share = np.zeros(len(scores))
+    for n, (_, _, own) in zip(weights, want, strict=True):
+        for piece, x in own.items():
+            share[piece] += n * x
+    assert token_counts.expected(pa.array(words, pa.large_binary()), weights, pieces, scores) == pytest.approx(share)
+    began = time.perf_counter()
+    token_counts.best_of_long(spell(1_000_000), pieces, scores)
+    assert time.perf_counter() - began < 10
+
+
+def test_equal_rows_of_a_file_are_dealt_apart(spark, tmp_path):
+    rows = [(None, "")] * 500 + [(7, "same text")] * 500
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    sizes = [sum(exchange.unpack(bytes(p.part)).num_rows for p in parts) for parts in _by_chunk(exchange.into_chunks(docs, 30 * 20_000)).values()]
+    assert sum(sizes) == 1000 and max(sizes) < 500
+    assert {(r.doc_id, r.n_tokens) for r in byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN).collect()} == {(None, 0), (7, 2)}
+
+
+def _by_chunk(chunks):
+    found = defaultdict(list)
+    for row in chunks.collect():
+        found[row.chunk].append(row)
+    return found
+
+
 def held(doc):
     return zlib.crc32(("" if doc is None else str(doc)).encode()) % 5 == 1
 
 
 @pytest.mark.parametrize("all_held", [False, True])
-def test_ppm(edge, empty, all_held):
+def test_ppm(edge, empty, all_held, monkeypatch):
+    monkeypatch.setattr(ppm, "SOLVED", 5000)
     out = (lambda doc: True) if all_held else held
     tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", low(t)) + [" "]
-    framed = lambda t: b"\xfe" * 4 + low(t).encode() + b"\xff"
+    most = ppm.ORDER
+    framed = lambda t: b"\xfe" * most + low(t).encode() + b"\xff"
     counts, trie = Counter(), defaultdict(Counter)
     for doc, text, *_ in ROWS:
         if not out(doc):
             counts.update(tokens(text))
             data = framed(text)
-            for i in range(4, len(data)):
-                for order in range(5):
+            for i in range(most, len(data)):
+                for order in range(most + 1):
                     trie[data[i - order : i]][data[i]] += 1
     total, distinct = sum(counts.values()), len(counts)
 
     def score(data):
         value = 0.0
-        for i in range(4, len(data)):
+        for i in range(most, len(data)):
             excluded = set()
-            for order in range(4, -1, -1):
+            for order in range(most, -1, -1):
                 seen = {s: n for s, n in trie.get(data[i - order : i], {}).items() if s not in excluded}
                 if not seen:
                     continue
                 n, d = sum(seen.values()), len(seen)
                 if data[i] in seen:
-                    value += math.log10(seen[data[i]] / (n + d))
+                    value += math.log10((seen[data[i]] - 0.5) / n)
                     break
-                value += math.log10(d / (n + d))
+                value += math.log10(0.5 * d / n)
                 excluded |= seen.keys()
             else:
                 value -= math.log10(256 - len(trie.get(b"", {})))
