@@ -6,30 +6,33 @@ run of ``SPAN`` grams, hence that run's least hash, so every such span is found.
 with the benchmark's on the map side. All windows under a shared fingerprint, however often its gram recurs, are looked
 up among the benchmark's windows and compared word by word. Shorter items are looked up whole.
 
-The benchmark is a stated query set: it is held in blocks of ``BLOCK_BYTES``, each broadcast and joined in turn
-within the same pass over the documents, whatever their number. Documents are never shuffled.
+The benchmark is a stated query set: it is held in blocks of ``BLOCK_BYTES``. ``AT_ONCE`` blocks are broadcast and
+looked up in one pass over the documents; a larger benchmark takes several passes, each of which writes its finds beside
+the documents, so that neither driver nor executors ever hold more. Documents are never shuffled.
 
 Edge cases: a null text has no words, so it hits nothing and, as an item, never occurs; repeated items count once
-by id; repeated documents give a row each; without items nothing is hit; an empty table gives no rows; other
+by id; items without an id hit, and together count as one item that the digest does not name; repeated documents give a row each; without items nothing is hit; an empty table gives no rows; other
 columns are carried along or ignored.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm.rows import annotate, unwrap
 from chronolith.llm.text import ALNUM, hash_spans, mix, raw_texts, words
-from chronolith.session import prepare
+from chronolith.session import materialize, prepare
 
 WINDOW, GRAM = 10, 5
 SPAN = WINDOW - GRAM + 1
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES, AT_ONCE = 32 << 20, 2
 #: Windows that are compared word by word at a time.
 VERIFIED = 1 << 15
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -161,28 +164,41 @@ def parts(sizes: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(begin.tolist(), [*begin[1:].tolist(), len(sizes)], strict=True))
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list:
-    """Broadcasts of ``(name, rows)``: the benchmark's rows in blocks of about ``block_bytes`` of text. A name is
-    never used again, so tables that a Python worker made of another block can't be taken for this one's."""
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[Broadcast, bool]]:
+    """Broadcasts of ``(name, rows)``, and whether each is the last: the benchmark's rows in blocks of about
+    ``block_bytes`` of text. A name is never used again, so tables that a Python worker made of another block can't be
+    taken for this one's."""
     spark = benchmark.sparkSession
     total = benchmark.agg(F.sum(F.octet_length("text").cast("long") + 16)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("block"))
-    out = []
     for block in range(blocks):
         rows = [(r.item_id, r.text.encode("utf-8", "surrogatepass")) for r in items.where(F.col("block") == block).distinct().collect()]
-        out.append(spark.sparkContext.broadcast((uuid.uuid4().hex, rows)))
-    return out
+        yield spark.sparkContext.broadcast((uuid.uuid4().hex, rows)), block == blocks - 1
 
 
 _made: dict[str, Benchmark] = {}
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Each row of ``docs`` as ``row``, with ``n_words, n_hit, items, spans``: the occurring items and the hit words
-    as ``[first, last + 1]`` pairs of word positions."""
+    """Each row of ``docs`` as ``row``, with ``n_words, n_hit, items, spans``: the occurring items (null last) and the
+    hit words as ``[first, last + 1]`` pairs of word positions."""
     prepare(docs.sparkSession)
-    blocks = benchmark_blocks(benchmark, block_bytes)
+    found, blocks = docs, []
+    for block, last in benchmark_blocks(benchmark, block_bytes):
+        blocks.append(block)
+        if last or len(blocks) == AT_ONCE:
+            found = _pass(found, blocks, found is not docs)
+            if not last:
+                found = materialize(found, "marked")
+                for used in blocks:
+                    used.destroy()
+                blocks = []
+    return found
+
+
+def _pass(rows: DataFrame, blocks: list[Broadcast], again: bool) -> DataFrame:
+    """Rows marked by some blocks' items, and by what they were marked with before if this is done ``again``."""
 
     def compute(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         texts = raw_texts(batch.column("text"))
@@ -190,7 +206,12 @@ def mark(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
         hashed = hash_spans(found.data, found.start, found.end)
         owner = np.repeat(np.arange(len(texts)), found.per_document)
         hit = np.zeros(len(hashed), bool)
-        items: list[set[str]] = [set() for _ in texts]
+        items: list[set[str | None]] = [set() for _ in texts]
+        if again:
+            items = [set(x) for x in batch.column("items").to_pylist()]
+            for k, spans in enumerate(batch.column("spans").to_pylist()):
+                for low, high in spans:
+                    hit[found.first[k] + low : found.first[k] + high] = True
         for block in blocks:
             bench = _benchmark(block)
             own, pairs = hits(found, hashed, owner, bench)
@@ -206,19 +227,19 @@ def mark(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
         return {
             "n_words": pa.array(found.per_document.astype(np.int64)),
             "n_hit": pa.array(counted[found.first[1:]] - counted[found.first[:-1]], pa.int64()),
-            "items": pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+            "items": pa.array([sorted(x - {None}) + [None] * (None in x) for x in items], pa.list_(pa.string())),
             "spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))),
         }
 
-    return annotate(docs, compute, "n_words long, n_hit long, items array<string>, spans array<array<long>>")
+    return annotate(rows, compute, "n_words long, n_hit long, items array<string>, spans array<array<long>>", given=("items", "spans") if again else ())
 
 
 def _benchmark(block) -> Benchmark:
     """The block's tables, made once for each Python worker while it stays in use."""
     name, rows = block.value
     if name not in _made:
-        if len(_made) > 8:
-            _made.clear()
+        while len(_made) >= AT_ONCE:
+            _made.pop(next(iter(_made)))
         _made[name] = Benchmark(rows)
     return _made[name]
 
