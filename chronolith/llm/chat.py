@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from chronolith.llm.rows import arrow_type
 from chronolith.session import prepare
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -141,14 +142,10 @@ def format_conversations(conversations: DataFrame, definition: str) -> DataFrame
             yield pa.RecordBatch.from_pylist([{"conv_id": conv, "part": number, "formatted": part.text, "ids": part.ids.tolist(), "loss_mask": part.mask.tolist()}], out)
             number = 0 if ends else number + 1
 
-    out = pa.schema({"conv_id": _arrow(conv_type), "part": pa.int32(), "formatted": pa.string(), "ids": pa.list_(pa.int32()), "loss_mask": pa.list_(pa.bool_())})
+    out = pa.schema({"conv_id": arrow_type(conversations, "conv_id"), "part": pa.int32(), "formatted": pa.string(), "ids": pa.list_(pa.int32()), "loss_mask": pa.list_(pa.bool_())})
     return _sorted(conversations).mapInArrow(run, f"conv_id {conv_type}, part int, formatted string, ids array<int>, loss_mask array<boolean>")
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
-
-
 def digests(conversations: DataFrame, definition: str) -> DataFrame:
     """For every conversation, digests of the turns and trained texts that are read back from the formatted text."""
     spark = prepare(conversations.sparkSession)
@@ -180,6 +177,6 @@ def digests(conversations: DataFrame, definition: str) -> DataFrame:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "n_loss_tokens"]
-    types = [_arrow(conv_type), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    types = [arrow_type(conversations, "conv_id"), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
     schema = f"conv_id {conv_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long"
     return _sorted(conversations).mapInArrow(run, schema)
