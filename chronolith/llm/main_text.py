@@ -9,7 +9,7 @@ The potentials are trained by maximum likelihood on labelled pages. No labelled
 ``labelled_pages`` writes ``TRAINING_PAGES`` of them in many layouts (semantic tags or named divisions, with menus,
 banners, adverts, forms, sidebars, comments and footers around an article); the number is the training bound.
 
-All pages of an Arrow batch are inferred together, level by level.
+Up to 256 pages are inferred together, level by level; the work grows with nodes and levels, so deep nesting is no trap.
 
 Edge cases: null or empty html has an empty text; markup may be broken or cut off; scripts, styles, templates and
 comments are never text; repeated rows give a row each; an empty table gives no rows; other columns are ignored.
@@ -62,6 +62,7 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tags, self.marks, self.parents, self.blocks, self.texts = ["#page"], [""], [0], [0], [""]
         self.open, self.names = [0], ["#page"]
+        self.places: dict[str, list[int]] = {}  # of each open name, its places in the stack
         self.block = 0
         self.silent = ""
 
@@ -76,15 +77,15 @@ class Tree(HTMLParser):
     def close_to(self, place: int) -> None:
         if any(n in BLOCK for n in self.names[place:]):
             self.block += 1
+        for name in self.names[place:]:
+            self.places[name].pop()
         del self.open[place:], self.names[place:]
 
     def nearest(self, wanted: frozenset | set, barrier: frozenset | set) -> int:
-        for place in range(len(self.names) - 1, 0, -1):
-            if self.names[place] in wanted:
-                return place
-            if self.names[place] in barrier:
-                return 0
-        return 0
+        """The last open element that is wanted, or 0 if there is none or a barrier stands after it."""
+        last = lambda names: max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+        place = last(wanted)
+        return place if place and place >= last(barrier) else 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.silent:
@@ -104,6 +105,7 @@ class Tree(HTMLParser):
             self.silent = tag
         else:
             self.open.append(self.node(tag, mark))
+            self.places.setdefault(tag, []).append(len(self.names))
             self.names.append(tag)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -175,8 +177,8 @@ class Forest:
         linked = lengths * in_link
         total, link = lengths.copy(), linked.copy()
         for level in reversed(self.levels[1:]):
-            total += np.bincount(self.parent[level], total[level], len(total))
-            link += np.bincount(self.parent[level], link[level], len(link))
+            np.add.at(total, self.parent[level], total[level])
+            np.add.at(link, self.parent[level], link[level])
         share = link / np.maximum(total, 1)
         size_bin = np.minimum(np.log2(total + 1).astype(int), 12)
         word_bin = np.minimum(np.log2(words + 1).astype(int), 8)
@@ -207,8 +209,7 @@ class Forest:
         up, belief = np.zeros((n, 2)), own.copy()
         for level in reversed(self.levels[1:]):
             up[level] = np.logaddexp.reduce(pair[level] + belief[level][:, None, :], axis=2)
-            for label in (0, 1):
-                belief[:, label] += np.bincount(self.parent[level], up[level, label], n)
+            np.add.at(belief, self.parent[level], up[level])
         full = belief.copy()
         joint = np.zeros((n, 2, 2))
         for level in self.levels[1:]:
@@ -239,8 +240,8 @@ def train(pages: list[tuple[str, list[bool]]], rounds: int = 200, rate: float =
     size = np.array([len(x.strip()) for t in trees for x in t.texts], float)
     full, good = size.copy(), size * label
     for level in reversed(forest.levels[1:]):
-        full += np.bincount(forest.parent[level], full[level], len(full))
-        good += np.bincount(forest.parent[level], good[level], len(good))
+        np.add.at(full, forest.parent[level], full[level])
+        np.add.at(good, forest.parent[level], good[level])
     whole = np.array([tag in ("#page", "html", "body") for t in trees for tag in t.tags], bool)
     label = np.where(forest.is_text, label, (full > 0) & (good >= full / 2) & ~whole)
     blank = forest.is_text & ~texts  # white space has its parent's label
