@@ -3,7 +3,11 @@
 A word's emission scores are sums of hashed weights of its affixes, character n-grams and itself (the lexicon);
 transitions between the languages of neighbouring words are learned with them from sequences that are spliced from
 texts of different languages, so code-switched text is labelled word by word by forward-backward. A document's
-language is the one with the greatest mean marginal over its words, and that mean is its score.
+language is the one with the greatest mean marginal over its words, and its score is that mean's share of all languages'.
+
+Beside the languages stands a background label, trained on segments whose letters are dealt anew at random: letters that
+form words of no language. It is never predicted, but texts whose words are nearly all background are rejected by
+``keep_identified``, whatever the number of languages; texts in several languages are not.
 
 Training uses a bounded sample: at most ``SAMPLE`` documents of each language of the training fold, however rare, from
 each at most ``SEGMENTS`` evenly spaced segments of ``SEGMENT_WORDS`` words; a longer run without white space than
@@ -38,8 +42,8 @@ BLOCK_WORDS = 1 << 14
 #: Hashed features.
 FEATURES = 1 << 16
 UNDETERMINED = "und"
-#: Documents whose winning language has a mean marginal under this are rejected.
-REJECT = 0.3
+#: Documents whose background has a mean marginal of this or more are rejected.
+REJECT = 0.9
 
 
 @lru_cache(1)
@@ -127,7 +131,7 @@ def _inner(size: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Crf:
-    """Languages, feature weights (features x languages), transition and start weights."""
+    """Languages, feature weights (features x labels: the languages, then the background if it was trained), transitions."""
 
     labels: list[str]
     weights: np.ndarray
@@ -137,7 +141,7 @@ class Crf:
         """Scores of each form, and each word's form."""
         first, form = distinct_words(found)
         feature, word = word_features(found.points, found.start[first], found.end[first])
-        scores = np.zeros((len(first), len(self.labels)), np.float32)
+        scores = np.zeros((len(first), self.weights.shape[1]), np.float32)
         if len(first):
             begins = np.flatnonzero(np.diff(word, prepend=-1))
             scores = np.add.reduceat(self.weights[feature], begins, axis=0)
@@ -196,11 +200,28 @@ def blocks_of_features(found: Letters, first_form: np.ndarray) -> tuple[np.ndarr
     return np.concatenate(features), np.concatenate(sizes)
 
 
-def train(segments: list[tuple[str, str]], rounds: int = 40, rate: float = 0.5) -> Crf | None:
-    """Fit the field to ``(language, segment)`` pairs by gradient ascent on the sequences' log likelihood."""
-    labels = sorted({label for label, _ in segments})
-    if not labels:
+def redealt(segments: list[tuple[str, str]], share: float) -> list[str]:
+    """A share of the segments, evenly spaced, with the letters of each dealt anew over its words."""
+    out, chance = [], np.random.default_rng(17)
+    for k in range(round(len(segments) * share)):
+        text = segments[int(k / share)][1]
+        at = [i for i, c in enumerate(text) if c.isalpha()]
+        letters = list(text)
+        for i, j in zip(at, chance.permutation(at).tolist(), strict=True):
+            letters[i] = text[j]
+        out.append("".join(letters))
+    return out
+
+
+def train(segments: list[tuple[str, str]], rounds: int = 40, rate: float = 0.5, background: bool = False) -> Crf | None:
+    """Fit the field to ``(language, segment)`` pairs by gradient ascent on the sequences' log likelihood; with
+    ``background``, to as many segments of redealt letters as a language has on average as well."""
+    languages = sorted({label for label, _ in segments})
+    if not languages:
         return None
+    labels: list[str | None] = [*languages, None] if background else [*languages]
+    if background:
+        segments = segments + [(None, text) for text in redealt(segments, 1 / len(languages))]
     target = np.array([labels.index(label) for label, _ in segments])
     found = letter_words([text for _, text in segments])
     first_form, form = distinct_words(found)
@@ -214,7 +235,7 @@ def train(segments: list[tuple[str, str]], rounds: int = 40, rate: float = 0.5)
     rows = np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
     ends = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
     first = np.append(ends[:-1:4], ends[-1])
-    model = Crf(labels, np.zeros((FEATURES, len(labels)), np.float32), np.zeros((len(labels), len(labels))))
+    model = Crf(languages, np.zeros((FEATURES, len(labels)), np.float32), np.zeros((len(labels), len(labels))))
     if not len(rows):
         return model
     inside = np.ones(len(rows), bool)
@@ -277,7 +298,7 @@ def learn(docs: DataFrame, training: Column) -> Crf | None:
 
     sample = with_texts(docs, sampled_of_each(docs.where(training), "lang", SAMPLE)).select("text", F.col("target").cast("string").alias("target"))
     rows = sample.mapInArrow(cut, "language string, segment string").collect()  # at most SAMPLE * SEGMENTS segments of each language
-    return train(sorted((r.language, r.segment) for r in rows))
+    return train(sorted((r.language, r.segment) for r in rows), background=True)
 
 
 def label_words(text: str, model: Crf) -> list[tuple[str, str]]:
@@ -288,7 +309,7 @@ def label_words(text: str, model: Crf) -> list[tuple[str, str]]:
         return []
     belief, _ = marginals(scores[form], found.first, model.transitions)
     spelled = [text_of(found, k) for k in range(len(found.start))]
-    return [(w, model.labels[k]) for w, k in zip(spelled, belief.argmax(1).tolist(), strict=True)]
+    return [(w, model.labels[k]) for w, k in zip(spelled, belief[:, : len(model.labels)].argmax(1).tolist(), strict=True)]
 
 
 def text_of(found: Letters, k: int) -> str:
@@ -296,14 +317,14 @@ def text_of(found: Letters, k: int) -> str:
 
 
 def identify(docs: DataFrame, model: Crf | None) -> DataFrame:
-    """Each row of ``docs`` as ``row``, with ``lang_pred, score``."""
+    """Each row of ``docs`` as ``row``, with ``lang_pred, score, background``."""
     spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(model)  # FEATURES x languages numbers
+    shared = spark.sparkContext.broadcast(model)  # FEATURES x labels numbers
 
     def compute(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         field = shared.value
         n = batch.num_rows
-        predicted, score = np.full(n, -1), np.zeros(n)
+        predicted, score, background = np.full(n, -1), np.zeros(n), np.zeros(n)
         if field is not None:
             scores, size = [], []
             for part in slices(batch, SCORED_BYTES):
@@ -316,14 +337,21 @@ def identify(docs: DataFrame, model: Crf | None) -> DataFrame:
                 belief, _ = marginals(scores, np.concatenate(([0], np.cumsum(size))), field.transitions)
                 owner = np.repeat(np.arange(n), size)
                 mean = np.stack([np.bincount(owner, belief[:, k], n) for k in range(belief.shape[1])], 1) / np.maximum(size, 1)[:, None]
-                predicted = np.where(size > 0, mean.argmax(1), -1)
-                score = np.where(size > 0, np.minimum(mean.max(1), 1.0), 0.0)
+                spoken = mean[:, : len(field.labels)]
+                predicted = np.where(size > 0, spoken.argmax(1), -1)
+                score = np.where(size > 0, np.minimum(spoken.max(1) / np.maximum(spoken.sum(1), 1e-300), 1.0), 0.0)
+                background = np.minimum(mean[:, len(field.labels) :].sum(1), 1.0)
         names = [UNDETERMINED if k < 0 else field.labels[k] for k in predicted.tolist()]
-        return {"lang_pred": pa.array(names, pa.string()), "score": pa.array(score)}
+        return {"lang_pred": pa.array(names, pa.string()), "score": pa.array(score), "background": pa.array(background)}
 
-    return annotate(docs, compute, "lang_pred string, score double", STEP_BYTES)
+    return annotate(docs, compute, "lang_pred string, score double, background double", STEP_BYTES)
 
 
 def keep_identified(docs: DataFrame, model: Crf | None) -> DataFrame:
-    """The documents whose language is determined."""
-    return unwrap(identify(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= REJECT)))
+    """The documents that are in a language: with a letter, and not nearly all background. Their ``lang``, if they have
+    that column, becomes the one predicted."""
+    kept = identify(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("background") < REJECT))
+    if "lang" not in docs.columns:
+        return unwrap(kept)
+    named = F.col("lang_pred").cast(docs.schema["lang"].dataType).alias("lang")
+    return kept.select(*(named if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns))
