@@ -336,6 +336,21 @@ def test_rare_languages_are_sampled_and_segments_bounded(spark, monkeypatch):
     assert language.segments_of("one two  three") == ["one two three"] and language.segments_of("") == [""]
 
 
+def test_junk_is_rejected_whatever_the_number_of_languages(spark):
+    chance = random.Random(6)
+    words = {k: ["".join(chance.choice(parts) for _ in range(chance.randint(1, 3))) for _ in range(60)] for k, parts in {"aa": ["the", "ing", "ed", "an"], "bb": ["ung", "sch", "ein", "der"], "cc": ["que", "eau", "les", "ment"]}.items()}
+    prose = lambda k, n: " ".join(chance.choice(words[k]) for _ in range(n))
+    junk = lambda n: " ".join("".join(chance.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(chance.randint(2, 11))) for _ in range(n))
+    for languages in (["aa"], ["aa", "bb"], ["aa", "bb", "cc"]):
+        rows = [(k, prose(x := languages[k % len(languages)], 50), x if k % 5 else None, True) for k in range(120)]
+        rows += [(1000 + k, prose(languages[0], 30) + " " + prose(languages[-1], 30), None, True) for k in range(20)]  # mixed
+        rows += [(2000 + k, junk(40), None, False) for k in range(20)] + [(3000, "12 34 !!", None, False), (3001, None, None, False)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, good boolean").repartition(2)
+        kept = language.keep_identified(docs, language.learn(docs, F.lit(True))).collect()
+        assert {r.doc_id for r in kept} == {r[0] for r in rows if r[3]}
+        assert all(r.lang == languages[r.doc_id % len(languages)] for r in kept if r.doc_id < 1000)
+
+
 def test_code_switching_is_labelled_word_by_word():
     english, german = "the house of the king and the thing with that", "das haus von dem könig und nicht mit einer ung"
     model = language.train([("en", english), ("de", german)] * 20)
@@ -444,11 +459,71 @@ def test_similar_equals_brute_force(spark, monkeypatch, block):
         text = opening + prose(130)
         rows += [(10 + 3 * group + k, text[: len(text) - k] + "z" * k) for k in range(3)]
     got = edit_embedding.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    prints = edit_embedding.fingerprint([t or "" for _, t in rows])
-    digits = [edit_embedding.unspelled(x) for x in prints]
-    keys = [set(edit_embedding.band_keys(x)) for x in prints]
+    marks = edit_embedding.marks([t or "" for _, t in rows])
+    prints = [x.split(":")[0] for x in marks]
+    keys = [set(edit_embedding.mark_keys(x)) for x in marks]
     shared = lambda a: [b for b, (doc, _) in enumerate(rows) if doc is not None and keys[a] & keys[b]]
-    want = [(doc, prints[a], min(rows[b][0] for b in shared(a) if edit_embedding.likeness(digits[a], digits[b]) >= edit_embedding.SIMILAR)) for a, (doc, _) in enumerate(rows)]
+    want = [(doc, prints[a], min(rows[b][0] for b in shared(a) if edit_embedding.nearness(marks[a], [marks[b]])[0] >= edit_embedding.SIMILAR)) for a, (doc, _) in enumerate(rows)]
     order = lambda r: (r[0] is None, r[0] or 0)
     assert sorted(((r.doc_id, r.fingerprint, r.leader) for r in got), key=order) == sorted(want, key=order)
     assert len({leader for doc, _, leader in want if (doc or 0) >= 10 and leader != doc}) > 4  # groups that the first text does not lead
+
+
+def test_recall_of_similar_texts(spark):
+    chance = random.Random(12)
+    prose = lambda: " ".join("".join(chance.choice("abcdefghijklmnop") for _ in range(chance.randint(1, 9))) for _ in range(chance.randint(80, 600)))
+
+    def edited(text, kind, bound):
+        at, letter = chance.randrange(int(len(text) * bound)), chance.choice("qrstuvw")
+        return {"substituted": text[:at] + letter + text[at + 1 :], "deleted": text[:at] + text[at + 1 :], "inserted": text[:at] + letter + text[at:]}[kind]
+
+    rows, cases, least = [], {}, 0
+    for n in (1, 2, 3):
+        for kind in ("substituted", "deleted", "inserted"):
+            for bound in (0.5, 1.0):
+                for _ in range(60):
+                    text = other = prose()
+                    for _ in range(n):
+                        other = edited(other, kind, bound)
+                    rows += [(least, text), (least + 1, other)]
+                    cases.setdefault((n, kind, bound), []).append(least)
+                    least += 2
+    leader = {r.doc_id: r.leader for r in edit_embedding.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    recall = {case: sum(leader[k + 1] == k for k in own) / len(own) for case, own in cases.items()}
+    assert min(recall.values()) >= 0.9 and all(leader[k] == k for own in cases.values() for k in own), recall
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "decimal(9,1)", "date"])
+def test_ids_of_any_type(spark, kind):
+    texts = ["one text here", None, "two of them, then", "the third one", "x"]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(None, "no id")]
+    frame = spark.createDataFrame(rows, "n int, text string")
+    value = F.expr({"date": "date_add(DATE'2024-01-01', n)", "string": "concat('a', n)"}.get(kind, f"CAST(n AS {kind})"))
+    docs = frame.select(value.alias("doc_id"), "text")
+    order = [5, 0, 1, 2, 3, 4]  # null first
+    got = {r.doc_id: r.edited_sha256 for r in edit_embedding.with_next(docs).collect()}
+    ids = {(-1 if r.n is None else r.n): r.doc_id for r in frame.select("n", value.alias("doc_id")).collect()}
+    for place, k in enumerate(order):
+        text, after = rows[k][1] or "", rows[order[(place + 1) % 6]][1] or ""
+        half = len(text) // 2
+        assert got[ids[-1 if k == 5 else k]] == hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        chats = docs.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), "text")
+        assert {(r.conv_id, r.loss_chars) for r in chat.digests(chats, file.read()).collect()} == {(ids[-1 if n is None else n], len(t or "")) for n, t in rows}
+    assert {r.doc_id for r in simhash.near_duplicates(docs).collect()} == set(ids.values())
+    assert {r.doc_id for r in edit_embedding.similar(docs).collect()} == set(ids.values())
+
+
+def test_items_without_id_and_benchmarks_of_many_blocks(spark, edge):
+    long = ROWS[11][1].split()
+    items = [(None, " ".join(long[500:530])), ("b", " ".join(long[520:560])), (None, "tie tie tie"), ("a", "two words")] + [(f"c{k}", " ".join(long[600 + 15 * k : 612 + 15 * k])) for k in range(30)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    whole = decontaminate.report(edge, bench).orderBy("doc_id").collect()
+    assert whole == decontaminate.report(edge, bench).orderBy("doc_id").collect()
+    many = decontaminate.mark(edge, bench, 200)  # some twenty blocks, ten passes
+    parts = {r.doc_id: r for r in many.selectExpr("row.doc_id", "n_hit", "items", "spans").collect()}
+    for r in whole:
+        assert (parts[r.doc_id].n_hit, len(parts[r.doc_id]["items"])) == (r.n_hit, r.n_items)
+    assert parts[11]["items"] == ["b", *sorted(f"c{k}" for k in range(30)), None] and parts[10]["items"] == [None] and parts[10].n_hit == 4
+    digest = hashlib.sha256(b"a").hexdigest()
+    assert [(r.n_items, r.items_sha256) for r in whole if r.doc_id == 4] == [(1, digest)]
