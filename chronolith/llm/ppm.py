@@ -41,7 +41,7 @@ END_TOKEN = b" "
 #: Distinct grams that a task holds before it hands them on.
 MOST_GRAMS = 4 << 20
 #: Grams whose probabilities are worked out together, about.
-SOLVED = 1 << 18
+SOLVED = 1 << 16
 #: Bytes of text whose grams are sorted at a time.
 SLICE_BYTES = 2 << 20
 
