@@ -19,6 +19,13 @@ def iso_timestamp(text: Column) -> Column:
     return F.try_to_timestamp(F.trim(text))
 
 
+def aware_timestamp(text: Column) -> Column:
+    """An ISO timestamp with an offset or ``Z``; one without fails, one that is no timestamp is null."""
+    aware = F.regexp_like(F.trim(text), F.lit(r"(?i)\d(z|[+-]\d{2}:?\d{2})$"))
+    moment = iso_timestamp(text)
+    return F.when(moment.isNotNull() & ~aware, F.raise_error(F.concat(F.lit("no time zone: "), text)).cast("timestamp")).otherwise(moment)
+
+
 def dotted_date(text: Column) -> Column:
     """``7.8.2026``."""
     return F.try_to_date(F.trim(text), "d.M.yyyy")
@@ -63,6 +70,18 @@ def optional_int(text: Column) -> Column:
     return F.nullif(F.nullif(F.trim(text), F.lit("")), F.lit("UNKNOWN")).try_cast("int")
 
 
+def number(text: Column) -> Column:
+    """A finite number of JSON text; truth values and everything else are null."""
+    value = F.trim(text).try_cast("double")
+    return F.when(~F.lower(F.trim(text)).isin("true", "false") & ~F.isnan(value) & (F.abs(value) != float("inf")), value)
+
+
+def publication_confidence(raw: Column, precision: Column, day: Column, moment: Column) -> Column:
+    """1 if a publication date was stated and read with the precision it claims, else null."""
+    read = F.when(precision == "EXACT_DATE", day.isNotNull()).when(precision.isin("EXACT_DATETIME", "RELATIVE_RESOLVED"), moment.isNotNull())
+    return F.when((F.length(raw) > 0) & read, F.lit(1.0))
+
+
 def decimal_range(text: Column) -> Column:
     """``(low, high)`` of ``a`` or ``a-b``."""
     ends = F.split(F.trim(text), "-")
@@ -76,8 +95,10 @@ def yes_no(text: Column) -> Column:
 
 
 def row_fingerprint(*columns: str) -> Column:
-    """SHA-256 of named values in the order of their names; null differs from empty."""
-    parts = [F.concat(F.lit(f"{c}="), F.coalesce(F.concat(F.lit("'"), F.col(c).cast("string"), F.lit("'")), F.lit("null"))) for c in sorted(columns)]
+    """SHA-256 of named values in the order of their names, each with its length, so that no value can pass for several;
+    null differs from empty."""
+    value = lambda c: F.col(c).cast("string")
+    parts = [F.concat(F.lit(f"{c}="), F.coalesce(F.concat(F.length(value(c)).cast("string"), F.lit(":"), value(c)), F.lit("null"))) for c in sorted(columns)]
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 

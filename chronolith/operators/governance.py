@@ -56,9 +56,9 @@ def dangling(edges: DataFrame, known: DataFrame) -> DataFrame:
     return edges.join(known.select(F.col("table").alias("target_table"), F.col("key").alias("target_key")), ["target_table", "target_key"], "left_anti")
 
 
-def distinct_events(events: DataFrame, cycle: str, fingerprint: str) -> DataFrame:
-    """One event for each cycle and fingerprint."""
-    return events.dropDuplicates([cycle, fingerprint])
+def distinct_events(events: DataFrame, cycle: str, fingerprint: str, order: list[str]) -> DataFrame:
+    """One event for each cycle and fingerprint: the first by ``order``."""
+    return events.groupBy(cycle, fingerprint).agg(F.min_by(F.struct(*events.columns), F.struct(*order)).alias("_first")).select("_first.*")
 
 
 def against_previous(cycles: DataFrame, keys: list[str], succeeded: Column, order: list[Column], values: list[str]) -> DataFrame:

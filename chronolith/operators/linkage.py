@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions.text import jaccard, position_count
 from chronolith.functions.values import seconds_between
 from chronolith.operators.components import components
+from chronolith.operators.lookup import look_up, meet
 from chronolith.operators.rules import first_match
+from chronolith.session import materialize
 
 # Feature weights, thresholds, the repost window.
 WEIGHTS = {"employer": "0.25", "title": "0.25", "location": "0.15", "text": "0.20", "terms": "0.10", "requisition": "0.05"}
@@ -19,39 +23,107 @@ REPOST_DAYS = 90
 FEATURES = ["employer", "location", "terms", "requisition", "url", "redirect", "title_tokens", "text_tokens", "location_tokens", "first_seen_at", "closed_at"]
 
 
-def equal_pairs(rows: DataFrame, key: str, other: str | None = None) -> DataFrame:
-    """Ordered pairs ``(a, b)``, a < b, of postings whose non-empty keys are equal."""
+def equal_pairs(rows: DataFrame, key: str, other: str | None = None, partners: DataFrame | None = None) -> DataFrame:
+    """Ordered pairs ``(a, b)``, a < b, of postings whose non-empty keys are equal: within ``rows``, or of ``rows`` with
+    ``partners``."""
     left = rows.where(F.length(key) > 0).select(F.col("posting_id").alias("l"), F.col(key).alias("k"))
-    right = rows.where(F.length(other or key) > 0).select(F.col("posting_id").alias("r"), F.col(other or key).alias("k"))
-    pairs = left.join(right, "k").where(F.col("l") < F.col("r") if other is None else F.col("l") != F.col("r"))
+    right = (rows if partners is None else partners).where(F.length(other or key) > 0).select(F.col("posting_id").alias("r"), F.col(other or key).alias("k"))
+    pairs = meet(left, right, ["k"], "l", "r").where(F.col("l") < F.col("r") if other is None and partners is None else F.col("l") != F.col("r"))
     return pairs.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"))
 
 
-def titled_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of one employer whose titles share a token: a Jaccard above nought needs one.
+def titled_pairs(rows: DataFrame, least: str = CANDIDATE_FROM, keys: tuple[str, ...] = ("employer",)) -> DataFrame:
+    """Pairs with equal non-empty ``keys`` whose titles' Jaccard is ``least`` or more, each pair once.
 
-    A pair meets under each shared rare token; of an employer's postings only tokens among the first of each title
-    in the order of rarity are indexed (prefix filtering at the candidate threshold), so frequent tokens of a large
-    employer do not pair all its postings.
+    Titles meet under each of their rarest tokens (prefix filtering), lengths are compared first, and a pair is made
+    only under the first token that its prefixes share and only if its titles are alike enough: what leaves the join
+    are the pairs themselves. Tokens of very many postings are met in blocks.
     """
-    token = F.explode("title_tokens").alias("token")
-    flat = rows.where(F.length("employer") > 0).select("posting_id", "employer", F.size("title_tokens").alias("n"), token)
-    frequency = flat.groupBy("employer", "token").agg(F.count("*").alias("df"))
-    ranked = flat.join(frequency, ["employer", "token"]).withColumn("place", F.row_number().over(Window.partitionBy("posting_id").orderBy("df", "token")))
+    given = list(keys)
+    bound = float(least) - 5e-5  # scores are rounded to four places
+    some = rows.where(reduce(lambda x, y: x & y, (F.length(k) > 0 for k in given)))
+    flat = materialize(some.select("posting_id", *given, F.explode("title_tokens").alias("token")), "tokens")
+    frequency = materialize(flat.groupBy(*given, "token").agg(F.count("*").alias("df")), "frequencies")
+    rarest = F.array_sort(F.collect_list(F.struct("df", "token")))  # the tokens of one title
+    titles = look_up(flat, frequency, [*given, "token"]).groupBy("posting_id", *given).agg(F.transform(rarest, lambda t: t["token"]).alias("tokens"))
     # Of n tokens, a partner at Jaccard t or more shares ceil(t * n) at least, so one of the first n - ceil(t * n) + 1.
-    needed = F.ceil(F.lit(float(CANDIDATE_FROM)) * F.col("n") - 1e-9)
-    prefix = ranked.where(F.col("place") <= F.col("n") - needed + 1).select("posting_id", "employer", "token")
-    left, right = prefix.select(F.col("posting_id").alias("a"), "employer", "token"), prefix.select(F.col("posting_id").alias("b"), "employer", "token")
-    return left.join(right, ["employer", "token"]).where("a < b").select("a", "b")
+    n = F.size("tokens")
+    prefix = F.slice("tokens", F.lit(1), (n - F.ceil(F.lit(bound) * n - 1e-9) + 1).cast("int"))
+    indexed = materialize(titles.withColumn("prefix", prefix).withColumn("token", F.explode("prefix")), "prefixes")
+    left, right = (indexed.select(F.col("posting_id").alias(x), *given, "token", F.col("tokens").alias(f"t_{x}"), F.col("prefix").alias(f"p_{x}")) for x in ("a", "b"))
+    size = lambda x: F.size(f"t_{x}")
+    long_enough = (size("a") >= bound * size("b")) & (size("b") >= bound * size("a"))
+    first = F.get(F.array_intersect("p_a", "p_b"), F.lit(0)) == F.col("token")
+    alike = jaccard(F.col("t_a"), F.col("t_b")) >= F.lit(least).cast("decimal(5,4)")
+    return meet(left, right, [*given, "token"], "a", "b").where((F.col("a") < F.col("b")) & long_enough & first & alike).select("a", "b")
 
 
 def candidate_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs with a hard key in common, or of one employer with titles alike enough: a union of equality joins."""
+    """Pairs with a hard key in common, or of one employer with titles alike enough: a union of equality joins.
+
+    Meant for the representatives of ``classes``: copies have the outcomes of their representatives.
+    """
     blocks = [equal_pairs(rows, "requisition"), equal_pairs(rows, "url"), equal_pairs(rows, "redirect", "url"), titled_pairs(rows)]
-    pairs = blocks[0]
-    for block in blocks[1:]:
-        pairs = pairs.union(block)
-    return pairs.distinct()
+    return reduce(DataFrame.union, blocks).distinct()
+
+
+def classes(rows: DataFrame) -> DataFrame:
+    """``(posting_id, representative)``: postings with all features equal form a class, which its least id represents."""
+    digest = F.sha2(F.to_json(F.struct(*FEATURES), {"ignoreNullFields": "false"}), 256)
+    marked = materialize(rows.select("posting_id", digest.alias("class")), "classes")
+    least = materialize(marked.groupBy("class").agg(F.min("posting_id").alias("representative")), "representatives")
+    return look_up(marked, least, "class").select("posting_id", "representative")
+
+
+def representatives(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows that represent their class."""
+    return rows.join(members.where("posting_id = representative").select("posting_id"), "posting_id", "left_semi")
+
+
+def link_counts(rows: DataFrame) -> DataFrame:
+    """``(posting_id, n_links)``: with how many other postings each shares a requisition or a URL, without pairing them:
+    the group of either key less the group of both."""
+    keyed = materialize(rows.select("posting_id", "requisition", "url"), "keyed")
+    sizes = {}
+    for name, key in {"r": ["requisition"], "u": ["url"], "both": ["requisition", "url"]}.items():
+        some = reduce(lambda x, y: x & y, (F.length(k) > 0 for k in key))
+        counted = materialize(keyed.where(some).groupBy(*key).agg((F.count("*") - 1).alias("n")), "counts")
+        sizes[name] = look_up(keyed.where(some), counted, key).select("posting_id", (F.lit(-1 if name == "both" else 1) * F.col("n")).alias("n"))
+    every = reduce(DataFrame.union, sizes.values(), keyed.select("posting_id", F.lit(0).cast("long").alias("n")))
+    return every.groupBy("posting_id").agg(F.sum("n").alias("n_links"))
+
+
+def merge_candidates(rows: DataFrame) -> DataFrame:
+    """Pairs that connect all postings which merge, few of them: for clusters, where outcomes of pairs don't matter.
+
+    Of postings that were never closed and agree in all but title, text and first sight, any two with a requisition or
+    URL merge, so they are linked as a star, and only its centre meets others under a hard key; postings that were closed
+    meet all others. Without a hard key a merge takes equal employers, locations and terms, and titles alike to 0.8.
+    """
+    some = lambda c: F.length(F.coalesce(F.col(c), F.lit(""))) > 0
+    keyed = rows.where(some("requisition") | some("url") | some("redirect"))
+    same = F.sha2(F.to_json(F.struct("employer", "location", "terms", "requisition", "url", "redirect", "location_tokens"), {"ignoreNullFields": "false"}), 256)
+    marked = materialize(keyed.where("closed_at IS NULL").select("posting_id", (some("requisition") | some("url")).alias("hard"), same.alias("same")), "marked")
+    centres = materialize(marked.groupBy("same").agg(F.min("posting_id").alias("a")), "centres")
+    stars = look_up(marked, centres, "same").where("hard AND a < posting_id").select("a", F.col("posting_id").alias("b"))
+    closed = keyed.where("closed_at IS NOT NULL")
+    few = materialize(keyed.join(centres.select(F.col("a").alias("posting_id")), "posting_id", "left_semi").unionByName(closed), "few")
+    rest = keyed.where("closed_at IS NULL").join(centres.select(F.col("a").alias("posting_id")), "posting_id", "left_anti")
+    by_key = [equal_pairs(few, "requisition"), equal_pairs(few, "url"), equal_pairs(few, "redirect", "url")]
+    by_key += [equal_pairs(closed, k, o, rest) for k, o in (("requisition", "requisition"), ("url", "url"), ("redirect", "url"), ("url", "redirect"))]
+    return reduce(DataFrame.union, [stars, *by_key, titled_pairs(rows, "0.79", ("employer", "location", "terms"))]).distinct()
+
+
+def vacancy_clusters(rows: DataFrame) -> DataFrame:
+    """``(posting_id, cluster)`` by the rules alone, without pairing copies: the least id of each posting's cluster."""
+    members = materialize(classes(rows), "members")
+    one = materialize(representatives(rows, members), "postings")
+    # A class whose copies merge is linked to itself.
+    copies = members.where("posting_id <> representative").select(F.col("representative").alias("a"), F.col("representative").alias("b")).distinct()
+    merged = scored_pairs(one, merge_candidates(one).union(copies)).where("outcome = 'AUTO_MERGE'").select("a", "b")
+    labels = components(merged)
+    table = members.select("representative").distinct().join(labels, F.col("representative") == F.col("node"), "left").select("representative", "label")
+    return look_up(members, materialize(table, "labelled"), "representative").select("posting_id", F.coalesce("label", "posting_id").alias("cluster"))
 
 
 def scored_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -112,9 +184,12 @@ def conflicting_reviews(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.where("outcome = 'REVIEW'").join(side("a"), "a").join(side("b"), "b").where("cluster_a = cluster_b")
 
 
-def cluster_key(ids: Column) -> Column:
-    """A cluster's key: a digest of its sorted ids."""
-    return F.sha2(F.array_join(F.array_sort(ids), "\n"), 256)
+def cluster_key(posting_id: str) -> Column:
+    """A cluster's key, an aggregate: a digest of the number of its ids and of sums of their digests' parts, so that no
+    order matters and no cluster is gathered in one value."""
+    digest = F.sha2(F.col(posting_id).cast("string"), 256)
+    part = lambda k: F.sum(F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return F.sha2(F.concat_ws(":", F.count("*").cast("string"), part(0), part(1)), 256)
 
 
 def vacancies(rows: DataFrame, members: DataFrame) -> DataFrame:
@@ -135,7 +210,7 @@ def vacancies(rows: DataFrame, members: DataFrame) -> DataFrame:
         F.count("*").alias("n_postings"),
         number.alias("positions_count"),
         F.bool_or("positions.multi_hire").alias("multi_hire_possible"),
-        cluster_key(F.collect_list("posting_id")).alias("vacancy_key"),
+        cluster_key("posting_id").alias("vacancy_key"),
     )
     return grouped.withColumn("status", F.when(F.col("_state") == "CLOSED_OBSERVED", "CLOSED_OBSERVED").otherwise("ACTIVE")).drop("_state")
 
@@ -154,9 +229,60 @@ def summary(states: DataFrame) -> DataFrame:
 
 
 def material_matches(targets: DataFrame, sources: DataFrame) -> DataFrame:
-    """Each target with the earlier decisions of the same posting and fingerprint: none, one to apply, or a conflict."""
-    found = targets.join(sources.select("posting_id", "fingerprint", "decision_id", "decided_at"), ["posting_id", "fingerprint"], "left")
-    causal = F.when(F.col("decided_at") <= F.col("target_at"), F.col("decision_id"))
-    grouped = found.groupBy("target_id", "posting_id").agg(F.count_distinct(causal).alias("n"), F.min(causal).alias("decision_id"))
+    """Each target with the earlier decisions of the same posting and fingerprint: none, one to apply, or a conflict.
+
+    Of each posting and fingerprint only the first two decisions are kept (ranked in a group limit), so groups of copies
+    don't multiply; ``n`` is 2 for two or more.
+    """
+    key = ["posting_id", "fingerprint"]
+    once = sources.groupBy(*key, "decision_id").agg(F.min("decided_at").alias("decided_at"))
+    ranked = once.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("decided_at", "decision_id"))).where("_r <= 2")
+    pick = lambda r, c: F.max(F.when(F.col("_r") == r, F.col(c)))
+    known = materialize(ranked.groupBy(*key).agg(pick(1, "decision_id").alias("_first"), pick(1, "decided_at").alias("_first_at"), pick(2, "decided_at").alias("_second_at")), "decisions")
+    asked = materialize(targets.select("target_id", "target_at", *key), "targets")
+    matched = look_up(asked, known, key)
+    unmatched = asked.join(known.select(*key), key, "left_anti").withColumns({"_first": F.lit(None).cast(known.schema["_first"].dataType), "_first_at": F.lit(None).cast("timestamp"), "_second_at": F.lit(None).cast("timestamp")})
+    seen = lambda c: F.coalesce(F.col(c) <= F.col("target_at"), F.lit(False)).cast("long")
+    found = matched.unionByName(unmatched).withColumn("n", seen("_first_at") + seen("_second_at"))
     action = F.when(F.col("n") == 0, "UNMATCHED").when(F.col("n") == 1, "APPLY").otherwise("CONFLICT")
-    return grouped.withColumn("action", action).withColumn("decision_id", F.when(F.col("n") == 1, F.col("decision_id")))
+    return found.select("target_id", "posting_id", "n", action.alias("action"), F.when(F.col("n") == 1, F.col("_first")).alias("decision_id"))
+
+
+def run_counters(pairs: DataFrame) -> DataFrame:
+    """One row of counts over assessed pairs: a pair with an earlier human decision counts as a candidate only."""
+    human = F.col("method") == "HUMAN" if "method" in pairs.columns else F.lit(False)
+    barred = F.size("barriers") > 0
+    merged = ~human & ~barred & (F.col("outcome") == "AUTO_MERGE")
+    count = lambda c, name: F.count_if(c).alias(name)
+    return pairs.agg(
+        F.count("*").alias("candidate_pairs"),
+        count(merged & F.col("hard_key"), "hard_key_merges"),
+        count(merged & ~F.col("hard_key"), "rule_auto_merges"),
+        count(~human & ~barred & (F.col("outcome") == "REVIEW"), "review_pairs"),
+        count(~human & (barred | (F.col("outcome") == "KEEP_SEPARATE")), "keep_separate_pairs"),
+        count(~human & barred, "hard_barrier_pairs"),
+    )
+
+
+def merged_identities(members: DataFrame, identities: DataFrame) -> DataFrame:
+    """``(vacancy_id, winner, merged)``: of the identities that a cluster's postings had, the earliest seen wins (by
+    first sight, then id) and the others are merged into it.
+
+    ``members``: posting_id, cluster; ``identities``: posting_id, vacancy_id, first_seen_at.
+    """
+    owned = identities.join(members, "posting_id").groupBy("cluster", "vacancy_id").agg(F.min("first_seen_at").alias("first_seen_at"))
+    winner = owned.groupBy("cluster").agg(F.min_by("vacancy_id", F.struct("first_seen_at", "vacancy_id")).alias("winner"))
+    return owned.join(winner, "cluster").select("vacancy_id", "winner", (F.col("vacancy_id") != F.col("winner")).alias("merged"))
+
+
+def resolved_reviews(reviews: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """Human decisions on pending pairs, as rows to append.
+
+    ``reviews``: review_id, a, b, fingerprint, status; ``resolutions``: review_id, merge, reason, resolved_at. A review
+    that is unknown or not pending, or a resolution without a reason, is refused.
+    """
+    asked = resolutions.join(reviews, "review_id", "left")
+    wrong = F.when(F.length(F.trim(F.coalesce("reason", F.lit("")))) == 0, "a resolution needs a reason").when(F.coalesce("status", F.lit("")) != "PENDING", "the review is not pending")
+    outcome = F.when(F.col("merge"), "MERGE").otherwise("KEEP_SEPARATE")
+    checked = F.when(wrong.isNotNull(), F.raise_error(wrong).cast("string")).otherwise(outcome)
+    return asked.select("review_id", F.col("a").alias("posting_a"), F.col("b").alias("posting_b"), "fingerprint", checked.alias("human_outcome"), "reason", F.col("resolved_at").alias("created_at"), F.when(F.col("merge"), "MERGED").otherwise("KEPT_SEPARATE").alias("status"))

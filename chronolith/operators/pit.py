@@ -16,6 +16,15 @@ def latest_by_key(rows: DataFrame, keys: list[str], order: list[Column], known:
     return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+def latest_at(rows: DataFrame, keys: list[str], moment: str, ties: list[str], cutoffs: dict[str, Column], columns: list[str]) -> DataFrame:
+    """``as_of``, the keys and ``columns`` of each key's latest row at each of several cutoffs, in one pass: a task keeps
+    a row for each key and cutoff."""
+    by, row = F.struct(moment, *ties), F.struct(*columns)
+    found = rows.groupBy(*keys).agg(*(F.max_by(row, F.when(F.col(moment) <= cutoff, by)).alias(f"_{k}") for k, cutoff in enumerate(cutoffs.values())))
+    each = F.array(*(F.struct(F.lit(name).alias("as_of"), F.col(f"_{k}").alias("_row")) for k, name in enumerate(cutoffs)))
+    return found.select(*keys, F.inline(each)).where("_row IS NOT NULL").select("as_of", *keys, *(F.col(f"_row.{c}").alias(c) for c in columns))
+
+
 def posting_states(observations: DataFrame, events: DataFrame, as_of: Column, key: str = "posting_id") -> DataFrame:
     """Each posting's latest active content and, independently, its latest life-cycle state at a cutoff.
 

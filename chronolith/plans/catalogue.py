@@ -15,7 +15,8 @@ from chronolith.functions import text as X
 from chronolith.functions import values as V
 from chronolith.operators import evidence, expectations, governance, lifecycle, linkage, pit, places, readiness, rules, snapshot
 from chronolith.operators.components import components
-from chronolith.session import prepare
+from chronolith.operators.lookup import look_up
+from chronolith.session import materialize, prepare
 
 AS_OF = "2024-01-20 12:00:00"
 CUTOFFS = ["2024-01-05 00:00:00", "2024-01-15 06:30:00", "2024-01-28 23:59:59"]
@@ -91,10 +92,9 @@ def pit_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def pit_multi_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest event of each user at several cutoffs."""
-    log = table(spark, sf_dir, "events")
-    parts = [pit.latest_by_key(log, ["user_id"], [F.desc("ts"), F.desc("event_id")], F.col("ts") <= at(c)).select(F.lit(c).alias("as_of"), "user_id", "event_id", "event_type") for c in CUTOFFS]
-    return parts[0].union(parts[1]).union(parts[2])
+    """Latest event of each user at several cutoffs, in one pass."""
+    found = pit.latest_at(table(spark, sf_dir, "events"), ["user_id"], "ts", ["event_id"], {c: at(c) for c in CUTOFFS}, ["event_id", "event_type"])
+    return found.select("as_of", "user_id", "event_id", "event_type")
 
 
 _LIFE = """
@@ -199,8 +199,8 @@ TERMS = [
 ]
 
 
-@query("""
-WITH d AS (SELECT doc_id, lower(substr(text, 1, 60)) AS title, lower(text) AS body, source FROM documents),
+@query(r"""
+WITH d AS (SELECT doc_id, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '\s+', ' ', 'g')) AS title, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS body, source FROM documents),
 m AS (SELECT doc_id, contains(title, 'and then') AS a, contains(title, 'tion of the') OR contains(body, 'tion of the') AS b, contains(title, 'the') AS h,
   contains(title, 'de la') OR contains(body, 'de la') AS s, contains(source, 'src1') AS o, contains(title, '!!') OR contains(body, '!!') AS x FROM d)
 SELECT doc_id, CASE WHEN (a OR b) AND x THEN 'REVIEW' WHEN a OR b THEN 'GREEN_CONFIRMED' WHEN x THEN 'NOT_GREEN' WHEN h OR o OR s THEN 'REVIEW' ELSE 'NOT_GREEN' END AS result,
@@ -208,8 +208,8 @@ SELECT doc_id, CASE WHEN (a OR b) AND x THEN 'REVIEW' WHEN a OR b THEN 'GREEN_CO
     WHEN h THEN 'HIDDEN_PUBLIC_TITLE_NEEDS_GREEN_TASK' WHEN o THEN 'ORGANIZATION_SIGNAL_ONLY' WHEN s THEN 'CONDITIONAL_SIGNAL_ONLY' ELSE 'NO_GREEN_TAXONOMY_SIGNAL' END AS reason
 FROM m""")
 def taxonomy_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents judged by a taxonomy of literal terms."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.substring("text", 1, 60)).alias("title"), F.lower("text").alias("text"), F.col("source").alias("organization"))
+    """Documents judged by a taxonomy of literal terms; the first line is the title."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.norm_ws(F.substring_index("text", "\n", 1)).alias("title"), X.norm_ws("text").alias("text"), X.norm_ws("source").alias("organization"))
     return rules.relevance(docs, TERMS).select("doc_id", "result", "reason")
 
 
@@ -312,38 +312,44 @@ def exact_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as linkage evidence: the source is the employer, the first words the title."""
-    plain = lambda n: F.trim(F.regexp_replace(F.lower(F.substring("text", 1, n)), "[^a-z]+", " "))
-    empty = F.lit("")
-    return table(spark, sf_dir, "documents").select(
+    """Documents as linkage evidence: the source is the employer, the first line the title, the whole text the text; the
+    last line is the URL, and every other document names a digest of its whole text as its requisition."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z]+", " "))
+    tokens = lambda c: F.array_sort(X.tokens(plain(c)))
+    size, first, last = F.col("n_chars"), F.substring_index("text", "\n", 1), F.substring_index("text", "\n", -1)
+    seen = F.date_add(F.lit("2024-01-01").cast("date"), (size % 400).cast("int"))
+    rows = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("posting_id"),
         F.col("source").alias("employer"),
         F.col("lang").alias("location"),
-        empty.alias("terms"),
-        F.when(F.col("n_chars") > 200, F.substring("text", 1, 200)).otherwise("").alias("requisition"),
-        F.when(F.col("n_chars") > 100, F.substring("text", -100, 100)).otherwise("").alias("url"),
-        empty.alias("redirect"),
-        X.tokens(plain(60)).alias("title_tokens"),
-        X.tokens(plain(400)).alias("text_tokens"),
+        F.when(size % 3 == 0, "").when(size % 3 == 1, "80").otherwise("100").alias("terms"),
+        F.when(size % 2 == 0, F.sha2(F.col("text").cast("binary"), 256)).otherwise("").alias("requisition"),
+        F.when(F.length(last) >= 20, last).otherwise("").alias("url"),
+        F.when((size % 5 == 0) & (F.length(first) >= 20), first).otherwise("").alias("redirect"),
+        tokens(first).alias("title_tokens"),
+        tokens(F.col("text")).alias("text_tokens"),
         F.array(F.col("lang")).alias("location_tokens"),
-        at("2024-01-01 00:00:00").alias("first_seen_at"),
-        F.lit(None).cast("timestamp").alias("closed_at"),
+        seen.cast("timestamp").alias("first_seen_at"),
+        F.when(size % 7 == 0, F.date_add(seen, 10).cast("timestamp")).alias("closed_at"),
     )
+    return materialize(rows, "evidence")
 
 
 _POSTINGS = """
-p AS (SELECT doc_id AS id, source AS employer, lang AS location, CASE WHEN n_chars > 200 THEN substr(text, 1, 200) ELSE '' END AS req,
-  CASE WHEN n_chars > 100 THEN right(text, 100) ELSE '' END AS url,
-  list_filter(list_distinct(string_split(trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z]+', ' ', 'g')), ' ')), lambda t: length(t) > 1) AS title,
-  list_filter(list_distinct(string_split(trim(regexp_replace(lower(substr(text, 1, 400)), '[^a-z]+', ' ', 'g')), ' ')), lambda t: length(t) > 1) AS body FROM documents)"""
+l AS (SELECT *, split_part(text, chr(10), 1) AS head, array_extract(string_split(text, chr(10)), -1) AS tail FROM documents),
+p AS (SELECT doc_id AS id, source AS employer, lang AS location, CASE n_chars % 3 WHEN 0 THEN '' WHEN 1 THEN '80' ELSE '100' END AS terms, CASE WHEN n_chars % 2 = 0 THEN sha256(text) ELSE '' END AS req,
+  CASE WHEN length(tail) >= 20 THEN tail ELSE '' END AS url, CASE WHEN n_chars % 5 = 0 AND length(head) >= 20 THEN head ELSE '' END AS redirect,
+  list_sort(list_filter(list_distinct(string_split(trim(regexp_replace(lower(head), '[^a-z]+', ' ', 'g')), ' ')), lambda t: length(t) > 1)) AS title,
+  list_sort(list_filter(list_distinct(string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ')), lambda t: length(t) > 1)) AS body,
+  DATE '2024-01-01' + (n_chars % 400)::INT AS seen, CASE WHEN n_chars % 7 = 0 THEN DATE '2024-01-11' + (n_chars % 400)::INT END AS closed FROM l),
+r AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY employer, location, terms, req, url, redirect, title, body, seen, closed ORDER BY id) = 1)"""
 _BLOCKS = "SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.req = b.req AND a.req <> '' AND a.id < b.id UNION SELECT a.id, b.id FROM p a JOIN p b ON a.url = b.url AND a.url <> '' AND a.id < b.id"
 
 
-@query(f"WITH {_POSTINGS} {_BLOCKS}")
+@query(f"WITH {_POSTINGS}, e AS ({_BLOCKS}), f AS (SELECT a AS id FROM e UNION ALL SELECT b FROM e), n AS (SELECT id, count(*) AS n FROM f GROUP BY id) SELECT p.id AS posting_id, coalesce(n, 0) AS n_links FROM p LEFT JOIN n USING (id)")
 def candidate_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs that share a hard key: a union of equality joins."""
-    rows = _postings(spark, sf_dir)
-    return linkage.equal_pairs(rows, "requisition").union(linkage.equal_pairs(rows, "url")).distinct()
+    """With how many others each document shares a hard key."""
+    return linkage.link_counts(_postings(spark, sf_dir))
 
 
 def _jaccard_sql(c: str) -> str:
@@ -351,29 +357,54 @@ def _jaccard_sql(c: str) -> str:
     return f"CASE WHEN len(a.{c}) = 0 OR len(b.{c}) = 0 THEN 0.0 ELSE round_even({shared} / (len(a.{c}) + len(b.{c}) - {shared})::DOUBLE, 4) END"
 
 
-@query(f"WITH {_POSTINGS}, e AS ({_BLOCKS}) SELECT e.a, e.b, {_jaccard_sql('title')} AS title_score, {_jaccard_sql('body')} AS text_score FROM e JOIN p a ON a.id = e.a JOIN p b ON b.id = e.b")
-def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jaccard scores of blocked pairs, half to even."""
+_HARD_SQL = "(a.req <> '' AND a.req = b.req) OR (a.url <> '' AND a.url = b.url) OR (a.redirect <> '' AND a.redirect = b.url) OR (b.redirect <> '' AND b.redirect = a.url)"
+
+
+def _scored_sql(rows: str) -> str:
+    return f"""
+s AS (SELECT a.id AS a, b.id AS b, a.employer = b.employer AS emp, a.location = b.location AS loc, a.terms <> '' AND a.terms = b.terms AS same_terms, a.terms <> '' AND b.terms <> '' AND a.terms <> b.terms AS other_terms,
+  a.req <> '' AND a.req = b.req AS req, {_HARD_SQL} AS hard, a.employer = b.employer AND a.req <> '' AND b.req <> '' AND a.req <> b.req AS other_req,
+  CASE WHEN a.seen <= b.seen THEN a.closed ELSE b.closed END AS closed, CASE WHEN a.seen <= b.seen THEN b.seen ELSE a.seen END AS again,
+  {_jaccard_sql("title")} AS t, {_jaccard_sql("body")} AS x FROM {rows} a JOIN {rows} b ON a.id < b.id AND (a.employer = b.employer OR {_HARD_SQL})),
+w AS (SELECT *, round((CASE WHEN emp THEN 2500 ELSE 0 END + CASE WHEN loc THEN 1500 ELSE 0 END + CASE WHEN same_terms THEN 1000 ELSE 0 END + CASE WHEN req THEN 500 ELSE 0 END)::DECIMAL(18, 4) / 10000
+    + (CAST(t AS DECIMAL(9, 4)) * 25 + CAST(x AS DECIMAL(9, 4)) * 20)::DECIMAL(18, 4) / 100, 4) AS score FROM s WHERE hard OR (emp AND t >= 0.2)),
+v AS (SELECT *, other_req OR NOT loc OR other_terms OR coalesce(again > closed AND NOT (req OR (again - closed <= 90 AND score >= 0.9)), false) AS barred FROM w),
+pairs AS (SELECT a, b, t, x, score, hard, barred, CASE WHEN barred THEN 'KEEP_SEPARATE' WHEN hard OR score >= 0.9 THEN 'AUTO_MERGE' WHEN score >= 0.78 THEN 'REVIEW' ELSE 'KEEP_SEPARATE' END AS outcome FROM v)"""
+
+
+_PAIRS = f"{_POSTINGS}, {_scored_sql('r')}"
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assessed pairs of the classes' representatives."""
     rows = _postings(spark, sf_dir)
-    side = lambda s: rows.select(F.col("posting_id").alias(s), F.col("title_tokens").alias(f"t{s}"), F.col("text_tokens").alias(f"x{s}"))
-    both = candidate_blocks(spark, sf_dir).join(side("a"), "a").join(side("b"), "b")
-    return both.select("a", "b", X.jaccard(F.col("ta"), F.col("tb")).cast("double").alias("title_score"), X.jaccard(F.col("xa"), F.col("xb")).cast("double").alias("text_score"))
+    one = materialize(linkage.representatives(rows, linkage.classes(rows)), "representatives")
+    return linkage.scored_pairs(one, linkage.candidate_pairs(one))
 
 
-_SCORED = f"""
-s AS (SELECT a.id AS a, b.id AS b, a.employer = b.employer AS emp, a.location = b.location AS loc, a.req <> '' AND a.req = b.req AS req,
-  a.url <> '' AND a.url = b.url AS url, a.employer = b.employer AND a.req <> '' AND b.req <> '' AND a.req <> b.req AS distinct_req,
-  {_jaccard_sql("title")} AS t, {_jaccard_sql("body")} AS x FROM p a JOIN p b ON a.id < b.id AND (a.employer = b.employer OR (a.req <> '' AND a.req = b.req) OR (a.url <> '' AND a.url = b.url))),
-w AS (SELECT *, round((CASE WHEN emp THEN 2500 ELSE 0 END + CASE WHEN loc THEN 1500 ELSE 0 END + CASE WHEN req THEN 500 ELSE 0 END)::DECIMAL(18, 4) / 10000
-    + (CAST(t AS DECIMAL(9, 4)) * 25 + CAST(x AS DECIMAL(9, 4)) * 20)::DECIMAL(18, 4) / 100, 4) AS score FROM s WHERE req OR url OR (emp AND t >= 0.2)),
-pairs AS (SELECT a, b, score, CASE WHEN distinct_req OR NOT loc THEN 'KEEP_SEPARATE' WHEN req OR url THEN 'AUTO_MERGE' WHEN score >= 0.9 THEN 'AUTO_MERGE' WHEN score >= 0.78 THEN 'REVIEW' ELSE 'KEEP_SEPARATE' END AS outcome FROM w)"""
+@query(f"WITH {_POSTINGS} SELECT id AS posting_id, min(id) OVER (PARTITION BY employer, location, terms, req, url, redirect, title, body, seen, closed) AS representative FROM p")
+def posting_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the one that represents those whose features are all the same."""
+    return linkage.classes(_postings(spark, sf_dir))
 
 
-@query(f"WITH {_POSTINGS}, {_SCORED} SELECT a, b, outcome FROM pairs")
+@query(f"WITH {_PAIRS} SELECT a, b, t AS title_score, x AS text_score FROM pairs WHERE hard")
+def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jaccard scores, half to even, of representatives that share a hard key."""
+    return _pairs(spark, sf_dir).where("hard_key").select("a", "b", F.col("title_score").cast("double").alias("title_score"), F.col("text_score").cast("double").alias("text_score"))
+
+
+@query(f"WITH {_PAIRS} SELECT a, b, outcome, barred FROM pairs")
 def pair_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores, barriers and outcomes of all candidate pairs."""
-    rows = _postings(spark, sf_dir)
-    return linkage.scored_pairs(rows, linkage.candidate_pairs(rows)).select("a", "b", "outcome")
+    """Scores, barriers and outcomes of all candidate pairs of representatives."""
+    return _pairs(spark, sf_dir).select("a", "b", "outcome", (F.size("barriers") > 0).alias("barred"))
+
+
+@query(f"""WITH {_PAIRS} SELECT count(*) AS candidate_pairs, count(*) FILTER (outcome = 'AUTO_MERGE' AND hard) AS hard_key_merges, count(*) FILTER (outcome = 'AUTO_MERGE' AND NOT hard) AS rule_auto_merges,
+  count(*) FILTER (outcome = 'REVIEW') AS review_pairs, count(*) FILTER (outcome = 'KEEP_SEPARATE') AS keep_separate_pairs, count(*) FILTER (barred) AS hard_barrier_pairs FROM pairs""")
+def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts over all assessed pairs of representatives."""
+    return linkage.run_counters(_pairs(spark, sf_dir))
 
 
 _REACH = """reach AS (SELECT id, id AS label FROM p UNION SELECT r.id, CASE WHEN e.a = r.label THEN e.b ELSE e.a END FROM reach r JOIN e ON r.label IN (e.a, e.b))"""
@@ -381,49 +412,52 @@ _REACH = """reach AS (SELECT id, id AS label FROM p UNION SELECT r.id, CASE WHEN
 
 @query(f"WITH RECURSIVE {_POSTINGS}, e AS ({_BLOCKS}), {_REACH} SELECT id AS node, min(label) AS label FROM reach WHERE id IN (SELECT a FROM e UNION SELECT b FROM e) GROUP BY id")
 def linked_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connected components of blocked pairs."""
-    return components(candidate_blocks(spark, sf_dir))
+    """Connected components of documents that share hard keys, each key's documents linked as a star."""
+    rows = _postings(spark, sf_dir)
+    stars = []
+    for key in ("requisition", "url"):
+        some = materialize(rows.where(F.length(key) > 0).select(key, "posting_id"), "keyed")
+        centre = materialize(some.groupBy(key).agg(F.min("posting_id").alias("a")), "centres")
+        stars.append(look_up(some, centre, key).where("a < posting_id").select("a", F.col("posting_id").alias("b")))
+    return components(stars[0].union(stars[1]))
 
 
-_CLUSTERS = f"WITH RECURSIVE {_POSTINGS}, {_SCORED}, e AS (SELECT a, b FROM pairs WHERE outcome = 'AUTO_MERGE'), {_REACH}, c AS (SELECT id, min(label) AS cluster FROM reach GROUP BY id)"
+_CLUSTERS = f"WITH RECURSIVE {_POSTINGS}, {_scored_sql('p')}, e AS (SELECT a, b FROM pairs WHERE outcome = 'AUTO_MERGE'), {_REACH}, c AS (SELECT id, min(label) AS cluster FROM reach GROUP BY id)"
+_DIGEST = "sum(('0x' || substr(sha256(id::VARCHAR), {}, 15))::BIGINT)"
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _postings(spark, sf_dir)
-    return linkage.clusters(rows, linkage.scored_pairs(rows, linkage.candidate_pairs(rows)))
+    return materialize(linkage.vacancy_clusters(_postings(spark, sf_dir)), "clusters")
 
 
-@query(f"{_CLUSTERS} SELECT cluster, count(*) AS n_postings, min(id) AS first_posting, sha256(string_agg(id::VARCHAR, chr(10) ORDER BY id::VARCHAR)) AS vacancy_key FROM c GROUP BY cluster")
+@query(f"{_CLUSTERS} SELECT cluster, count(*) AS n_postings, min(id) AS first_posting, sha256(count(*) || ':' || {_DIGEST.format(1)} || ':' || {_DIGEST.format(16)}) AS vacancy_key FROM c GROUP BY cluster")
 def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of merged documents with their keys."""
     grouped = _clusters(spark, sf_dir).groupBy("cluster")
-    ids = F.collect_list(F.col("posting_id").cast("string"))
-    return grouped.agg(F.count("*").alias("n_postings"), F.min("posting_id").alias("first_posting"), linkage.cluster_key(ids).alias("vacancy_key"))
+    return grouped.agg(F.count("*").alias("n_postings"), F.min("posting_id").alias("first_posting"), linkage.cluster_key("posting_id").alias("vacancy_key"))
 
 
-@query(f"""{_CLUSTERS}, f AS (SELECT c.cluster, d.doc_id, d.n_chars % 3 AS rank, d.n_chars FROM c JOIN documents d ON d.doc_id = c.id)
-SELECT cluster, arg_min(doc_id, (rank, n_chars, doc_id)) AS canonical_posting, CASE WHEN arg_min(n_chars, (rank, n_chars, doc_id)) % 2 = 0 THEN 'CLOSED_OBSERVED' ELSE 'ACTIVE' END AS status, count(*) AS n_postings
-FROM f GROUP BY cluster""")
+@query(f"""{_CLUSTERS}, f AS (SELECT c.cluster, d.doc_id, d.n_chars % 3 AS rank, d.n_chars, CASE WHEN d.n_chars % 4 = 1 THEN 2 END AS n FROM c JOIN documents d ON d.doc_id = c.id)
+SELECT cluster, arg_min(doc_id, (rank, n_chars, doc_id)) AS canonical_posting, CASE WHEN arg_min(n_chars, (rank, n_chars, doc_id)) % 2 = 0 THEN 'CLOSED_OBSERVED' ELSE 'ACTIVE' END AS status, count(*) AS n_postings,
+  min(n_chars) AS first_seen, max(n_chars) AS last_seen, max(n) AS positions_count, bool_or(n IS NOT NULL OR n_chars % 4 = 2) AS multi_hire_possible FROM f GROUP BY cluster""")
 def canonical_member(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical posting of each cluster, which alone decides its status."""
-    docs = table(spark, sf_dir, "documents")
-    seen = F.timestamp_seconds("n_chars")
-    state = F.when(F.col("n_chars") % 2 == 0, "CLOSED_OBSERVED").otherwise("STILL_ACTIVE")
-    rows = docs.select(F.col("doc_id").alias("posting_id"), (F.col("n_chars") % 3).alias("rank"), seen.alias("first_seen_at"), seen.alias("last_seen_at"), state.alias("lifecycle_state"), F.lit("").alias("title"), F.lit("").alias("text"))
-    rows = rows.join(_clusters(spark, sf_dir), "posting_id")
-    by = F.struct("rank", "first_seen_at", "posting_id")
-    found = rows.groupBy("cluster").agg(F.min_by("posting_id", by).alias("canonical_posting"), F.min_by("lifecycle_state", by).alias("s"), F.count("*").alias("n_postings"))
-    return found.select("cluster", "canonical_posting", F.when(F.col("s") == "CLOSED_OBSERVED", "CLOSED_OBSERVED").otherwise("ACTIVE").alias("status"), "n_postings")
-
-
-@query("""WITH t AS (SELECT doc_id AS target_id, text FROM documents WHERE doc_id % 2 = 1), s AS (SELECT l.doc_id AS decision_id, d.text FROM labels l JOIN documents d USING (doc_id) WHERE l.doc_id % 2 = 0),
-g AS (SELECT target_id, count(DISTINCT decision_id) AS n, min(decision_id) AS decision_id FROM t LEFT JOIN s ON s.text = t.text GROUP BY target_id)
-SELECT target_id, n, CASE WHEN n = 0 THEN 'UNMATCHED' WHEN n = 1 THEN 'APPLY' ELSE 'CONFLICT' END AS action, CASE WHEN n = 1 THEN decision_id END AS decision_id FROM g""")
+    """Each cluster's vacancy: canonical posting, which alone decides its status, bounds and positions."""
+    size = F.col("n_chars")
+    seen, state = F.timestamp_seconds("n_chars"), F.when(size % 2 == 0, "CLOSED_OBSERVED").otherwise("STILL_ACTIVE")
+    said = F.when(size % 4 == 1, "2 Stellen").when(size % 4 == 2, "Lehrstellen").otherwise("")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("posting_id"), (size % 3).alias("rank"), seen.alias("first_seen_at"), seen.alias("last_seen_at"), state.alias("lifecycle_state"), said.alias("title"), F.lit("").alias("text"))
+    found = linkage.vacancies(rows, _clusters(spark, sf_dir))
+    return found.select("cluster", "canonical_posting", "status", "n_postings", F.unix_seconds("first_seen_at").alias("first_seen"), F.unix_seconds("last_seen_at").alias("last_seen"), "positions_count", "multi_hire_possible")
+
+
+@query("""WITH t AS (SELECT doc_id AS target_id, text FROM documents), s AS (SELECT l.doc_id AS decision_id, d.text FROM labels l JOIN documents d USING (doc_id)),
+g AS (SELECT text, least(count(DISTINCT decision_id), 2) AS n, min(decision_id) AS decision_id FROM s GROUP BY text)
+SELECT target_id, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 THEN 'UNMATCHED' WHEN n = 1 THEN 'APPLY' ELSE 'CONFLICT' END AS action, CASE WHEN n = 1 THEN decision_id END AS decision_id FROM t LEFT JOIN g USING (text)""")
 def material_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Earlier decisions on materially identical documents: none, one to apply, or a conflict."""
+    """Decisions on materially identical documents, of all targets and all labels: none, one to apply, or a conflict."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("one").alias("posting_id"), V.row_fingerprint("text").alias("fingerprint"))
-    targets = docs.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "target_id").withColumn("target_at", at(AS_OF))
-    decided = table(spark, sf_dir, "labels").where("doc_id % 2 = 0").select("doc_id").join(docs, "doc_id").withColumnRenamed("doc_id", "decision_id").withColumn("decided_at", at("2024-01-01 00:00:00"))
+    targets = docs.withColumnRenamed("doc_id", "target_id").withColumn("target_at", at(AS_OF))
+    decided = table(spark, sf_dir, "labels").select("doc_id").join(docs, "doc_id").withColumnRenamed("doc_id", "decision_id").withColumn("decided_at", at("2024-01-01 00:00:00"))
     return linkage.material_matches(targets, decided).select("target_id", "n", "action", "decision_id")
 
 
@@ -603,10 +637,10 @@ def cycle_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_orderkey", "o_orderpriority", "previous_o_orderpriority", "changed")
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events")
+@query("SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL")
 def distinct_cycle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One event for each cycle and fingerprint."""
-    return governance.distinct_events(table(spark, sf_dir, "events").select("user_id", "event_type"), "user_id", "event_type")
+    return governance.distinct_events(table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id"), "user_id", "event_type", ["ts", "event_id"]).select("user_id", "event_type", "event_id")
 
 
 @query("""SELECT p_partkey, round((p_size - avg(p_size) OVER w) / stddev_samp(p_size) OVER w, 6) AS z_size FROM part WINDOW w AS (PARTITION BY p_type)""")
@@ -696,7 +730,7 @@ def constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expectations.violations(table(spark, sf_dir, "orders"), {f"rule{k}": F.expr(r) for k, r in enumerate(_RULES)})
 
 
-@query("SELECT n_nationkey, sha256('n_name=''' || n_name || '''|n_nationkey=''' || n_nationkey || '''|n_regionkey=''' || n_regionkey || '''') AS fingerprint FROM nation")
+@query("SELECT n_nationkey, sha256('n_name=' || length(n_name) || ':' || n_name || '|n_nationkey=' || length(n_nationkey::VARCHAR) || ':' || n_nationkey || '|n_regionkey=' || length(n_regionkey::VARCHAR) || ':' || n_regionkey) AS fingerprint FROM nation")
 def row_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of rows in a canonical order of names."""
     return table(spark, sf_dir, "nation").select("n_nationkey", V.row_fingerprint("n_nationkey", "n_name", "n_regionkey").alias("fingerprint"))
@@ -711,12 +745,12 @@ def identity_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expectations.compare_by_hash(package, current, "c_custkey", "d")
 
 
-@query("""SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT p_partkey, upper(p_name), p_size + 1 FROM part WHERE p_partkey % 3 = 0""")
+@query("""SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT p_partkey, upper(p_name), p_size + 2 FROM part WHERE p_partkey % 3 = 0""")
 def upsert_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New rows put into a dimension by key."""
+    """New rows, of which every key has two, put into a dimension by key: the greater size counts."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
-    fresh = part.where("p_partkey % 3 = 0").select("p_partkey", F.upper("p_name").alias("p_name"), (F.col("p_size") + 1).alias("p_size"))
-    return expectations.upsert(part, fresh, ["p_partkey"])
+    fresh = part.where("p_partkey % 3 = 0").select("p_partkey", F.upper("p_name").alias("p_name"), F.explode(F.array(F.col("p_size") + 1, F.col("p_size") + 2)).alias("p_size"))
+    return expectations.upsert(part, fresh, ["p_partkey"], [F.desc("p_size")])
 
 
 @query("""SELECT o_custkey FROM (SELECT o_custkey, count(DISTINCT o_orderpriority) AS n FROM orders GROUP BY o_custkey) WHERE n > 1""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -17,7 +18,8 @@ _shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Give executors this package (as a zip through Spark's own file server) and bound Arrow batches."""
+    """Give executors this package (as a zip through Spark's own file server), and set what every operator relies on for
+    the rest of the session: bounded Arrow batches, and UTC as its time zone."""
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         context.addPyFile(_package_zip())
@@ -41,9 +43,12 @@ def _package_zip() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the cluster names none (tests)."""
+    """The folder that driver and executors share. Only a session on one machine (tests) gets one made here; a cluster
+    must name its own in ``spark.checkpoint.dir``."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
