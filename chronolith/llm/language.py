@@ -36,7 +36,7 @@ from chronolith.session import prepare
 
 SAMPLE, SEGMENTS, SEGMENT_WORDS, PIECE_LETTERS = 1000, 4, 40, 32
 #: Bytes of text whose words run through the field in step, and those whose emissions are scored at a time.
-STEP_BYTES, SCORED_BYTES = 4 << 20, 1 << 20
+STEP_BYTES, SCORED_BYTES = 2 << 20, 1 << 20
 #: Words whose forms, features or marginals are made at a time.
 BLOCK_WORDS = 1 << 14
 #: Hashed features.
