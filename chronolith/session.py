@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of one Arrow batch handed to Python; the second bound keeps batches of very long texts small.
 ARROW_ROWS = 2000
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 8 << 20
 
 _shipped: set[str] = set()
 
