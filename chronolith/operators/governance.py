@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.functions.values import row_fingerprint
+from chronolith.functions.values import dataset_fingerprint, row_fingerprint
+from chronolith.operators.expectations import ExpectationError, require_empty
 from chronolith.operators.rules import first_match
 
 # Families that hold no vacancies, and what makes a source authoritative.
@@ -30,9 +31,12 @@ def source_policy() -> Column:
     return F.struct(first_match(role, "SUPPORTING").alias("role"), first_match(access, "BLOCKED_PENDING_ACCESS_REVIEW").alias("access"))
 
 
-def cohort(universe: DataFrame, blocked: DataFrame) -> DataFrame:
-    """Required sources that are not blocked."""
-    return universe.where("role = 'REQUIRED'").join(blocked.select("source_id").distinct(), "source_id", "left_anti")
+def cohort(universe: DataFrame, blocked: DataFrame, expected: int | None = None) -> DataFrame:
+    """Required sources that are not blocked; if a number is expected, any other is refused."""
+    found = universe.where("role = 'REQUIRED'").join(blocked.select("source_id").distinct(), "source_id", "left_anti")
+    if expected is not None and (n := found.count()) != expected:
+        raise ExpectationError(f"{n} sources, {expected} expected")
+    return found
 
 
 def inventory(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
@@ -76,3 +80,40 @@ def zscores(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     by = Window.partitionBy(*keys)
     scored = rows.withColumns({f"z_{v}": F.try_divide(F.col(v) - F.avg(v).over(by), F.stddev_samp(v).over(by)) for v in values})
     return scored.withColumn("pressure", sum((F.col(f"z_{v}") for v in values), F.lit(0.0)) / len(values))
+
+
+def package_manifest(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row that stands for a package: rows by table, and digests of its rows and of its references, which no order or
+    partitioning changes.
+
+    ``rows``: ``inventory``; ``edges``: ``relationships`` with ``included``.
+    """
+    tables = rows.groupBy("table").agg(F.count("*").alias("n"))
+    counted = tables.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("table", "n"))))).alias("row_counts"))  # a row a table
+    spark = rows.sparkSession
+    digests = spark.createDataFrame([(dataset_fingerprint(rows, "table", "key", "digest"), dataset_fingerprint(edges, "table", "key", "field", "target_table", "target_key", "included"))], "rows_sha256 string, edges_sha256 string")
+    return counted.crossJoin(digests)  # one row each
+
+
+def with_included(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """References with whether the package holds what they refer to."""
+    held = known.select(F.col("table").alias("target_table"), F.col("key").alias("target_key"), F.lit(True).alias("included"))
+    return edges.join(held, ["target_table", "target_key"], "left").withColumn("included", F.coalesce("included", F.lit(False)))
+
+
+def import_package(package: DataFrame, manifest: DataFrame, edges: DataFrame, current: DataFrame) -> DataFrame:
+    """The rows of a package that are to be inserted. A package that is not what its manifest says, or that holds a row
+    which differs from the current one of its key, is refused; identical rows are left out."""
+    if package_manifest(package, edges).first() != manifest.first():
+        raise ExpectationError("the package is not what its manifest says")
+    both = package.join(current.select("table", "key", F.col("digest").alias("_now")), ["table", "key"], "left")
+    require_empty(both.where(F.col("_now") != F.col("digest")), "a row of the package differs from the current one")
+    return both.where("_now IS NULL").drop("_now")
+
+
+def outcome_distribution(decisions: DataFrame, column: str, expected: dict[str, int]) -> DataFrame:
+    """``outcome, n, expected, agrees``: decisions by outcome against the numbers that were announced."""
+    wanted = decisions.sparkSession.createDataFrame(sorted(expected.items()), "outcome string, expected bigint")
+    counted = decisions.groupBy(F.col(column).alias("outcome")).agg(F.count("*").alias("n"))
+    both = counted.join(wanted, "outcome", "full_outer").withColumns({"n": F.coalesce("n", F.lit(0)), "expected": F.coalesce("expected", F.lit(0))})
+    return both.withColumn("agrees", F.col("n") == F.col("expected"))

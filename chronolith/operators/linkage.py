@@ -156,6 +156,15 @@ def scored_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return scored.withColumn("outcome", outcome(F.col("score"), F.col("hard_key"), F.size("barriers") > 0)).drop("a_", "b_")
 
 
+def pair_fingerprints(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs with ``fingerprint``: a digest of what both postings say and of how the pair was judged. A human decision on
+    a pair holds as long as this stays the same."""
+    digest = rows.select("posting_id", F.sha2(F.to_json(F.struct(*FEATURES), {"ignoreNullFields": "false"}), 256).alias("_d"))
+    side = lambda s: digest.select(F.col("posting_id").alias(s), F.col("_d").alias(f"_{s}"))
+    judged = F.sha2(F.to_json(F.struct("_a", "_b", "score", "hard_key", "barriers", "outcome"), {"ignoreNullFields": "false"}), 256)
+    return pairs.join(side("a"), "a").join(side("b"), "b").withColumn("fingerprint", judged).drop("_a", "_b")
+
+
 def outcome(score: Column, hard_key: Column, barred: Column) -> Column:
     """A barrier separates, a hard key merges, else the score decides."""
     at_least = lambda bound: score >= F.lit(bound).cast("decimal(5,4)")

@@ -160,3 +160,15 @@ def segments(rows: DataFrame, signals: list[Signal]) -> DataFrame:
     columns = {n: first_match([(c, v[k]) for c, v in table], last[k]) for k, n in enumerate(names)}
     private = first_match([(c, v[5]) for c, v in table], last[5])
     return rows.withColumns(columns | {"privacy_context": F.when(private, "PRIVATE_RESIDENCE").otherwise("PUBLIC_OR_NON_RESIDENTIAL")})
+
+
+# The statuses and segments that a run counts, met or not.
+STATUSES = ("CLASSIFIED", "REVIEW", "NO_SUFFICIENT_EVIDENCE", "SKIPPED_NOT_GREEN")
+SEGMENTS = ("PRIVATE_RESIDENTIAL_STANDARD", "PRIVATE_RESIDENTIAL_PREMIUM", "PRIVATE_ESTATE_DIRECT", "UNKNOWN")
+
+
+def segment_counts(judged: DataFrame) -> DataFrame:
+    """One row: how many rows were considered and eligible, and how many have each status and segment."""
+    by = lambda column, names: [F.count_if(F.col(column) == n).alias(f"{column}_{n.lower()}") for n in names]
+    eligible = F.count_if(F.col("effective_result") == "GREEN_CONFIRMED").alias("eligible")
+    return judged.agg(F.count("*").alias("considered"), eligible, *by("status", STATUSES), *by("segment", SEGMENTS))

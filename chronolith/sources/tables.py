@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronolith.operators.expectations import ExpectationError, require_empty, unique
+from chronolith.session import materialize
 
 
 def strict_csv(spark: SparkSession, path: str, headers: list[str], count: int | None, key: str) -> DataFrame:
@@ -30,6 +33,28 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def pinned_csv(spark: SparkSession, path: str, digest: str, headers: list[str], count: int | None, key: str) -> DataFrame:
+    """``strict_csv`` of a file that must have this SHA-256."""
+    found = file_digests(spark, path).first()
+    if found is None or found.sha256 != digest:
+        raise ExpectationError(f"{path} is not the pinned file")
+    return strict_csv(spark, path, headers, count, key)
+
+
+def safe_key(key: str) -> str:
+    """A raw key that stays below its root: relative, without empty, ``.`` or ``..`` parts or odd characters."""
+    parts = key.split("/")
+    if not key or any(p in ("", ".", "..") for p in parts) or not re.fullmatch(r"[\w.\-/]+", key):
+        raise ValueError(f"unsafe key {key!r}")
+    return key
+
+
+def read_raw(spark: SparkSession, root: str, keys: list[str]) -> DataFrame:
+    """``path, content, sha256`` of raw objects by key."""
+    files = spark.read.format("binaryFile").load([f"{root.rstrip('/')}/{safe_key(k)}" for k in keys])
+    return files.select("path", "content", F.sha2("content", 256).alias("sha256"))
+
+
 def validated_documents(rows: DataFrame, column: str, schema: T.StructType, required: list[str], rules: dict[str, Column]) -> DataFrame:
     """Each JSON text as ``document`` with ``errors``: not JSON, missing or unknown keys, broken rules.
 
@@ -62,6 +87,17 @@ def write_once(rows: DataFrame, path: str, key: str, digest: str) -> DataFrame:
         return rows
     joined = rows.join(known, key, "left")
     require_empty(joined.where(F.col("_known") != F.col(digest)), "a raw key has other content")
-    fresh = joined.where(F.col("_known").isNull()).drop("_known")
+    fresh = materialize(joined.where(F.col("_known").isNull()).drop("_known"), "raw")
     fresh.write.mode("append").parquet(path)
+    written = spark.read.parquet(path).select(key, F.col(digest).alias("_written"))
+    require_empty(fresh.join(written, key, "left").where(~F.col("_written").eqNullSafe(F.col(digest))), "a raw row was not written as given")
     return fresh
+
+
+def insert_counted(rows: DataFrame, path: str, expected: int) -> DataFrame:
+    """Write rows once; any other number of rows than expected is refused, and what was written is read back."""
+    rows.write.parquet(path)
+    out = rows.sparkSession.read.parquet(path)
+    if (n := out.count()) != expected:
+        raise ExpectationError(f"{n} rows written, {expected} expected")
+    return out

@@ -7,11 +7,12 @@ so no timer is needed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chronolith.operators.lifecycle import CLOSE_AFTER_SECONDS
@@ -60,3 +61,14 @@ def activity_windows(rows: DataFrame, width: str, lateness: str) -> DataFrame:
     """Presence and absence counted in event-time windows; rows later than ``lateness`` are dropped."""
     late = rows.withWatermark("ts", lateness)
     return late.groupBy(F.window("ts", width)).agg(F.count_if("present").alias("present"), F.count_if(~F.col("present")).alias("absent"))
+
+
+def once(rows: DataFrame, lateness: str) -> DataFrame:
+    """Rows of a stream without those that repeat an ``event_key`` within ``lateness``."""
+    return rows.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_key"])
+
+
+def by_scan(rows: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Hand a stream over scan by scan: each micro-batch goes to ``write`` with its number, which a restart repeats for a
+    batch that was not finished, so that ``write`` can tell what it has written."""
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

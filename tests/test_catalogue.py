@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from chronolith.plans import catalogue
+from chronolith.plans import catalogue, projections  # noqa: F401  projections registers its queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
