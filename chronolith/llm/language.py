@@ -37,8 +37,8 @@ from chronolith.session import prepare
 SAMPLE, SEGMENTS, SEGMENT_WORDS, PIECE_LETTERS = 1000, 4, 40, 32
 #: Bytes of text whose words run through the field in step, and those whose emissions are scored at a time.
 STEP_BYTES, SCORED_BYTES = 2 << 20, 1 << 20
-#: Words whose forms, features or marginals are made at a time.
-BLOCK_WORDS = 1 << 14
+#: Words whose forms or features are made at a time, and words of sequences whose marginals are in training.
+BLOCK_WORDS, BLOCK_SEQUENCES = 1 << 14, 1 << 17
 #: Hashed features.
 FEATURES = 1 << 16
 UNDETERMINED = "und"
@@ -244,8 +244,8 @@ def train(segments: list[tuple[str, str]], rounds: int = 40, rate: float = 0.5,
     at = np.flatnonzero(inside)
     np.add.at(seen, (gold[rows[at - 1]], gold[rows[at]]), 1)
     square, square_t = np.zeros_like(model.weights), np.zeros_like(seen)
-    # Whole sequences, about BLOCK_WORDS words at a time; forms likewise.
-    cuts = np.unique(np.append(np.searchsorted(first, np.arange(0, len(rows), BLOCK_WORDS)), len(first) - 1))
+    # Whole sequences, about BLOCK_SEQUENCES words at a time; forms likewise.
+    cuts = np.unique(np.append(np.searchsorted(first, np.arange(0, len(rows), BLOCK_SEQUENCES)), len(first) - 1))
     shapes = [(low, min(low + BLOCK_WORDS, len(first_form))) for low in range(0, len(first_form), BLOCK_WORDS)]
     span = lambda low, high: slice(int(begins[low]), int(begins[high - 1] + repeat[high - 1]))
     scores = np.empty((len(first_form), len(labels)), np.float32)
