@@ -1,22 +1,6 @@
 """Operators for preparing training corpora. Nothing else in the library imports this package."""
 
-import ctypes
-
 import pyarrow as pa
 
-#: glibc's parameters for when freed memory goes back, and from which size blocks are mapped on their own.
-_TRIM_THRESHOLD, _MMAP_THRESHOLD, _BYTES = -1, -3, 1 << 20
-
-
-def _give_back() -> None:
-    """Let freed arrays go back to the system: Python workers live on between tasks, beside their executor's heap."""
-    try:
-        libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(_MMAP_THRESHOLD, _BYTES)
-        libc.mallopt(_TRIM_THRESHOLD, _BYTES)
-    except (AttributeError, OSError):
-        return  # another C library
-    pa.set_memory_pool(pa.system_memory_pool())
-
-
-_give_back()
+# Arrow's own pool keeps freed memory; Python workers live on between tasks, beside their executor's heap.
+pa.set_memory_pool(pa.system_memory_pool())
