@@ -13,19 +13,22 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows and bytes of one Arrow batch handed to Python; the second bound keeps batches of very long texts small.
 ARROW_ROWS = 2000
 ARROW_BYTES = 8 << 20
+#: Rows that a scan decodes at a time: texts of kilobytes make wide batches.
+SCAN_ROWS = 1024
 
 _shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Give executors this package (as a zip through Spark's own file server), and set what every operator relies on for
-    the rest of the session: bounded Arrow batches, and UTC as its time zone."""
+    the rest of the session: bounded batches of scans and of Arrow, and UTC as its time zone."""
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         context.addPyFile(_package_zip())
         _shipped.add(context.applicationId)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(SCAN_ROWS))
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
