@@ -67,6 +67,15 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, blocks).distinct()
 
 
+def decisive_pairs(rows: DataFrame) -> DataFrame:
+    """Candidates that can come to more than being kept apart: those with a hard key, and those whose score can reach
+    ``REVIEW_FROM``. Employers must be equal; a score then leaves titles to be alike to 0.32 if location and terms are equal
+    as well, to 0.72 if only locations are, to 0.92 if only terms are. What is equal is the join's key."""
+    soft = [titled_pairs(rows, "0.32", ("employer", "location", "terms")), titled_pairs(rows, "0.72", ("employer", "location")), titled_pairs(rows, "0.92", ("employer", "terms"))]
+    hard = [equal_pairs(rows, "requisition"), equal_pairs(rows, "url"), equal_pairs(rows, "redirect", "url")]
+    return reduce(DataFrame.union, [*hard, *soft]).distinct()
+
+
 def classes(rows: DataFrame) -> DataFrame:
     """``(posting_id, representative)``: postings with all features equal form a class, which its least id represents."""
     digest = F.sha2(F.to_json(F.struct(*FEATURES), {"ignoreNullFields": "false"}), 256)

@@ -313,10 +313,12 @@ def exact_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as linkage evidence: the source is the employer, the first line the title, the whole text the text; the
-    last line is the URL, and every other document names a digest of its whole text as its requisition."""
+    URL is a digest of the whole text's letters, and every other document names a digest of its whole text as its
+    requisition; some redirect to what their first line would be alone."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z]+", " "))
     tokens = lambda c: F.array_sort(X.tokens(plain(c)))
-    size, first, last = F.col("n_chars"), F.substring_index("text", "\n", 1), F.substring_index("text", "\n", -1)
+    size, first = F.col("n_chars"), F.substring_index("text", "\n", 1)
+    digest = lambda c: F.when(F.length(plain(c)) >= 20, F.sha2(plain(c).cast("binary"), 256)).otherwise("")
     seen = F.date_add(F.lit("2024-01-01").cast("date"), (size % 400).cast("int"))
     rows = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("posting_id"),
@@ -324,8 +326,8 @@ def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang").alias("location"),
         F.when(size % 3 == 0, "").when(size % 3 == 1, "80").otherwise("100").alias("terms"),
         F.when(size % 2 == 0, F.sha2(F.col("text").cast("binary"), 256)).otherwise("").alias("requisition"),
-        F.when(F.length(last) >= 20, last).otherwise("").alias("url"),
-        F.when((size % 5 == 0) & (F.length(first) >= 20), first).otherwise("").alias("redirect"),
+        digest(F.col("text")).alias("url"),
+        F.when(size % 5 == 0, digest(first)).otherwise("").alias("redirect"),
         tokens(first).alias("title_tokens"),
         tokens(F.col("text")).alias("text_tokens"),
         F.array(F.col("lang")).alias("location_tokens"),
@@ -336,11 +338,10 @@ def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _POSTINGS = """
-l AS (SELECT *, split_part(text, chr(10), 1) AS head, array_extract(string_split(text, chr(10)), -1) AS tail FROM documents),
+l AS (SELECT *, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z]+', ' ', 'g')) AS head, trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) AS plain FROM documents),
 p AS (SELECT doc_id AS id, source AS employer, lang AS location, CASE n_chars % 3 WHEN 0 THEN '' WHEN 1 THEN '80' ELSE '100' END AS terms, CASE WHEN n_chars % 2 = 0 THEN sha256(text) ELSE '' END AS req,
-  CASE WHEN length(tail) >= 20 THEN tail ELSE '' END AS url, CASE WHEN n_chars % 5 = 0 AND length(head) >= 20 THEN head ELSE '' END AS redirect,
-  list_sort(list_filter(list_distinct(string_split(trim(regexp_replace(lower(head), '[^a-z]+', ' ', 'g')), ' ')), lambda t: length(t) > 1)) AS title,
-  list_sort(list_filter(list_distinct(string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ')), lambda t: length(t) > 1)) AS body,
+  CASE WHEN length(plain) >= 20 THEN sha256(plain) ELSE '' END AS url, CASE WHEN n_chars % 5 = 0 AND length(head) >= 20 THEN sha256(head) ELSE '' END AS redirect,
+  list_sort(list_filter(list_distinct(string_split(head, ' ')), lambda t: length(t) > 1)) AS title, list_sort(list_filter(list_distinct(string_split(plain, ' ')), lambda t: length(t) > 1)) AS body,
   DATE '2024-01-01' + (n_chars % 400)::INT AS seen, CASE WHEN n_chars % 7 = 0 THEN DATE '2024-01-11' + (n_chars % 400)::INT END AS closed FROM l),
 r AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY employer, location, terms, req, url, redirect, title, body, seen, closed ORDER BY id) = 1)"""
 _BLOCKS = "SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.req = b.req AND a.req <> '' AND a.id < b.id UNION SELECT a.id, b.id FROM p a JOIN p b ON a.url = b.url AND a.url <> '' AND a.id < b.id"
@@ -372,14 +373,14 @@ v AS (SELECT *, other_req OR NOT loc OR other_terms OR coalesce(again > closed A
 pairs AS (SELECT a, b, t, x, score, hard, barred, CASE WHEN barred THEN 'KEEP_SEPARATE' WHEN hard OR score >= 0.9 THEN 'AUTO_MERGE' WHEN score >= 0.78 THEN 'REVIEW' ELSE 'KEEP_SEPARATE' END AS outcome FROM v)"""
 
 
-_PAIRS = f"{_POSTINGS}, {_scored_sql('r')}"
+_PAIRS = f"{_POSTINGS}, {_scored_sql('r')}, decisive AS (SELECT * FROM pairs WHERE hard OR score >= 0.78)"
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assessed pairs of the classes' representatives."""
+    """Assessed pairs of the classes' representatives: those with a hard key or a score that merges or asks for review."""
     rows = _postings(spark, sf_dir)
     one = materialize(linkage.representatives(rows, linkage.classes(rows)), "representatives")
-    return linkage.scored_pairs(one, linkage.candidate_pairs(one))
+    return linkage.scored_pairs(one, linkage.decisive_pairs(one)).where(F.col("hard_key") | (F.col("score") >= F.lit(linkage.REVIEW_FROM).cast("decimal(5,4)")))
 
 
 @query(f"WITH {_POSTINGS} SELECT id AS posting_id, min(id) OVER (PARTITION BY employer, location, terms, req, url, redirect, title, body, seen, closed) AS representative FROM p")
@@ -394,16 +395,16 @@ def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).where("hard_key").select("a", "b", F.col("title_score").cast("double").alias("title_score"), F.col("text_score").cast("double").alias("text_score"))
 
 
-@query(f"WITH {_PAIRS} SELECT a, b, outcome, barred FROM pairs")
+@query(f"WITH {_PAIRS} SELECT a, b, outcome, barred FROM decisive")
 def pair_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores, barriers and outcomes of all candidate pairs of representatives."""
+    """Outcomes and barriers of all decisive pairs of representatives."""
     return _pairs(spark, sf_dir).select("a", "b", "outcome", (F.size("barriers") > 0).alias("barred"))
 
 
 @query(f"""WITH {_PAIRS} SELECT count(*) AS candidate_pairs, count(*) FILTER (outcome = 'AUTO_MERGE' AND hard) AS hard_key_merges, count(*) FILTER (outcome = 'AUTO_MERGE' AND NOT hard) AS rule_auto_merges,
-  count(*) FILTER (outcome = 'REVIEW') AS review_pairs, count(*) FILTER (outcome = 'KEEP_SEPARATE') AS keep_separate_pairs, count(*) FILTER (barred) AS hard_barrier_pairs FROM pairs""")
+  count(*) FILTER (outcome = 'REVIEW') AS review_pairs, count(*) FILTER (outcome = 'KEEP_SEPARATE') AS keep_separate_pairs, count(*) FILTER (barred) AS hard_barrier_pairs FROM decisive""")
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts over all assessed pairs of representatives."""
+    """Counts over all decisive pairs of representatives."""
     return linkage.run_counters(_pairs(spark, sf_dir))
 
 

@@ -93,7 +93,7 @@ def location_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.batch_counts(_resolved(spark, sf_dir))
 
 
-@query(f"""WITH {_PAIRS} SELECT a, b, CASE WHEN (a + b) % 3 = 0 THEN 'HUMAN' WHEN hard THEN 'HARD_KEY' ELSE 'RULE_SCORE' END AS method, CASE WHEN (a + b) % 3 = 0 THEN CASE WHEN a % 2 = 0 THEN 'MERGE' ELSE 'KEEP_SEPARATE' END ELSE outcome END AS outcome FROM pairs""")
+@query(f"""WITH {_PAIRS} SELECT a, b, CASE WHEN (a + b) % 3 = 0 THEN 'HUMAN' WHEN hard THEN 'HARD_KEY' ELSE 'RULE_SCORE' END AS method, CASE WHEN (a + b) % 3 = 0 THEN CASE WHEN a % 2 = 0 THEN 'MERGE' ELSE 'KEEP_SEPARATE' END ELSE outcome END AS outcome FROM decisive""")
 def human_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs under earlier human decisions, which name them in either order."""
     pairs = materialize(_pairs(spark, sf_dir).withColumn("fingerprint", F.lit("f")), "pairs")

@@ -63,6 +63,15 @@ def test_pairs_equal_the_loop(spark):
     assert sorted((r.a, r.b, r.score, r.barriers, r.outcome) for r in got) == sorted(expected(rows))
 
 
+def test_decisive_pairs_lose_no_outcome(spark):
+    for seed in (2, 5):
+        rows = list(postings(80, seed))
+        frame = spark.createDataFrame(rows, SCHEMA)
+        got = linkage.scored_pairs(frame, linkage.decisive_pairs(frame)).collect()
+        want = {(a, b): how for a, b, score, _, how in expected(rows) if score >= Decimal("0.78") or how != "KEEP_SEPARATE"}
+        assert want.items() <= {(r.a, r.b): r.outcome for r in got}.items()
+
+
 def test_thresholds(spark):
     rows = spark.createDataFrame([("0.7799",), ("0.7800",), ("0.8999",), ("0.9000",)], "s string").select(F.col("s").cast("decimal(5,4)").alias("s"))
     free = rows.select(linkage.outcome(F.col("s"), F.lit(False), F.lit(False)).alias("o")).collect()
