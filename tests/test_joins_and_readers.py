@@ -191,3 +191,35 @@ def test_human_decisions_start_a_second_pass(spark):
     out, fresh = cycle.run_twice(seen, events, terms, (when, when), said, applied)
     assert fresh.count() == 1 and out.vacancies.first().n_postings == 2
     assert cycle.run_twice(seen, events, terms, (when, when), said, fresh)[1].isEmpty()
+
+
+def test_visible_text_of_generated_pages(spark):
+    chance = random.Random(3)
+    pages, matched, shown = [], [], []
+    for _ in range(40):
+        parts, every, some = [], [], []
+        for k in range(chance.randint(0, 12)):
+            word = f"w{k} &amp; {chance.choice(['ä', 'b', '1'])}"
+            plain = word.replace("&amp;", "&")
+            kind = chance.choice(["p", "b", "script", "style", "template", "noscript", "svg", "math", "text", "comment", "link"])
+            if kind == "text":
+                parts.append(f"{word}<br>")
+            elif kind == "comment":
+                parts.append(f"<!-- {word} -->")
+            elif kind == "link":
+                parts.append(f"<a href='/x'>https://x.ch/{k}?a=b</a>")
+                every.append("")
+                some.append(f"https://x.ch/{k}?a=b")
+                continue
+            else:
+                parts.append(f"<{kind} class='x'>{word}</{kind}>")
+            if kind in ("p", "b", "text", "svg", "math"):
+                every.append(plain)
+            if kind in ("p", "b", "text"):
+                some.append(plain)
+        pages.append("".join(parts))
+        matched.append(" ".join(" ".join(every).split()))
+        shown.append(" ".join(" ".join(some).split()))
+    frame = spark.createDataFrame([(k, p) for k, p in enumerate(pages)], "k int, h string")
+    got = frame.select("k", X.visible_for_matching("h").alias("m"), X.visible_for_display("h").alias("d")).orderBy("k").collect()
+    assert [" ".join(r.m.split()) for r in got] == matched and [r.d for r in got] == shown

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from chronolith.operators import lifecycle, pit
-from chronolith.streaming.lifecycle import fold, lifecycle_stream
+from chronolith.streaming.lifecycle import by_scan, fold, lifecycle_stream, once
 
 T0 = datetime(2024, 1, 1)
 
@@ -85,3 +85,15 @@ def test_later_rows_change_no_earlier_state(spark):
     cutoff = F.lit("2024-01-03 00:00:00").cast("timestamp")
     a, b = (pit.posting_states(frame(n), none, cutoff).collect() for n in (3, 5))
     assert a == b and a[0].observation_id == 2 and a[0].lifecycle_state == "ACTIVE_OBSERVED"
+
+
+def test_repeats_are_dropped_and_batches_told_apart(spark, tmp_path):
+    rows = [("a", T0), ("a", T0 + timedelta(minutes=1)), ("b", T0)]
+    for n, part in enumerate([rows, rows[:1]]):
+        spark.createDataFrame(part, "event_key string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / f"{n}"))
+    stream = spark.readStream.schema("event_key string, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    told = {}
+    for _ in range(2):  # a second start finds nothing new
+        by_scan(once(stream, "1 hour"), lambda batch, number: told.setdefault(number, sorted(r.event_key for r in batch.collect())), str(tmp_path / "ck")).awaitTermination(120)
+    assert sorted(k for keys in told.values() for k in keys) == ["a", "b"] and len(told) >= 2
