@@ -1,7 +1,7 @@
 """The corpus pipeline: language ID, quality, near-duplicates, decontamination, encoding.
 
-Each stage takes all that its predecessor kept. Documents of undetermined language go, then those predicted to be
-of poor quality, then all but one of each group of near-duplicates, then those that hold a benchmark window; what
+Each stage takes all that its predecessor kept. Documents in no language go, and ``lang`` of the others becomes the one
+predicted; then those go that are predicted to be of poor quality, then all but one of each group of near-duplicates, then those that hold a benchmark window; what
 is left is encoded. All stages but the last return the columns of ``documents``.
 """
 
@@ -18,7 +18,7 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: keep documents whose language is determined."""
+    """Operator 8: keep documents that are in a language, named by the prediction."""
     return language.keep_identified(docs, language.learn(docs, remainder(4) != 2))
 
 
