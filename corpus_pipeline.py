@@ -1,8 +1,9 @@
 """The corpus pipeline: language ID, quality, near-duplicates, decontamination, encoding.
 
 Each stage takes all that its predecessor kept. Documents in no language go, and ``lang`` of the others becomes the one
-predicted; then those go that are predicted to be of poor quality, then all but one of each group of near-duplicates, then those that hold a benchmark window; what
-is left is encoded. All stages but the last return the columns of ``documents``.
+predicted; then those go that are predicted to be of poor quality, then all but one of each group of near-duplicates,
+then those that hold a benchmark window; what is left is encoded. All stages but the last return the columns of
+``documents``.
 """
 
 from __future__ import annotations
