@@ -80,23 +80,23 @@ def test_values(spark):
     assert spark.createDataFrame([(nested,)], "j string").select(X.requisition_id("j").alias("r")).first().r == "7"
 
 
-PAGE = """<table-navigation initial-data-string='{"TableCurrentPage": %d, "From": %d, "To": %d, "Total": 3}'></table-navigation><table>%s</table>"""
-ROW = '<tr class="tableaslist_contentrow1 odd"><td><a class="big HSTableLinkSubTitle" href="/Vacancies/%d/Description/1">Job <b>%d</b></a></td></tr>'
-UMANTIS = HtmlPlatform(
-    Spot("tr", "class", "tableaslist_contentrow*"),
-    Spot("a", "class", "HSTableLinkSubTitle", "href", r"/Vacancies/(\d+)/"),
-    Spot("a", "class", "HSTableLinkSubTitle", "href"),
-    Spot("a", "class", "HSTableLinkSubTitle"),
-    Spot("table-navigation", take="initial-data-string"),
-    {"page": "TableCurrentPage", "first": "From", "last": "To", "total": "Total"},
+PAGE = """<page-state data-state='{"current": %d, "From": %d, "To": %d, "Total": 3}'></page-state><table>%s</table>"""
+ROW = '<tr class="listing-row1 odd"><td><a class="big entry-link" href="/Vacancies/%d/Description/1">Job <b>%d</b></a></td></tr>'
+TABLED = HtmlPlatform(
+    Spot("tr", "class", "listing-row*"),
+    Spot("a", "class", "entry-link", "href", r"/Vacancies/(\d+)/"),
+    Spot("a", "class", "entry-link", "href"),
+    Spot("a", "class", "entry-link"),
+    Spot("page-state", take="data-state"),
+    {"page": "current", "first": "From", "last": "To", "total": "Total"},
 )
 
 
 def test_html_listings_and_page_arithmetic(spark):
     pages = lambda s, *bounds: [(s, "main", n, "https://x.ch/l", PAGE % (p, a, b, "".join(ROW % (k, k) for k in range(a, b + 1)))) for n, (p, a, b) in enumerate(bounds)]
-    rows = pages("good", (1, 1, 2), (2, 3, 3)) + pages("gap", (1, 1, 1), (2, 3, 3)) + pages("short", (1, 1, 2)) + [("bare", "main", 0, "https://x.ch/l", "<tr class='tableaslist_contentrow'></tr>"), ("shut", "main", 0, "u", ""), ("strange", "main", 0, "u", "")]
+    rows = pages("good", (1, 1, 2), (2, 3, 3)) + pages("gap", (1, 1, 1), (2, 3, 3)) + pages("short", (1, 1, 2)) + [("bare", "main", 0, "https://x.ch/l", "<tr class='listing-row'></tr>"), ("shut", "main", 0, "u", ""), ("strange", "main", 0, "u", "")]
     frame = spark.createDataFrame(rows, "source_id string, surface string, ordinal int, url string, body string")
-    entries, facts = listings.parse_listings(frame, {s: UMANTIS for s in ("good", "gap", "short", "bare", "shut")}, blocked=("shut",))
+    entries, facts = listings.parse_listings(frame, {s: TABLED for s in ("good", "gap", "short", "bare", "shut")}, blocked=("shut",))
     assert sorted((r.source_posting_id, r.url, r.title) for r in entries.where("source_id = 'good'").collect()) == [(str(k), f"https://x.ch/Vacancies/{k}/Description/1", f"Job {k}") for k in (1, 2, 3)]
     assert {(r.source_id, r.reason) for r in listings.page_breaks(facts).collect()} == {("gap", "FIRST_PLACE"), ("short", "LAST_PLACE")}
     errors = {r.source_id: r.error for r in facts.where("error IS NOT NULL").collect()}
