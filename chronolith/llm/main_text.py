@@ -83,6 +83,10 @@ class Tree(HTMLParser):
 
     def nearest(self, wanted: frozenset | set, barrier: frozenset | set) -> int:
         """The last open element that is wanted, or 0 if there is none or a barrier stands after it."""
+        if self.names[-1] in wanted and len(self.names) > 1:
+            return len(self.names) - 1
+        if not any(self.places.get(n) for n in wanted):
+            return 0
         last = lambda names: max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
         place = last(wanted)
         return place if place and place >= last(barrier) else 0
@@ -144,6 +148,15 @@ def _mark_features(tag: str, above: str, mark: str) -> tuple[int, ...]:
     return tuple(dict.fromkeys([_feature(f"tag {tag}"), _feature(f"tag {above} {tag}"), *(_feature(f"word {w}") for w in words)]))
 
 
+def add_to(total: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+    """Add values at places that may repeat: by counting where they are many, one by one where they are few, so that a
+    level never costs more than its nodes."""
+    if 16 * len(at) > len(total):
+        total += np.bincount(at, values, len(total))
+    else:
+        np.add.at(total, at, values)
+
+
 class Forest:
     """The nodes of several pages, with features; parents come before children."""
 
@@ -177,8 +190,8 @@ class Forest:
         linked = lengths * in_link
         total, link = lengths.copy(), linked.copy()
         for level in reversed(self.levels[1:]):
-            np.add.at(total, self.parent[level], total[level])
-            np.add.at(link, self.parent[level], link[level])
+            add_to(total, self.parent[level], total[level])
+            add_to(link, self.parent[level], link[level])
         share = link / np.maximum(total, 1)
         size_bin = np.minimum(np.log2(total + 1).astype(int), 12)
         word_bin = np.minimum(np.log2(words + 1).astype(int), 8)
@@ -209,7 +222,8 @@ class Forest:
         up, belief = np.zeros((n, 2)), own.copy()
         for level in reversed(self.levels[1:]):
             up[level] = np.logaddexp.reduce(pair[level] + belief[level][:, None, :], axis=2)
-            np.add.at(belief, self.parent[level], up[level])
+            for label in (0, 1):
+                add_to(belief[:, label], self.parent[level], up[level, label])
         full = belief.copy()
         joint = np.zeros((n, 2, 2))
         for level in self.levels[1:]:
@@ -240,8 +254,8 @@ def train(pages: list[tuple[str, list[bool]]], rounds: int = 200, rate: float =
     size = np.array([len(x.strip()) for t in trees for x in t.texts], float)
     full, good = size.copy(), size * label
     for level in reversed(forest.levels[1:]):
-        np.add.at(full, forest.parent[level], full[level])
-        np.add.at(good, forest.parent[level], good[level])
+        add_to(full, forest.parent[level], full[level])
+        add_to(good, forest.parent[level], good[level])
     whole = np.array([tag in ("#page", "html", "body") for t in trees for tag in t.tags], bool)
     label = np.where(forest.is_text, label, (full > 0) & (good >= full / 2) & ~whole)
     blank = forest.is_text & ~texts  # white space has its parent's label
