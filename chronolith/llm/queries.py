@@ -103,8 +103,36 @@ def op10_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_next(table(spark, sf_dir, "documents"))
 
 
+#: What is allowed and blocked, by host and start of path.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every URL of ``pages`` under rules and, where none fits, by two character models."""
+    from chronolith.llm.url_filter import Rule, judge
+
+    return judge(table(spark, sf_dir, "pages"), [Rule.parse(*r) for r in URL_RULES])
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector of ``embeddings``; every seventh has another label."""
+    from chronolith.llm.hard_negatives import mine
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return mine(rows, F.col("vec_id") % 50 == 0)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of every vector of ``embeddings``, with errors by label and a digest of the codebooks."""
+    from chronolith.llm.vector_codes import compress, digest, with_label_errors
+
+    coded, entries = compress(table(spark, sf_dir, "embeddings"))
+    return with_label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(digest(entries)).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ppm": op1_ppm, "op2_winnowing": op2_winnowing, "op3_simhash": op3_simhash, "op4_token_counts": op4_token_counts, "op5_mil_quality": op5_mil_quality, "op6_chat_masks": op6_chat_masks, "op7_byte_bpe": op7_byte_bpe, "op8_language_crf": op8_language_crf, "op9_main_text": op9_main_text, "op10_edit_embedding": op10_edit_embedding}
+    return {"op1_ppm": op1_ppm, "op2_winnowing": op2_winnowing, "op3_simhash": op3_simhash, "op4_token_counts": op4_token_counts, "op5_mil_quality": op5_mil_quality, "op6_chat_masks": op6_chat_masks, "op7_byte_bpe": op7_byte_bpe, "op8_language_crf": op8_language_crf, "op9_main_text": op9_main_text, "op10_edit_embedding": op10_edit_embedding, "op11_url_filter": op11_url_filter, "op12_hard_negatives": op12_hard_negatives, "op13_vector_codes": op13_vector_codes}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -134,6 +162,39 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM c GROUP BY conv_id"""
 
 
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_SCALED = "list_transform(embedding, lambda x: floor({} * x::DOUBLE))"
+
+OP12_SQL = f"""
+WITH e AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_SCALED.format(256)} AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_FINITE}),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score FROM e a JOIN e c ON a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same AND id <> anchor_id QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3"""
+
+
+def _op13_sql(rounds: int = 4) -> str:
+    """Lloyd's rounds one after another: ``x`` has a row for each part of each vector, ``b`` one for each codebook entry."""
+    steps = []
+    for k in range(rounds + 1):
+        d = "list_dot_product(x.v, x.v) - 2 * list_dot_product(x.v, b.v) + list_dot_product(b.v, b.v)"
+        steps.append(f"a{k} AS MATERIALIZED (SELECT x.id, x.p, arg_min(b.e, ({d}, b.e)) AS e, min({d}) AS d FROM x JOIN b{k} b ON x.p = b.p GROUP BY x.id, x.p)")
+        if k < rounds:
+            steps.append(f"m{k} AS (SELECT a.p, a.e, i, floor(sum(x.v[i]) / count(*)) AS c FROM a{k} a JOIN x ON x.id = a.id AND x.p = a.p, (SELECT unnest(range(1, len(v) + 1)) AS i FROM (SELECT v FROM x LIMIT 1)) GROUP BY a.p, a.e, i)")
+            steps.append(f"b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(n.v, b.v) AS v FROM b{k} b LEFT JOIN (SELECT p, e, list(c ORDER BY i) AS v FROM m{k} GROUP BY p, e) n ON n.p = b.p AND n.e = b.e)")
+    return f"""
+WITH e AS MATERIALIZED (SELECT vec_id AS id, label, {_SCALED.format(1024)} AS v FROM embeddings WHERE {_FINITE}),
+x AS MATERIALIZED (SELECT id, p, list_slice(v, p * (len(v) // 4) + 1, (p + 1) * (len(v) // 4)) AS v FROM e, (SELECT unnest(range(4)) AS p)),
+b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY id) - 1 AS e, v FROM x QUALIFY e < 256),
+{", ".join(steps)},
+c AS (SELECT id, string_agg(printf('%02x', e::INT), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY id),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda y: y::BIGINT), ','), ',' ORDER BY p, e)) AS h FROM b{rounds})
+SELECT id AS vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM e JOIN c USING (id), h"""
+
+
+OP13_SQL = _op13_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express; the others are tested against brute force."""
-    return {"op2_winnowing": OP2_SQL, "op6_chat_masks": OP6_SQL}
+    return {"op2_winnowing": OP2_SQL, "op6_chat_masks": OP6_SQL, "op12_hard_negatives": OP12_SQL, "op13_vector_codes": OP13_SQL}
