@@ -11,7 +11,7 @@ bound does not rule out are looked at, since that is what an exact search among
 
 Rows that take part have an id, a label and a vector of finite numbers. Ids may repeat: a row with the anchor's own id is
 never its positive, other repeated rows count one by one, and each row that is an anchor is answered. Shorter vectors end
-in zeros. Scores beyond the range of a long become the nearest long. Ties go to the smaller id. An empty table, or one
+in zeros. Components beyond 2^40 in magnitude become 2^40, scores beyond the range of a long the nearest long. Ties go to the smaller id. An empty table, or one
 without anchors, gives no rows. Other columns are ignored, whatever their names.
 """
 

@@ -96,7 +96,7 @@ def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def keys(line: np.ndarray, order: int) -> np.ndarray:
     """For each symbol from place ``ORDER`` on, itself and the ``order`` before it in one number."""
-    n = len(line) - ORDER
+    n = max(len(line) - ORDER, 0)
     out = np.zeros(n, np.int64)
     for k in range(order, -1, -1):
         out = out << BITS | line[ORDER - k : ORDER - k + n]

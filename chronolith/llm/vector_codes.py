@@ -14,7 +14,8 @@ entries gain and lose, a bounded number of rows each. The codebooks, whose size
 all that the driver holds.
 
 Rows take part whose vector is there and holds only finite numbers, with or without an id or label. Shorter vectors, and
-lengths that don't divide into parts, end in zeros. The first entries are the parts of the rows of the smallest ids; rows
+lengths that don't divide into parts, end in zeros; components beyond 2^40 in magnitude become 2^40, errors and their sums
+beyond the range of a long the largest long. The first entries are the parts of the rows of the smallest ids; rows
 of equal ids are told apart by their components. Fewer rows than entries give fewer entries. An empty table gives no rows.
 Other columns are ignored, whatever their names.
 """
@@ -231,7 +232,7 @@ def with_label_errors(coded: DataFrame) -> DataFrame:
     """``CODED`` with ``label_error``: errors summed over all rows of the same label, those without one together. Labels of
     very many rows are summed before the shuffle and answered by a broadcast of bounded size."""
     keyed = materialize(coded.withColumns({"_none": F.col("label").isNull(), "_label": F.coalesce("label", F.lit(0))}), "coded")
-    sums = materialize(keyed.groupBy("_none", "_label").agg(F.sum("error").alias("label_error")), "errors")
+    sums = materialize(keyed.groupBy("_none", "_label").agg(F.least(F.sum(F.col("error").cast("decimal(38,0)")), F.lit(MOST).cast("decimal(38,0)")).cast("long").alias("label_error")), "errors")
     return look_up(keyed, sums, ["_none", "_label"]).drop("_none", "_label")
 
 

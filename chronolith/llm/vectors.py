@@ -12,21 +12,23 @@ from pyspark.sql import functions as F
 #: Numbers up to here are exact in floating point.
 EXACT = 1 << 53
 LEAST, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+#: Components beyond this magnitude become it, so that sums of millions of them are longs.
+LARGEST = 1 << 40
 PACKED = "n int, top double, ids binary, unnamed binary, labels binary, unlabelled binary, vectors binary"
 
 
 def integral(rows: DataFrame, scale: int) -> DataFrame:
     """``(vec_id, label, v)`` of the rows whose ``embedding`` is there and holds only finite numbers; ``v`` is
-    floor(scale * x) of each component x, as longs (beyond their range: the nearest one)."""
+    floor(scale * x) of each component x, as longs (at most ``LARGEST`` in magnitude)."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    v = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
+    v = F.transform("embedding", lambda x: F.greatest(F.least(F.floor(F.lit(float(scale)) * x.cast("double")), F.lit(LARGEST)), F.lit(-LARGEST)))
     kept = rows.where(F.col("embedding").isNotNull() & finite)
     return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), v.alias("v"))
 
 
 def extent(vectors: DataFrame) -> tuple[int, int, int]:
     """Rows, most components of a row, and the largest magnitude of a component."""
-    size = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: F.greatest(a, x, -F.greatest(x, F.lit(-MOST))))
+    size = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: F.greatest(a, F.abs(x)))
     found = vectors.agg(F.count("*"), F.max(F.size("v")), F.max(size)).first()
     return int(found[0]), int(found[1] or 0), int(found[2] or 0)
 
