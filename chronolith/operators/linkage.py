@@ -32,30 +32,64 @@ def equal_pairs(rows: DataFrame, key: str, other: str | None = None, partners: D
     return pairs.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"))
 
 
-def titled_pairs(rows: DataFrame, least: str = CANDIDATE_FROM, keys: tuple[str, ...] = ("employer",)) -> DataFrame:
-    """Pairs with equal non-empty ``keys`` whose titles' Jaccard is ``least`` or more, each pair once.
+def rarest_first(rows: DataFrame, keys: list[str], order: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Titles as token numbers, rarest first: ``(posting_id, keys, tokens)`` of the rows with non-empty ``keys`` and some
+    token; and ``(keys, token, df, number)``, the order they are in.
 
-    Titles meet under each of their rarest tokens (prefix filtering), lengths are compared first, and a pair is made
-    only under the first token that its prefixes share and only if its titles are alike enough: what leaves the join
-    are the pairs themselves. Tokens of very many postings are met in blocks.
+    Tokens are numbered under their keys. A given ``order`` is kept and only tokens that it lacks are added to it, so
+    titles that are put in order at different times can be compared.
     """
-    given = list(keys)
-    bound = float(least) - 5e-5  # scores are rounded to four places
-    some = rows.where(reduce(lambda x, y: x & y, (F.length(k) > 0 for k in given)))
-    flat = materialize(some.select("posting_id", *given, F.explode("title_tokens").alias("token")), "tokens")
-    frequency = materialize(flat.groupBy(*given, "token").agg(F.count("*").alias("df")), "frequencies")
-    rarest = F.array_sort(F.collect_list(F.struct("df", "token")))  # the tokens of one title
-    titles = look_up(flat, frequency, [*given, "token"]).groupBy("posting_id", *given).agg(F.transform(rarest, lambda t: t["token"]).alias("tokens"))
-    # Of n tokens, a partner at Jaccard t or more shares ceil(t * n) at least, so one of the first n - ceil(t * n) + 1.
-    n = F.size("tokens")
-    prefix = F.slice("tokens", F.lit(1), (n - F.ceil(F.lit(bound) * n - 1e-9) + 1).cast("int"))
-    indexed = materialize(titles.withColumn("prefix", prefix).withColumn("token", F.explode("prefix")), "prefixes")
-    left, right = (indexed.select(F.col("posting_id").alias(x), *given, "token", F.col("tokens").alias(f"t_{x}"), F.col("prefix").alias(f"p_{x}")) for x in ("a", "b"))
-    size = lambda x: F.size(f"t_{x}")
+    some = rows.where(reduce(lambda x, y: x & y, (F.length(k) > 0 for k in keys)))
+    flat = materialize(some.select("posting_id", *keys, F.explode("title_tokens").alias("token")), "tokens")
+    counted = flat.groupBy(*keys, "token").agg(F.count("*").alias("df"))
+    if order is None:
+        order = materialize(counted.withColumn("number", F.monotonically_increasing_id()), "token-order")
+    else:
+        above = order.agg(F.coalesce(F.max("number") + 1, F.lit(0))).first()[0]
+        fresh = counted.join(order.select(*keys, "token"), [*keys, "token"], "left_anti")
+        order = materialize(order.unionByName(fresh.withColumn("number", F.monotonically_increasing_id() + above)), "token-order")
+    by = F.array_sort(F.collect_list(F.struct("df", "number")))  # the tokens of one title
+    titles = look_up(flat, order, [*keys, "token"]).groupBy("posting_id", *keys).agg(by["number"].alias("tokens"))
+    return titles, order
+
+
+def prefixes(titles: DataFrame, least: str) -> DataFrame:
+    """A row for each of a title's first tokens, with its ``place`` among them. Of n tokens, a partner at Jaccard t or more
+    shares ceil(t * n) at least, so one of the first n - ceil(t * n) + 1."""
+    n, bound = F.size("tokens"), _bound(least)
+    kept = F.slice("tokens", F.lit(1), (n - F.ceil(F.lit(bound) * n - 1e-9) + 1).cast("int"))
+    return titles.select("*", F.posexplode(kept).alias("place", "token"))
+
+
+def _bound(least: str) -> float:
+    return float(least) - 5e-5  # scores are rounded to four places
+
+
+def met(left: DataFrame, right: DataFrame, keys: list[str], least: str) -> DataFrame:
+    """Pairs ``(a, b)`` of both sides' ``prefixes``, each once, whose titles' Jaccard is ``least`` or more. A pair is made
+    only under the first token that it shares, and only if lengths and places leave enough tokens to share."""
+    bound = _bound(least)
+    side = lambda rows, x: rows.select(F.col("posting_id").alias(x), *keys, "token", F.col("tokens").alias(f"t_{x}"), F.col("place").alias(f"p_{x}"))
+    size, place = (lambda x: F.size(f"t_{x}")), (lambda x: F.col(f"p_{x}"))
     long_enough = (size("a") >= bound * size("b")) & (size("b") >= bound * size("a"))
-    first = F.get(F.array_intersect("p_a", "p_b"), F.lit(0)) == F.col("token")
+    left_over = 1 + F.least(size("a") - place("a"), size("b") - place("b")) - 1
+    enough = left_over >= F.lit(bound / (1 + bound)) * (size("a") + size("b")) - 1e-9
+    before = lambda x: F.slice(f"t_{x}", F.lit(1), place(x))
+    first = ~F.arrays_overlap(before("a"), before("b"))
     alike = jaccard(F.col("t_a"), F.col("t_b")) >= F.lit(least).cast("decimal(5,4)")
-    return meet(left, right, [*given, "token"], "a", "b").where((F.col("a") < F.col("b")) & long_enough & first & alike).select("a", "b")
+    return meet(side(left, "a"), side(right, "b"), [*keys, "token"], "a", "b").where((F.col("a") != F.col("b")) & long_enough & enough & first & alike).select("a", "b")
+
+
+def titled_pairs(rows: DataFrame, least: str = CANDIDATE_FROM, keys: tuple[str, ...] = ("employer",)) -> DataFrame:
+    """Pairs with equal non-empty ``keys`` whose titles' Jaccard is ``least`` or more, each pair once.
+
+    Titles meet under each of their rarest tokens (prefix filtering), lengths and places are compared first, and a pair is
+    made only under the first token that it shares and only if its titles are alike enough: what leaves the join are
+    the pairs themselves. Tokens of very many postings are met in blocks.
+    """
+    titles, _ = rarest_first(rows, list(keys))
+    indexed = materialize(prefixes(titles, least), "prefixes")
+    return met(indexed, indexed, list(keys), least).where("a < b")
 
 
 def candidate_pairs(rows: DataFrame) -> DataFrame:
@@ -67,13 +101,20 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, blocks).distinct()
 
 
-def decisive_pairs(rows: DataFrame) -> DataFrame:
-    """Candidates that can come to more than being kept apart: those with a hard key, and those whose score can reach
-    ``REVIEW_FROM``. Employers must be equal; a score then leaves titles to be alike to 0.32 if location and terms are equal
-    as well, to 0.72 if only locations are, to 0.92 if only terms are. What is equal is the join's key."""
-    soft = [titled_pairs(rows, "0.32", ("employer", "location", "terms")), titled_pairs(rows, "0.72", ("employer", "location")), titled_pairs(rows, "0.92", ("employer", "terms"))]
-    hard = [equal_pairs(rows, "requisition"), equal_pairs(rows, "url"), equal_pairs(rows, "redirect", "url")]
-    return reduce(DataFrame.union, [*hard, *soft]).distinct()
+def class_pairs(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """All candidate pairs, as pairs of classes: ``scored_pairs`` of representatives, each with the number of pairs of
+    postings that it stands for (``n_pairs``): those between two classes, and those among the copies of one (a = b).
+
+    A posting's closure is never before its first sight, so of two first seen at once neither comes after the other's
+    closure, and all pairs of two classes have one outcome.
+    """
+    sizes = materialize(members.groupBy("representative").agg(F.count("*").alias("n")), "sizes")
+    one = materialize(representatives(rows, members), "representatives")
+    copies = sizes.where("n > 1").select(F.col("representative").alias("a"), F.col("representative").alias("b"))
+    size = lambda s: sizes.select(F.col("representative").alias(s), F.col("n").alias(f"n_{s}"))
+    scored = scored_pairs(one, materialize(candidate_pairs(one).union(copies), "candidates"))
+    pairs = F.when(F.col("a") == F.col("b"), F.expr("n_a * (n_a - 1) DIV 2")).otherwise(F.col("n_a") * F.col("n_b"))
+    return scored.join(size("a"), "a").join(size("b"), "b").withColumn("n_pairs", pairs).drop("n_a", "n_b")
 
 
 def classes(rows: DataFrame) -> DataFrame:
@@ -180,13 +221,31 @@ def outcome(score: Column, hard_key: Column, barred: Column) -> Column:
     return first_match([(barred, "KEEP_SEPARATE"), (hard_key, "AUTO_MERGE"), (at_least(MERGE_FROM), "AUTO_MERGE"), (at_least(REVIEW_FROM), "REVIEW")], "KEEP_SEPARATE")
 
 
-def with_human_decisions(pairs: DataFrame, decisions: DataFrame, as_of: Column) -> DataFrame:
-    """Pairs whose unordered ids and material fingerprint have an earlier human outcome take it; two conflict."""
+def with_human_decisions(pairs: DataFrame, decisions: DataFrame, as_of: Column, applications: DataFrame | None = None) -> DataFrame:
+    """Pairs whose unordered ids and material fingerprint have an earlier human outcome take it; two conflict.
+
+    Where no decision was made on the pair itself, the latest of ``applications`` counts (posting_a, posting_b as judged, fingerprint,
+    human_outcome, created_at and the source decision's source_created_at, both by the cutoff): a decision that was
+    carried over to the pair before. ``decided_by`` tells which (DIRECT, INHERITED, or null).
+    """
     known = decisions.where(F.col("created_at") <= as_of).select(F.least("posting_a", "posting_b").alias("a"), F.greatest("posting_a", "posting_b").alias("b"), "fingerprint", "human_outcome")
     one = known.groupBy("a", "b", "fingerprint").agg(F.count("*").alias("n"), F.min("human_outcome").alias("human"))
     clash = F.when(F.col("n") > 1, F.raise_error(F.lit("conflicting prior human decisions")).cast("string")).otherwise(F.col("human"))
-    joined = pairs.join(one.select("a", "b", "fingerprint", clash.alias("human")), ["a", "b", "fingerprint"], "left")
-    return joined.withColumns({"method": F.when(F.col("human").isNotNull(), "HUMAN").when(F.col("hard_key"), "HARD_KEY").otherwise("RULE_SCORE"), "outcome": F.coalesce("human", "outcome")})
+    joined = pairs.join(one.select("a", "b", "fingerprint", clash.alias("_direct")), ["a", "b", "fingerprint"], "left")
+    if applications is None:
+        joined = joined.withColumn("_inherited", F.lit(None).cast("string"))
+    else:
+        valid = applications.where((F.col("created_at") <= as_of) & (F.col("source_created_at") <= as_of))
+        latest = valid.groupBy(F.col("posting_a").alias("a"), F.col("posting_b").alias("b"), "fingerprint").agg(F.max_by("human_outcome", F.struct("created_at", "source_created_at", "human_outcome")).alias("_inherited"))
+        joined = joined.join(latest, ["a", "b", "fingerprint"], "left")
+    human = F.coalesce("_direct", "_inherited")
+    told = joined.withColumns({
+        "human": human,
+        "decided_by": F.when(F.col("_direct").isNotNull(), "DIRECT").when(F.col("_inherited").isNotNull(), "INHERITED"),
+        "method": F.when(human.isNotNull(), "HUMAN").when(F.col("hard_key"), "HARD_KEY").otherwise("RULE_SCORE"),
+        "outcome": F.coalesce(human, "outcome"),
+    })
+    return told.drop("_direct", "_inherited")
 
 
 def clusters(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -266,22 +325,39 @@ def material_matches(targets: DataFrame, sources: DataFrame) -> DataFrame:
     return found.select("target_id", "posting_id", "n", action.alias("action"), F.when(F.col("n") == 1, F.col("_first")).alias("decision_id"))
 
 
-def run_counters(pairs: DataFrame) -> DataFrame:
-    """One row of counts over assessed pairs: a pair with an earlier human decision counts as a candidate only."""
-    human = F.col("method") == "HUMAN" if "method" in pairs.columns else F.lit(False)
+def run_counters(pairs: DataFrame, decided: DataFrame | None = None) -> DataFrame:
+    """One row of counts over assessed pairs: a pair with an earlier human decision counts as a candidate only.
+
+    With ``n_pairs`` (``class_pairs``), a row counts for so many pairs of postings, of which ``decided`` (a, b, with the
+    pairs of classes; a row for each pair of postings that a human has decided) are human.
+    """
+    weight = F.col("n_pairs") if "n_pairs" in pairs.columns else F.lit(1)
+    if decided is not None:
+        humans = decided.groupBy("a", "b").agg(F.count("*").alias("_humans"))
+        pairs = pairs.join(humans, ["a", "b"], "left")
+        own = weight - F.coalesce("_humans", F.lit(0))
+    else:
+        own = F.when(F.col("method") == "HUMAN", 0).otherwise(weight) if "method" in pairs.columns else weight
     barred = F.size("barriers") > 0
-    merged = ~human & ~barred & (F.col("outcome") == "AUTO_MERGE")
-    count = lambda c, name: F.count_if(c).alias(name)
+    merged = ~barred & (F.col("outcome") == "AUTO_MERGE")
+    count = lambda c, name: F.coalesce(F.sum(F.when(c, own)), F.lit(0)).cast("long").alias(name)
     return pairs.agg(
-        F.count("*").alias("candidate_pairs"),
+        F.coalesce(F.sum(weight), F.lit(0)).cast("long").alias("candidate_pairs"),
         count(merged & F.col("hard_key"), "hard_key_merges"),
         count(merged & ~F.col("hard_key"), "rule_auto_merges"),
-        count(~human & ~barred & (F.col("outcome") == "REVIEW"), "review_pairs"),
-        count(~human & (barred | (F.col("outcome") == "KEEP_SEPARATE")), "keep_separate_pairs"),
-        count(~human & barred, "hard_barrier_pairs"),
+        count(~barred & (F.col("outcome") == "REVIEW"), "review_pairs"),
+        count(barred | (F.col("outcome") == "KEEP_SEPARATE"), "keep_separate_pairs"),
+        count(barred, "hard_barrier_pairs"),
     )
 
 
+def decided_classes(decided: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of postings (a, b) as pairs of their classes' representatives, a <= b, a row for each."""
+    side = lambda s: members.select(F.col("posting_id").alias(s), F.col("representative").alias(f"_{s}"))
+    both = decided.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    return both.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+
+
 def merged_identities(members: DataFrame, identities: DataFrame) -> DataFrame:
     """``(vacancy_id, winner, merged)``: of the identities that a cluster's postings had, the earliest seen wins (by
     first sight, then id) and the others are merged into it.

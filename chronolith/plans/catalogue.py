@@ -373,14 +373,15 @@ v AS (SELECT *, other_req OR NOT loc OR other_terms OR coalesce(again > closed A
 pairs AS (SELECT a, b, t, x, score, hard, barred, CASE WHEN barred THEN 'KEEP_SEPARATE' WHEN hard OR score >= 0.9 THEN 'AUTO_MERGE' WHEN score >= 0.78 THEN 'REVIEW' ELSE 'KEEP_SEPARATE' END AS outcome FROM v)"""
 
 
-_PAIRS = f"{_POSTINGS}, {_scored_sql('r')}, decisive AS (SELECT * FROM pairs WHERE hard OR score >= 0.78)"
+_PAIRS = f"{_POSTINGS}, {_scored_sql('r')}"
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assessed pairs of the classes' representatives: those with a hard key or a score that merges or asks for review."""
+    """All assessed pairs of the classes' representatives, as candidates have them: a hard key, or one employer and titles
+    alike to 0.2."""
     rows = _postings(spark, sf_dir)
     one = materialize(linkage.representatives(rows, linkage.classes(rows)), "representatives")
-    return linkage.scored_pairs(one, linkage.decisive_pairs(one)).where(F.col("hard_key") | (F.col("score") >= F.lit(linkage.REVIEW_FROM).cast("decimal(5,4)")))
+    return linkage.scored_pairs(one, materialize(linkage.candidate_pairs(one), "candidates"))
 
 
 @query(f"WITH {_POSTINGS} SELECT id AS posting_id, min(id) OVER (PARTITION BY employer, location, terms, req, url, redirect, title, body, seen, closed) AS representative FROM p")
@@ -389,23 +390,29 @@ def posting_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.classes(_postings(spark, sf_dir))
 
 
-@query(f"WITH {_PAIRS} SELECT a, b, t AS title_score, x AS text_score FROM pairs WHERE hard")
+@query(f"WITH {_PAIRS} SELECT a, b, t AS title_score, x AS text_score, score::DOUBLE AS score FROM pairs")
 def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jaccard scores, half to even, of representatives that share a hard key."""
-    return _pairs(spark, sf_dir).where("hard_key").select("a", "b", F.col("title_score").cast("double").alias("title_score"), F.col("text_score").cast("double").alias("text_score"))
+    """Jaccard scores, half to even, and weighted scores of all candidate pairs of representatives."""
+    return _pairs(spark, sf_dir).select("a", "b", *(F.col(c).cast("double").alias(c) for c in ("title_score", "text_score", "score")))
 
 
-@query(f"WITH {_PAIRS} SELECT a, b, outcome, barred FROM decisive")
+@query(f"WITH {_PAIRS} SELECT a, b, outcome, barred FROM pairs")
 def pair_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes and barriers of all decisive pairs of representatives."""
+    """Outcomes and barriers of all candidate pairs of representatives, whatever their score; ``posting_classes`` tells whom
+    each stands for."""
     return _pairs(spark, sf_dir).select("a", "b", "outcome", (F.size("barriers") > 0).alias("barred"))
 
 
-@query(f"""WITH {_PAIRS} SELECT count(*) AS candidate_pairs, count(*) FILTER (outcome = 'AUTO_MERGE' AND hard) AS hard_key_merges, count(*) FILTER (outcome = 'AUTO_MERGE' AND NOT hard) AS rule_auto_merges,
-  count(*) FILTER (outcome = 'REVIEW') AS review_pairs, count(*) FILTER (outcome = 'KEEP_SEPARATE') AS keep_separate_pairs, count(*) FILTER (barred) AS hard_barrier_pairs FROM decisive""")
+@query(f"""WITH {_POSTINGS}, {_scored_sql("p")} SELECT count(*) AS candidate_pairs, count(*) FILTER (NOT human AND outcome = 'AUTO_MERGE' AND hard) AS hard_key_merges, count(*) FILTER (NOT human AND outcome = 'AUTO_MERGE' AND NOT hard) AS rule_auto_merges,
+  count(*) FILTER (NOT human AND outcome = 'REVIEW') AS review_pairs, count(*) FILTER (NOT human AND outcome = 'KEEP_SEPARATE') AS keep_separate_pairs, count(*) FILTER (NOT human AND barred) AS hard_barrier_pairs FROM (SELECT pairs.*, (a * 7 + b) % 5 = 0 AND a = representative AS human FROM pairs JOIN (SELECT id, min(id) OVER (PARTITION BY employer, location, terms, req, url, redirect, title, body, seen, closed) AS representative FROM p) m ON m.id = b)""")
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts over all decisive pairs of representatives."""
-    return linkage.run_counters(_pairs(spark, sf_dir))
+    """Counts over all candidate pairs of all documents, copies included, without making the pairs of copies; humans have
+    decided some pairs of copies."""
+    rows = _postings(spark, sf_dir)
+    members = materialize(linkage.classes(rows), "members")
+    pairs = materialize(linkage.class_pairs(rows, members), "pairs")
+    human = members.where("representative < posting_id AND (representative * 7 + posting_id) % 5 = 0").select(F.col("representative").alias("a"), F.col("posting_id").alias("b"))  # plays the table of decisions
+    return linkage.run_counters(pairs, linkage.decided_classes(human, members))
 
 
 _REACH = """reach AS (SELECT id, id AS label FROM p UNION SELECT r.id, CASE WHEN e.a = r.label THEN e.b ELSE e.a END FROM reach r JOIN e ON r.label IN (e.a, e.b))"""

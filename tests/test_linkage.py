@@ -63,13 +63,47 @@ def test_pairs_equal_the_loop(spark):
     assert sorted((r.a, r.b, r.score, r.barriers, r.outcome) for r in got) == sorted(expected(rows))
 
 
-def test_decisive_pairs_lose_no_outcome(spark):
+def with_copies(rows, seed=1):
+    """Each posting some more times under other ids, and none closed before it was seen."""
+    chance = random.Random(seed)
+    kept = [(*r[:-2], r[-2], r[-1] and max(r[-1], r[-2])) for r in rows]
+    return kept + [(f"c{k:03d}{n}", *r[1:]) for k, r in enumerate(kept) for n in range(chance.choice([0, 0, 1, 4]))]
+
+
+def counted(pairs):
+    merged = [(a, b) for a, b, _, _, how in pairs if how == "AUTO_MERGE"]
+    barred = [p for p in pairs if p[3]]
+    return {"candidate_pairs": len(pairs), "merged": len(merged), "review_pairs": sum(p[4] == "REVIEW" for p in pairs), "keep_separate_pairs": sum(p[4] == "KEEP_SEPARATE" for p in pairs), "hard_barrier_pairs": len(barred)}
+
+
+def test_counters_of_class_pairs_equal_those_of_all_pairs(spark):
     for seed in (2, 5):
-        rows = list(postings(80, seed))
+        rows = sorted(with_copies(list(postings(60, seed))))
         frame = spark.createDataFrame(rows, SCHEMA)
-        got = linkage.scored_pairs(frame, linkage.decisive_pairs(frame)).collect()
-        want = {(a, b): how for a, b, score, _, how in expected(rows) if score >= Decimal("0.78") or how != "KEEP_SEPARATE"}
-        assert want.items() <= {(r.a, r.b): r.outcome for r in got}.items()
+        members = linkage.classes(frame)
+        pairs = linkage.class_pairs(frame, members).persist()
+        every = list(expected(rows))
+        got = linkage.run_counters(pairs).first().asDict()
+        got["merged"] = got.pop("hard_key_merges") + got.pop("rule_auto_merges")
+        assert got == counted(every)
+        # Some pairs, copies among them, have been decided by humans: they count as candidates only.
+        human = random.Random(seed).sample([(a, b) for a, b, *_ in every], 25)
+        decided = linkage.decided_classes(spark.createDataFrame(human, "a string, b string"), members)
+        got = linkage.run_counters(pairs, decided).first().asDict()
+        got["merged"] = got.pop("hard_key_merges") + got.pop("rule_auto_merges")
+        left = counted([p for p in every if p[:2] not in set(human)])
+        assert got == left | {"candidate_pairs": len(every)}
+    none = spark.createDataFrame([], SCHEMA)
+    assert set(linkage.run_counters(linkage.class_pairs(none, linkage.classes(none))).first()) == {0}
+
+
+def test_inherited_decisions(spark):
+    pairs = spark.createDataFrame([(a, "z", "f", False, "REVIEW") for a in "abcd"], "a string, b string, fingerprint string, hard_key boolean, outcome string")
+    direct = spark.createDataFrame([("z", "a", "f", "MERGE", 1)], "posting_a string, posting_b string, fingerprint string, human_outcome string, t int").withColumn("created_at", F.timestamp_seconds("t"))
+    applied = [("a", "z", "f", "KEEP_SEPARATE", 2, 1), ("b", "z", "f", "MERGE", 2, 1), ("b", "z", "f", "KEEP_SEPARATE", 3, 1), ("c", "z", "f", "MERGE", 9, 1), ("c", "z", "f", "MERGE", 2, 9), ("d", "z", "other", "MERGE", 2, 1)]
+    carried = spark.createDataFrame(applied, "posting_a string, posting_b string, fingerprint string, human_outcome string, t int, s int").withColumns({"created_at": F.timestamp_seconds("t"), "source_created_at": F.timestamp_seconds("s")})
+    got = linkage.with_human_decisions(pairs, direct, F.timestamp_seconds(F.lit(5)), carried).collect()
+    assert {r.a: (r.outcome, r.decided_by) for r in got} == {"a": ("MERGE", "DIRECT"), "b": ("KEEP_SEPARATE", "INHERITED"), "c": ("REVIEW", None), "d": ("REVIEW", None)}
 
 
 def test_thresholds(spark):
