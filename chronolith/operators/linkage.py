@@ -143,25 +143,36 @@ def link_counts(rows: DataFrame) -> DataFrame:
     return every.groupBy("posting_id").agg(F.sum("n").alias("n_links"))
 
 
-def merge_candidates(rows: DataFrame) -> DataFrame:
-    """Pairs that connect all postings which merge, few of them: for clusters, where outcomes of pairs don't matter.
+#: Without a hard key a merge takes equal employers, locations and terms, and titles alike to 0.8.
+MERGE_KEYS, MERGE_TITLES = ("employer", "location", "terms"), "0.79"
+
+
+def hard_merge_candidates(rows: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """Pairs under hard keys that connect all postings which merge by them, few of them; only those with a posting of
+    ``among`` (posting_id), if given.
 
-    Of postings that were never closed and agree in all but title, text and first sight, any two with a requisition or
-    URL merge, so they are linked as a star, and only its centre meets others under a hard key; postings that were closed
-    meet all others. Without a hard key a merge takes equal employers, locations and terms, and titles alike to 0.8.
+    Of postings that were never closed and agree in all but title, text and first sight, any two with a requisition or URL
+    merge, so they are linked as a star. Whatever merges with one of them by a hard key merges with the one that was seen
+    first, since only a closure before its first sight can part them; so that one alone, the star's centre, meets others.
+    Postings that were closed, or have no key but a redirect, meet all that share a key with them.
     """
     some = lambda c: F.length(F.coalesce(F.col(c), F.lit(""))) > 0
     keyed = rows.where(some("requisition") | some("url") | some("redirect"))
     same = F.sha2(F.to_json(F.struct("employer", "location", "terms", "requisition", "url", "redirect", "location_tokens"), {"ignoreNullFields": "false"}), 256)
-    marked = materialize(keyed.where("closed_at IS NULL").select("posting_id", (some("requisition") | some("url")).alias("hard"), same.alias("same")), "marked")
-    centres = materialize(marked.groupBy("same").agg(F.min("posting_id").alias("a")), "centres")
-    stars = look_up(marked, centres, "same").where("hard AND a < posting_id").select("a", F.col("posting_id").alias("b"))
-    closed = keyed.where("closed_at IS NOT NULL")
-    few = materialize(keyed.join(centres.select(F.col("a").alias("posting_id")), "posting_id", "left_semi").unionByName(closed), "few")
-    rest = keyed.where("closed_at IS NULL").join(centres.select(F.col("a").alias("posting_id")), "posting_id", "left_anti")
-    by_key = [equal_pairs(few, "requisition"), equal_pairs(few, "url"), equal_pairs(few, "redirect", "url")]
-    by_key += [equal_pairs(closed, k, o, rest) for k, o in (("requisition", "requisition"), ("url", "url"), ("redirect", "url"), ("url", "redirect"))]
-    return reduce(DataFrame.union, [stars, *by_key, titled_pairs(rows, "0.79", ("employer", "location", "terms"))]).distinct()
+    starred = F.col("closed_at").isNull() & (some("requisition") | some("url"))
+    marked = materialize(keyed.select("posting_id", "requisition", "url", "redirect", "first_seen_at", starred.alias("starred"), same.alias("same")), "marked")
+    centres = materialize(marked.where("starred").groupBy("same").agg(F.min_by("posting_id", F.struct("first_seen_at", "posting_id")).alias("centre")), "centres")
+    own = (lambda df: df) if among is None else (lambda df: df.join(among, "posting_id", "left_semi"))
+    stars = look_up(own(marked.where("starred")), centres, "same").where("centre <> posting_id").select(F.least("centre", "posting_id").alias("a"), F.greatest("centre", "posting_id").alias("b"))
+    few = materialize(marked.where("NOT starred").unionByName(marked.join(centres.select(F.col("centre").alias("posting_id")), "posting_id", "left_semi").where("starred")), "few")
+    ours = few if among is None else materialize(own(few), "few")
+    met = [equal_pairs(ours, k, o, few) for k, o in (("requisition", "requisition"), ("url", "url"), ("redirect", "url"), ("url", "redirect"))]
+    return reduce(DataFrame.union, [stars, *met]).distinct()
+
+
+def merge_candidates(rows: DataFrame) -> DataFrame:
+    """Pairs that connect all postings which merge, few of them: for clusters, where outcomes of pairs don't matter."""
+    return hard_merge_candidates(rows).union(titled_pairs(rows, MERGE_TITLES, MERGE_KEYS)).distinct()
 
 
 def vacancy_clusters(rows: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chronolith.functions import text as X
 from chronolith.functions import values as V
-from chronolith.operators import evidence, expectations, governance, lifecycle, linkage, pit, places, readiness, rules, snapshot
+from chronolith.operators import evidence, expectations, governance, increments, lifecycle, linkage, pit, places, readiness, rules, snapshot
 from chronolith.operators.components import components
 from chronolith.operators.lookup import look_up
 from chronolith.session import materialize, prepare
@@ -445,6 +445,36 @@ def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.agg(F.count("*").alias("n_postings"), F.min("posting_id").alias("first_posting"), linkage.cluster_key("posting_id").alias("vacancy_key"))
 
 
+def _cutoffs(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Documents as they were known at three cutoffs: two thirds, some of them with other terms; then all but a seventh;
+    then all, as they are."""
+    rows, key = _postings(spark, sf_dir), F.col("posting_id")
+    early = rows.where(key % 3 != 0).withColumn("terms", F.when(key % 10 == 1, "60").otherwise(F.col("terms")))
+    return [early, rows.where(key % 7 != 3), rows]
+
+
+def _increments(spark: SparkSession, sf_dir: str) -> tuple[increments.Index, list[DataFrame]]:
+    index, reports = None, []
+    for k, rows in enumerate(_cutoffs(spark, sf_dir)):
+        index, report = increments.update(index, rows)
+        reports.append(report.withColumn("step", F.lit(k + 1)))
+    return index, reports
+
+
+@query(f"{_CLUSTERS} SELECT id AS posting_id, cluster FROM c")
+def incremental_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's cluster after two increments, in which documents came, went and changed: as from scratch."""
+    return _increments(spark, sf_dir)[0].labels
+
+
+@query("""WITH k AS (SELECT doc_id % 3 <> 0 AS one, doc_id % 7 <> 3 AS two, doc_id % 10 = 1 AS other FROM documents)
+SELECT 1 AS step, count(*) FILTER (one) AS n_postings, count(*) FILTER (one) AS n_changed FROM k UNION ALL SELECT 2, count(*) FILTER (two), count(*) FILTER (one <> two OR (one AND other)) FROM k UNION ALL SELECT 3, count(*), count(*) FILTER (NOT two) FROM k""")
+def increment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents each increment holds, and how many it found changed."""
+    reports = _increments(spark, sf_dir)[1]
+    return reports[0].union(reports[1]).union(reports[2]).select("step", "n_postings", "n_changed")
+
+
 @query(f"""{_CLUSTERS}, f AS (SELECT c.cluster, d.doc_id, d.n_chars % 3 AS rank, d.n_chars, CASE WHEN d.n_chars % 4 = 1 THEN 2 END AS n FROM c JOIN documents d ON d.doc_id = c.id)
 SELECT cluster, arg_min(doc_id, (rank, n_chars, doc_id)) AS canonical_posting, CASE WHEN arg_min(n_chars, (rank, n_chars, doc_id)) % 2 = 0 THEN 'CLOSED_OBSERVED' ELSE 'ACTIVE' END AS status, count(*) AS n_postings,
   min(n_chars) AS first_seen, max(n_chars) AS last_seen, max(n) AS positions_count, bool_or(n IS NOT NULL OR n_chars % 4 = 2) AS multi_hire_possible FROM f GROUP BY cluster""")
