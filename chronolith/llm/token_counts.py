@@ -9,6 +9,8 @@ then get their distinct pre-tokens' counts and scores through the key exchange a
 The pieces are a given vocabulary; their probabilities are estimated from the whole corpus. They begin by rank (Zipf's
 law, log p = -log(rank + 1) - log H), and each of ``ROUNDS`` rounds of expectation-maximisation replaces them by the
 pieces' expected counts: forward and backward sums over the same tries, weighted by the words' counts, plus ``PRIOR``.
+A trie holds the words of a run of ``TRIE_WORDS`` global ranks, whatever the partitioning, and what it expects is rounded
+to whole numbers of ``UNIT`` before tries are summed: the same corpus gives the same scores to the last digit.
 
 A word of more than ``LONG`` bytes shares no prefix but is solved along its own bytes, in time linear in its length.
 
@@ -36,9 +38,11 @@ from chronolith.session import materialize, prepare
 
 #: Rounds of estimation, and what is added to each piece's expected count.
 ROUNDS, PRIOR = 2, 0.1
+#: Expected counts are summed in this unit.
+UNIT = 2.0**-32
 #: Words with more bytes are solved one by one.
 LONG = 64
-#: Words and bytes of one trie, about; distinct words that a task holds before it hands them on.
+#: Words of one trie; bytes of long words at a time, about; distinct words that a task holds before it hands them on.
 TRIE_WORDS, TRIE_BYTES, MOST_WORDS = 1 << 16, 2 << 20, 1 << 19
 #: Bytes of a long word whose pieces are looked up at a time.
 LOOKED = 1 << 17
@@ -258,19 +262,35 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     counted = materialize(docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     ranges = max(1, -(-counted.count() // (4 * TRIE_WORDS)))
-    return materialize(counted.repartitionByRange(ranges, "word").sortWithinPartitions("word"), "sorted_words")
+    short = F.octet_length("word") <= LONG
+    # Ranks of short words: their place in a range, which the number tells, and the words of the ranges before it.
+    ordered = materialize(counted.where(short).repartitionByRange(ranges, "word").sortWithinPartitions("word").withColumn("place", F.monotonically_increasing_id()), "ordered_words")
+    sizes = sorted((r.part, r.n) for r in ordered.groupBy(F.shiftright("place", 33).alias("part")).agg(F.count("*").alias("n")).collect())  # a row for each range
+    before = np.cumsum([0, *(n for _, n in sizes)]).tolist()
+    starts = ordered.sparkSession.createDataFrame([(part, start) for (part, _), start in zip(sizes, before, strict=False)], "part long, start long")
+    ranked = ordered.join(F.broadcast(starts), F.shiftright("place", 33) == F.col("part"))
+    rank = F.col("start") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    runs = ranked.select("word", "n", F.floor(rank / TRIE_WORDS).alias("run"))
+    long = counted.where(~short).select("word", "n", (-1 - F.pmod(F.xxhash64("word"), F.lit(ranges))).alias("run"))
+    return materialize(runs.unionByName(long).repartition(ranges, "run").sortWithinPartitions("run", "word"), "sorted_words")
 
 
 def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """Runs of sorted words with their counts, enough for a trie each."""
-    held, size, rows = [], 0, 0
+    """Sorted words with their counts: of each run of short words, which is a trie, and of long words some bytes at a time."""
+    held, size, run = [], 0, None
     for batch in batches:
-        held.append(batch)
-        rows, size = rows + batch.num_rows, size + batch.column("word").nbytes
-        if rows >= TRIE_WORDS or size >= TRIE_BYTES:
-            yield _run(held)
-            held, size, rows = [], 0, 0
-    if rows:
+        runs = batch.column("run").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            if low == high:
+                continue
+            if held and (runs[low] != run or run < 0 and size >= TRIE_BYTES):
+                yield _run(held)
+                held, size = [], 0
+            run = runs[low]
+            held.append(batch.slice(low, high - low))
+            size += held[-1].column("word").get_total_buffer_size() if run < 0 else 0
+    if held:
         yield _run(held)
 
 
@@ -303,6 +323,18 @@ def expected(words: pa.Array, weights: np.ndarray, pieces: Pieces, scores: np.nd
     return out
 
 
+def in_units(words: pa.Array, weights: np.ndarray, pieces: Pieces, scores: np.ndarray) -> np.ndarray:
+    """``expected`` as two rows of whole numbers, of ones and of ``UNIT``: rounded for the trie of the short words, and for
+    each long word."""
+    out, short = np.zeros((2, len(scores)), np.int64), _short(words)
+    parts = [np.flatnonzero(short), *([k] for k in np.flatnonzero(~short))]
+    for own in parts:
+        if len(own):
+            counts = expected(words.take(pa.array(own)), weights[own], pieces, scores)
+            out += [np.floor(counts).astype(np.int64), np.rint((counts - np.floor(counts)) / UNIT).astype(np.int64)]
+    return out
+
+
 def estimate(words: DataFrame, ranks_file: bytes, rounds: int = ROUNDS) -> np.ndarray:
     """log probability of each piece, estimated from the corpus's words."""
     ranks = words.sparkSession.sparkContext.broadcast(ranks_file)
@@ -311,15 +343,16 @@ def estimate(words: DataFrame, ranks_file: bytes, rounds: int = ROUNDS) -> np.nd
         shared = words.sparkSession.sparkContext.broadcast(scores)  # a number for each piece
 
         def gather(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(shared.value))
+            total = np.zeros((2, len(shared.value)), np.int64)
             for run, weights in tries(batches):
-                total += expected(run, weights, pieces_of(ranks.value), shared.value)
-            piece = np.flatnonzero(total)
-            yield pa.record_batch({"piece": pa.array(piece, pa.int32()), "n": pa.array(total[piece])})
+                total += in_units(run, weights, pieces_of(ranks.value), shared.value)
+            piece = np.flatnonzero(total.any(0))
+            yield pa.record_batch({"piece": pa.array(piece, pa.int32()), "ones": pa.array(total[0, piece]), "units": pa.array(total[1, piece])})
 
         counts = np.full(len(scores), PRIOR)
-        for piece, n in words.mapInArrow(gather, "piece int, n double").groupBy("piece").agg(F.sum("n")).collect():  # a row for each piece at most
-            counts[piece] += n
+        sums = words.mapInArrow(gather, "piece int, ones long, units long").groupBy("piece").agg(F.sum("ones"), F.sum("units"))
+        for piece, ones, units in sums.collect():  # a row for each piece at most
+            counts[piece] += ones + units * UNIT
         scores = np.log(counts / counts.sum())
     return scores
 

@@ -87,6 +87,19 @@ def test_token_counts(edge, empty):
     assert token_counts.count_tokens(edge, RANKS).count() == len(ROWS) and token_counts.count_tokens(empty, RANKS).count() == 0
 
 
+def test_token_counts_do_not_depend_on_the_partitioning(spark, edge, monkeypatch):
+    monkeypatch.setattr(token_counts, "TRIE_WORDS", 500)
+    told = []
+    for parts, shuffled in ((1, 2), (7, 5)):
+        spark.conf.set("spark.sql.shuffle.partitions", str(shuffled))
+        rows = token_counts.count_tokens(edge.repartition(parts), RANKS).collect()
+        told.append(sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.score.hex()) for r in rows))
+        words = token_counts.word_counts(edge.repartition(parts))
+        told[-1].append([x.hex() for x in token_counts.estimate(words, RANKS)])
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert told[0] == told[1]
+
+
 def test_long_words_are_solved_in_linear_time():
     chance, pieces = random.Random(8), token_counts.pieces_of(RANKS)
     scores = token_counts.by_rank(len(pieces.hashes))
