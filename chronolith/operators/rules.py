@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.functions.text import contains_phrase, fold
+from chronolith.functions.matching import Pattern, matcher, names_of
+from chronolith.functions.text import fold
 
-#: Terms of a taxonomy at most: the terms become expressions of one projection.
-MAX_TERMS = 2000
+#: Terms of a taxonomy at most: the automaton that finds them is held by every Python worker.
+MAX_TERMS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -44,18 +45,13 @@ def terms_of(taxonomy: DataFrame) -> list[Term]:
 def relevance(rows: DataFrame, terms: list[Term]) -> DataFrame:
     """``result, reason`` and matched term ids of rows with normalized ``title, text, organization``.
 
-    Terms are literal substrings. A positive term beside an exclusion needs review; either alone decides; weaker
+    Terms are literal substrings, all found in one pass over each surface. A positive term beside an exclusion needs review; either alone decides; weaker
     signals need review in the order hidden title, organization, text.
     """
-    found: dict[str, list[Column]] = {kind: [] for _, kind in KINDS.values()}
-    for term in terms:
-        surfaces, kind = KINDS[term.term_type]
-        needle = " ".join(fold(term.search_term).split())
-        hit = F.lit(False)
-        for surface in surfaces:
-            hit = hit | F.contains(F.coalesce(F.col(surface), F.lit("")), F.lit(needle))
-        found[kind].append(F.when(hit, F.lit(term.term_id)))
-    matched = {f"matched_{kind}": F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>") for kind, hits in found.items()}
+    patterns = [Pattern(t.term_id, " ".join(fold(t.search_term).split()), KINDS[t.term_type][1], KINDS[t.term_type][0]) for t in terms]
+    find = matcher(rows.sparkSession, patterns)
+    rows = rows.withColumn("_hits", find(title=F.col("title"), text=F.col("text"), organization=F.col("organization")))
+    matched = {f"matched_{kind}": names_of("_hits", kind) for kind in dict.fromkeys(kind for _, kind in KINDS.values())}
     some = lambda kind: F.size(f"matched_{kind}") > 0
     decided = [
         (some("positive") & some("exclusion"), "REVIEW", "POSITIVE_AND_EXCLUSION_CONFLICT"),
@@ -65,7 +61,7 @@ def relevance(rows: DataFrame, terms: list[Term]) -> DataFrame:
         (some("organization"), "REVIEW", "ORGANIZATION_SIGNAL_ONLY"),
         (some("signal"), "REVIEW", "CONDITIONAL_SIGNAL_ONLY"),
     ]
-    return rows.withColumns(matched).withColumns({"result": first_match([(c, r) for c, r, _ in decided], "NOT_GREEN"), "reason": first_match([(c, r) for c, _, r in decided], "NO_GREEN_TAXONOMY_SIGNAL")})
+    return rows.withColumns(matched).drop("_hits").withColumns({"result": first_match([(c, r) for c, r, _ in decided], "NOT_GREEN"), "reason": first_match([(c, r) for c, _, r in decided], "NO_GREEN_TAXONOMY_SIGNAL")})
 
 
 def first_match(rules: list[tuple[Column, object]], otherwise: object) -> Column:
@@ -117,10 +113,6 @@ class Signal:
     scope: str
 
 
-def _holds(phrase: str):
-    return lambda text: contains_phrase(text, phrase)
-
-
 def segments(rows: DataFrame, signals: list[Signal]) -> DataFrame:
     """``segment, status, rule, strength, reason, privacy_context`` and matches of rows with ``effective_result``,
     normalized job surfaces and ``profiles`` (normalized texts of the employer's profiles).
@@ -128,19 +120,18 @@ def segments(rows: DataFrame, signals: list[Signal]) -> DataFrame:
     Only confirmed rows are classified. A signal counts on the first job surface that holds its phrase of whole
     tokens, and on an employer profile if its scope allows. Weights play no part in the decision.
     """
-    matches, on_profile = [], []
-    for signal in signals:
-        if signal.scope not in SCOPES:
-            raise ValueError(f"unknown scope {signal.scope}")
-        if signal.scope == "INFERENCE":
-            continue
-        surface = first_match([(contains_phrase(F.coalesce(F.col(s), F.lit("")), signal.phrase), s.upper()) for s in JOB_SURFACES], None)
-        matches.append(F.when(surface.isNotNull(), F.struct(F.lit(signal.signal_id).alias("signal_id"), surface.alias("surface"))))
-        if signal.scope == "JOB_OR_EMPLOYER":
-            held = F.exists(F.coalesce("profiles", F.array().cast("array<string>")), _holds(signal.phrase))
-            on_profile.append(F.when(held, F.struct(F.lit(signal.signal_id).alias("signal_id"), F.lit("EMPLOYER_PROFILE").alias("surface"))))
-    empty = F.array().cast("array<struct<signal_id:string,surface:string>>")
-    rows = rows.withColumn("matches", F.array_compact(F.array(*matches, *on_profile)) if matches else empty)
+    if unknown := {s.scope for s in signals} - set(SCOPES):
+        raise ValueError(f"unknown scopes {sorted(unknown)}")
+    counting = [s for s in signals if s.scope != "INFERENCE"]
+    job = [Pattern(s.signal_id, s.phrase, str(k), JOB_SURFACES) for k, s in enumerate(counting)]
+    profile = [Pattern(s.signal_id, s.phrase, f"{k}p", ("profiles",)) for k, s in enumerate(counting) if s.scope == "JOB_OR_EMPLOYER"]
+    find = matcher(rows.sparkSession, job + profile, whole_tokens=True)
+    # Profiles are read as one text; no phrase holds the character between them.
+    texts = {c: F.col(c) for c in JOB_SURFACES} | {"profiles": F.array_join(F.coalesce("profiles", F.array().cast("array<string>")), " \x00 ")}
+    first = F.filter("_hits", lambda h, k: (k == 0) | (F.get("_hits", k - 1)["bucket"] != h["bucket"]))
+    surface = lambda h: F.when(h["surface"] == "profiles", "EMPLOYER_PROFILE").otherwise(F.upper(h["surface"]))
+    named = F.transform(first, lambda h: F.struct(h["name"].alias("signal_id"), surface(h).alias("surface")))
+    rows = rows.withColumn("_hits", find(**texts)).withColumn("matches", named).drop("_hits")
     any_of = lambda ids: F.exists("matches", lambda m: m["signal_id"].isin(*ids))
     profile_premium = F.exists("matches", lambda m: m["signal_id"].isin(*STRONG) & (m["surface"] == "EMPLOYER_PROFILE"))
     premium, estate, role = any_of(STRONG), any_of(ESTATE), any_of(ESTATE_ROLE)

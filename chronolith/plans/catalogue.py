@@ -228,6 +228,22 @@ def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *(X.contains_phrase(F.col("t"), p).alias(s.lower()) for s, p in PHRASES.items()))
 
 
+_PART_TERM = "concat(substr('thanoresin', 1 + p_partkey % 9, 2), substr('aeiounrst ', 1 + (p_partkey DIV 9) % 10, 1), substr('thedlnsrc', 1 + (p_partkey DIV 90) % 9, 1))"
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS term, CASE p_partkey % 4 WHEN 0 THEN 'TITLE' WHEN 1 THEN 'TITLE_OR_TEXT' WHEN 2 THEN 'TEXT_SIGNAL' ELSE 'EXCLUSION' END AS kind, trim({_PART_TERM.replace(" DIV ", " // ")}) AS needle FROM part),
+d AS (SELECT doc_id, trim(regexp_replace(replace(lower(split_part(text, chr(10), 1)), 'ß', 'ss'), '[[:space:]]+', ' ', 'g')) AS title, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[[:space:]]+', ' ', 'g')) AS body FROM documents),
+h AS (SELECT doc_id, kind, count(DISTINCT needle) AS n FROM d JOIN (SELECT DISTINCT kind, needle FROM t) t ON contains(title, needle) OR (kind <> 'TITLE' AND contains(body, needle)) GROUP BY doc_id, kind)
+SELECT d.doc_id, {", ".join(f"coalesce(sum(n) FILTER (kind IN ({k})), 0)::BIGINT AS {c}" for c, k in (("n_positive", "'TITLE', 'TITLE_OR_TEXT'"), ("n_signal", "'TEXT_SIGNAL'"), ("n_exclusion", "'EXCLUSION'")))} FROM d LEFT JOIN h USING (doc_id) GROUP BY d.doc_id""")
+def taxonomy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many different terms of a taxonomy of as many as there are parts each document holds, by bucket."""
+    kind = F.expr("CASE p_partkey % 4 WHEN 0 THEN 'TITLE' WHEN 1 THEN 'TITLE_OR_TEXT' WHEN 2 THEN 'TEXT_SIGNAL' ELSE 'EXCLUSION' END")
+    needles = table(spark, sf_dir, "part").groupBy(kind.alias("term_type"), F.trim(F.expr(_PART_TERM)).alias("search_term")).agg(F.min("p_partkey").cast("string").alias("term_id"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.norm_ws(F.substring_index("text", "\n", 1)).alias("title"), X.norm_ws("text").alias("text"), F.lit("").alias("organization"))
+    found = rules.relevance(docs, rules.terms_of(needles))
+    return found.select("doc_id", *(F.size(f"matched_{k}").cast("long").alias(f"n_{k}") for k in ("positive", "signal", "exclusion")))
+
+
 @query("""
 WITH n AS (SELECT doc_id, n_chars, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM documents),
 m AS (SELECT doc_id, n_chars > 800 AS ok, contains(t, ' of the ') AS p, contains(t, ' de la ') AS e, contains(t, ' in der ') AS r, contains(t, ' que la ') AS q, contains(t, ' the and ') AS w, contains(t, ' on the ') AS x FROM n)
