@@ -3,12 +3,12 @@ registers its queries."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions import text as X
 from chronolith.functions import values as V
-from chronolith.operators import governance, linkage, pit, places, readiness, rules, snapshot
+from chronolith.operators import governance, linkage, market, pit, places, readiness, rules, snapshot
 from chronolith.operators.evidence import posting_evidence
 from chronolith.plans.catalogue import _PAIRS, _pairs, at, query, table
 from chronolith.session import materialize
@@ -281,3 +281,43 @@ def evidence_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = told.withColumns({"observed_at": F.when(F.col("event_type") == "NEW", F.timestamp_add("DAY", F.lit(-1), then)).otherwise(F.col("observed_at")), "created_at": F.col("observed_at")})
     found = posting_evidence(states, told, at("2024-01-02 00:00:00"))
     return found.select(F.col("posting_id").alias("doc_id"), "employer", "text", "redirect_target", "requisition_id", F.col("pensum_contract_start").alias("pensum"), "lifecycle_status", F.size("lifecycle_events").alias("n_events"), F.lit(len(found.columns)).alias("n_columns"))
+
+
+_CALENDAR = ("1996-02-20", "1996-06-10")
+_EPISODES = """e AS (SELECT o_orderpriority AS canton, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS relationship, 1 + o_orderkey % 3 // 2 AS episode, o_orderdate::DATE AS a, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate::DATE + (o_orderkey % 200)::INT END AS z,
+  CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 7 END AS positions, CASE WHEN o_custkey % 9 <> 0 THEN o_custkey % 60 END AS employer, o_custkey % 60 < 12 AS agency, o_orderkey % 5 = 0 AS direct, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 3 = 1 END AS entry, o_orderkey % 13 = 0 AS apprentice FROM orders)"""
+
+
+def _episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as episodes that close within 200 days or stay open."""
+    key, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    employer = F.col("o_custkey") % 60
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("canton"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("relationship"), F.expr("1 + o_orderkey % 3 DIV 2").alias("episode_number"), day.alias("opened_on"), F.when(key % 11 != 0, F.date_add(day, (key % 200).cast("int"))).alias("closed_on"),
+        F.when(key % 4 == 0, key % 7).alias("positions_count"), F.when(F.col("o_custkey") % 9 != 0, employer).alias("employer"), (employer < 12).alias("is_agency"), (key % 5 == 0).alias("is_public_direct"), F.when(key % 3 > 0, key % 3 == 1).alias("is_entry_accessible"), (key % 13 == 0).alias("is_apprenticeship"),
+    )
+
+
+def _state_sql(level: str, canton: str, relationship: str) -> str:
+    on = lambda flag: f"count(*) FILTER (a <= d AND coalesce(z > d, true) AND {flag})"
+    share = lambda flag, of="true": f"round_even({on(flag)} / nullif({on(of)}, 0)::DOUBLE, 6)"
+    return f"""SELECT '{level}' AS level, {canton} AS canton, {relationship} AS relationship, d AS state_date, {on('true')} AS active_unique_vacancies, coalesce(sum(positions) FILTER (a <= d AND coalesce(z > d, true)), 0)::BIGINT AS estimated_positions, {on('positions IS NOT NULL')} AS positions_known,
+  count(*) FILTER (a = d AND episode = 1) AS new_vacancies, count(*) FILTER (a = d AND episode > 1) AS reappeared_vacancies, count(*) FILTER (z = d) AS disappeared_vacancies, median(d - a) FILTER (a <= d AND coalesce(z > d, true))::DOUBLE AS median_days_online,
+  count(DISTINCT employer) FILTER (a <= d AND coalesce(z > d, true)) AS unique_employers, count(DISTINCT employer) FILTER (a <= d AND coalesce(z > d, true) AND agency) AS unique_agencies, {on('true')} AS active_postings,
+  {share('direct')} AS public_direct_share, {share('agency')} AS agency_share, {share('apprentice')} AS apprenticeship_share, {share('episode > 1')} AS repost_rate, {share('entry', 'entry IS NOT NULL')} AS entry_accessible_share FROM e, days GROUP BY ALL"""
+
+
+@query(f"""WITH {_EPISODES}, days AS (SELECT unnest(range(DATE '{_CALENDAR[0]}', DATE '{_CALENDAR[1]}' + 1, INTERVAL 1 DAY))::DATE AS d)
+{_state_sql('', 'NULL', 'NULL')} UNION ALL {_state_sql('canton', 'canton', 'NULL')} UNION ALL {_state_sql('canton,relationship', 'canton', 'relationship')}""")
+def daily_market_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The market on each day, of all orders as episodes, in all, by canton, and by canton and relationship."""
+    rows = materialize(_episodes(spark, sf_dir), "episodes")
+    return market.daily_state(rows, [[], ["canton"], ["canton", "relationship"]], _CALENDAR, rows.select("canton", "relationship", "opened_on", "closed_on"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END, o_orderdate - INTERVAL 40 DAY) DESC, o_orderkey)::INT AS place FROM orders")
+def recency_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders by when they were published, else first seen, the latest first."""
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate")).alias("source_published_at"), F.timestamp_add("DAY", F.lit(-40), "o_orderdate").alias("first_seen_at"))
+    by = Window.partitionBy("o_custkey").orderBy(F.desc("_recency"), "o_orderkey")
+    return rows.withColumn("_recency", market.recency()).select("o_orderkey", F.row_number().over(by).alias("place"))
