@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronolith.functions import canonical
 from chronolith.functions import text as X
 from chronolith.functions import values as V
 from chronolith.operators import governance, linkage, market, pit, places, readiness, rules, snapshot
@@ -321,3 +322,15 @@ def recency_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate")).alias("source_published_at"), F.timestamp_add("DAY", F.lit(-40), "o_orderdate").alias("first_seen_at"))
     by = Window.partitionBy("o_custkey").orderBy(F.desc("_recency"), "o_orderkey")
     return rows.withColumn("_recency", market.recency()).select("o_orderkey", F.row_number().over(by).alias("place"))
+
+
+@query("""WITH r AS (SELECT o_orderkey, '{"at":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%fZ') || '","day":"' || strftime(o_orderdate, '%Y-%m-%d') || '","open":' || CASE WHEN o_orderstatus = 'O' THEN 'true' ELSE 'false' END || ',"price":"' || o_totalprice::DECIMAL(12, 2) || '","tags":["' || o_orderpriority || '","a\\\\b\\"\\u00e4"],"who":{"key":' || o_custkey
+  || ',"segment":' || CASE WHEN o_custkey % 3 = 0 THEN 'null' ELSE '"' || o_orderstatus || '"' END || '}}' AS t FROM orders) SELECT o_orderkey, length(t) AS n, sha256(t) AS digest FROM r""")
+def canonical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical JSON of orders with nested values, and its digest."""
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_orderdate").alias("at"), F.to_date("o_orderdate").alias("day"), (F.col("o_orderstatus") == "O").alias("open"), F.col("o_totalprice").cast("decimal(12,2)").alias("price"),
+        F.array(F.col("o_orderpriority"), F.lit('a\\b"ä')).alias("tags"), F.struct(F.when(F.col("o_custkey") % 3 != 0, F.col("o_orderstatus")).alias("segment"), F.col("o_custkey").alias("key")).alias("who"),
+    )
+    text = canonical.canonical_row(rows.schema, ["at", "day", "open", "price", "tags", "who"])
+    return rows.select("o_orderkey", text.alias("t")).select("o_orderkey", F.length("t").cast("long").alias("n"), canonical.digest(F.col("t")).alias("digest"))
