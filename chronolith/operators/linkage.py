@@ -284,12 +284,13 @@ def vacancies(rows: DataFrame, members: DataFrame) -> DataFrame:
     """One row for each cluster: canonical posting, bounds, status and positions.
 
     ``rows``: posting_id, rank, first_seen_at, last_seen_at, lifecycle_state, title, text. The canonical posting has
-    the least (rank, first seen, id) and alone decides the status; positions come from the least rank that states
-    a number.
+    the least (rank, first seen, id) and alone decides the status; positions come from the least (rank, id)
+    that states a number.
     """
     full = rows.withColumn("positions", position_count(F.concat_ws(" ", "title", "text"))).join(members, "posting_id")
     by = F.struct("rank", "first_seen_at", "posting_id")
-    number = F.min_by(F.when(F.col("positions.positions_count").isNotNull(), F.col("positions.positions_count")), F.when(F.col("positions.positions_count").isNotNull(), by))
+    stated = F.col("positions.positions_count").isNotNull()
+    number = F.min_by(F.col("positions.positions_count"), F.when(stated, F.struct("rank", "posting_id")))
     grouped = full.groupBy("cluster").agg(
         F.min_by("posting_id", by).alias("canonical_posting"),
         F.min_by("lifecycle_state", by).alias("_state"),

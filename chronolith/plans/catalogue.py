@@ -304,10 +304,12 @@ def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.canonical_url("url").alias("url"))
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 3 = 1 THEN '' ELSE '' END AS url FROM pages""")
+@query("""SELECT page_id, CASE page_id % 8 WHEN 1 THEN '' WHEN 2 THEN '' WHEN 3 THEN url WHEN 4 THEN url WHEN 5 THEN base WHEN 6 THEN base || '#x' WHEN 7 THEN base || '?a' ELSE url END AS url FROM (SELECT *, regexp_replace(url, '[?#].*$', '') AS base FROM pages)""")
 def url_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only absolute web URLs without credentials are safe."""
-    odd = F.when(F.col("page_id") % 3 == 0, F.col("url")).when(F.col("page_id") % 3 == 1, F.regexp_replace("url", "://", "://user:secret@")).otherwise(F.regexp_replace("url", "^https?:", "ftp:"))
+    """Only absolute web URLs without credentials are safe, and they come in one form."""
+    key, base = F.col("page_id") % 8, F.regexp_replace("url", "[?#].*$", "")
+    shapes = [F.col("url"), F.regexp_replace("url", "://", "://user:secret@"), F.regexp_replace("url", "^https?:", "ftp:"), F.concat(F.upper(F.substring_index("url", ":", 1)), F.expr("substr(url, locate(':', url))")), F.concat(F.lit("\t "), "url", F.lit("\n")), F.concat(base, F.lit("?#")), F.concat(base, F.lit("?#x")), F.concat(base, F.lit(";?a#"))]
+    odd = F.coalesce(*(F.when(key == k, shape) for k, shape in enumerate(shapes)))
     return table(spark, sf_dir, "pages").select("page_id", X.safe_url(odd).alias("url"))
 
 
@@ -491,14 +493,14 @@ def increment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports[0].union(reports[1]).union(reports[2]).select("step", "n_postings", "n_changed")
 
 
-@query(f"""{_CLUSTERS}, f AS (SELECT c.cluster, d.doc_id, d.n_chars % 3 AS rank, d.n_chars, CASE WHEN d.n_chars % 4 = 1 THEN 2 END AS n FROM c JOIN documents d ON d.doc_id = c.id)
+@query(f"""{_CLUSTERS}, f AS (SELECT c.cluster, d.doc_id, d.n_chars % 3 AS rank, d.n_chars, CASE WHEN d.n_chars % 4 = 1 THEN (2 + d.doc_id % 7)::INT END AS n FROM c JOIN documents d ON d.doc_id = c.id)
 SELECT cluster, arg_min(doc_id, (rank, n_chars, doc_id)) AS canonical_posting, CASE WHEN arg_min(n_chars, (rank, n_chars, doc_id)) % 2 = 0 THEN 'CLOSED_OBSERVED' ELSE 'ACTIVE' END AS status, count(*) AS n_postings,
-  min(n_chars) AS first_seen, max(n_chars) AS last_seen, max(n) AS positions_count, bool_or(n IS NOT NULL OR n_chars % 4 = 2) AS multi_hire_possible FROM f GROUP BY cluster""")
+  min(n_chars) AS first_seen, max(n_chars) AS last_seen, arg_min(n, (rank, doc_id)) FILTER (n IS NOT NULL) AS positions_count, bool_or(n IS NOT NULL OR n_chars % 4 = 2) AS multi_hire_possible FROM f GROUP BY cluster""")
 def canonical_member(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each cluster's vacancy: canonical posting, which alone decides its status, bounds and positions."""
     size = F.col("n_chars")
     seen, state = F.timestamp_seconds("n_chars"), F.when(size % 2 == 0, "CLOSED_OBSERVED").otherwise("STILL_ACTIVE")
-    said = F.when(size % 4 == 1, "2 Stellen").when(size % 4 == 2, "Lehrstellen").otherwise("")
+    said = F.when(size % 4 == 1, F.concat((2 + F.col("doc_id") % 7).cast("string"), F.lit(" Stellen"))).when(size % 4 == 2, "Lehrstellen").otherwise("")
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("posting_id"), (size % 3).alias("rank"), seen.alias("first_seen_at"), seen.alias("last_seen_at"), state.alias("lifecycle_state"), said.alias("title"), F.lit("").alias("text"))
     found = linkage.vacancies(rows, _clusters(spark, sf_dir))
     return found.select("cluster", "canonical_posting", "status", "n_postings", F.unix_seconds("first_seen_at").alias("first_seen"), F.unix_seconds("last_seen_at").alias("last_seen"), "positions_count", "multi_hire_possible")
@@ -535,7 +537,7 @@ _WHERE = "status = 'ACTIVE' AND source = '2-HIGH' AND upper(municipality) = 'NAT
 @query(f"SELECT vacancy_key, status, title, employer FROM ({_SHOWN}) WHERE {_WHERE} ORDER BY first_seen_at DESC, vacancy_key LIMIT 5")
 def filter_api_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A filtered, sorted page of the snapshot."""
-    rows = _shown(spark, sf_dir).where(snapshot.FilterSpec.parse(_GIVEN).condition())
+    rows = _shown(spark, sf_dir).where(snapshot.FilterSpec.parse(_GIVEN).condition(snapshot.PLAIN_FILTERS))
     return snapshot.page(rows, [F.desc("first_seen_at"), F.asc("vacancy_key")], 1, 5).select("vacancy_key", "status", "title", "employer")
 
 

@@ -334,3 +334,29 @@ def canonical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     text = canonical.canonical_row(rows.schema, ["at", "day", "open", "price", "tags", "who"])
     return rows.select("o_orderkey", text.alias("t")).select("o_orderkey", F.length("t").cast("long").alias("n"), canonical.digest(F.col("t")).alias("digest"))
+
+
+_FILTERS = {"status": "ACTIVE", "canton": "gr", "municipality": "CHUR", "mapping": "MAPPABLE", "segment": "UNKNOWN", "precision": "MUNICIPALITY", "source": "s1", "published_from": "1993-01-01", "first_seen_to": "2000-12-31", "q": " town & "}
+
+
+def _sourced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = materialize(_records(spark, sf_dir), "records")
+    observed = records.select(F.col("canonical_observation").alias("observation_id"), F.concat(F.lit("s"), (F.col("canonical_observation") % 3).cast("string")).alias("source_id"))
+    return snapshot.with_source(records, observed)
+
+
+@query(f"""WITH {_RECORDS}, f AS (SELECT k, seen, k % 3 AS s FROM b WHERE vis = 'PUBLIC_GREEN_CONFIRMED' AND st <> 'F' AND k % 5 NOT IN (0, 3) AND map = 'MAPPABLE' AND k % 3 = 1 AND k % 2 = 0 AND seen >= DATE '1993-01-01' AND seen < TIMESTAMP '2000-12-31 23:00:00')
+SELECT k AS vacancy_key, (SELECT count(*) FROM f) AS total, greatest(1, ceil((SELECT count(*) FROM f) / 10.0))::INT AS pages FROM f ORDER BY seen DESC, k LIMIT 10""")
+def record_filter_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of the public records that pass all kinds of filters, with their number."""
+    found, total, pages = snapshot.record_page(_sourced(spark, sf_dir), _FILTERS, 1, 10)
+    return found.select("vacancy_key", F.lit(total).cast("long").alias("total"), F.lit(pages).alias("pages"))
+
+
+@query(f"""WITH {_RECORDS}, m AS (SELECT k, st FROM b WHERE vis = 'PUBLIC_GREEN_CONFIRMED' AND map = 'MAPPABLE' ORDER BY seen DESC, k LIMIT 300)
+SELECT k AS vacancy_key, '{{"type":"Feature","id":' || k || ',"geometry":{{"type":"Point","coordinates":[8.0,47.0]}},"properties":{{"vacancy_key":' || k || ',"title":"Job ' || k || '","employer":"Town & Co","status":"' || CASE WHEN st = 'F' THEN 'CLOSED_OBSERVED' ELSE 'ACTIVE' END || '"}}}}' AS feature,
+  (SELECT count(*) FROM b WHERE vis = 'PUBLIC_GREEN_CONFIRMED' AND map = 'MAPPABLE') > 300 AS truncated FROM m""")
+def record_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the latest public records, and whether some were left out."""
+    found, truncated = snapshot.geojson(snapshot.public_records(_records(spark, sf_dir)), 300)
+    return found.withColumn("truncated", F.lit(truncated))

@@ -76,16 +76,18 @@ def raw_key(source: Column, moment: Column, run: Column, kind: Column, digest: C
 
 
 def write_once(rows: DataFrame, path: str, key: str, digest: str) -> DataFrame:
-    """Append raw rows under new keys. A known key with the same digest is reused, with another one refused."""
+    """Append raw rows under new keys, one for each. A key with the same digest again, in these rows or written before, is
+    reused; with another one it is refused, and then nothing is written."""
     spark = rows.sparkSession
     try:
         known = spark.read.parquet(path).select(key, F.col(digest).alias("_known"))
     except Exception as missing:  # noqa: BLE001  nothing was written yet
         if "PATH_NOT_FOUND" not in str(missing):
             raise
-        rows.write.parquet(path)
-        return rows
-    joined = rows.join(known, key, "left")
+        known = rows.select(key, F.col(digest).alias("_known")).limit(0)
+    given = materialize(rows, "raw")
+    require_empty(given.groupBy(key).agg(F.count_distinct(digest).alias("n")).where("n > 1"), "a raw key is given with two contents")
+    joined = given.dropDuplicates([key]).join(known, key, "left")
     require_empty(joined.where(F.col("_known") != F.col(digest)), "a raw key has other content")
     fresh = materialize(joined.where(F.col("_known").isNull()).drop("_known"), "raw")
     fresh.write.mode("append").parquet(path)

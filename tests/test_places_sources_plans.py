@@ -175,12 +175,25 @@ def test_source_evidence(spark):
     assert got == {"s1": ("COMPLETE_HEALTHY", "FRESH", "FEDERAL", True), "s2": ("DEGRADED", "STALE", "CITY", False), "s3": ("NO_ELIGIBLE_RUN", "BLOCKED", "OTHER", False), "s4": ("NO_ELIGIBLE_RUN", "NO_ACCEPTED_RUN", "OTHER", False)}
 
 
+def test_write_once_refuses_two_contents_of_a_key(spark, tmp_path):
+    path, ddl = str(tmp_path / "raw"), "key string, digest string"
+    with pytest.raises(expectations.ExpectationError):
+        tables.write_once(spark.createDataFrame([("k", "a"), ("k", "b")], ddl), path, "key", "digest")
+    assert tables.write_once(spark.createDataFrame([("k", "a"), ("k", "a"), ("l", "b")], ddl), path, "key", "digest").count() == 2
+    with pytest.raises(expectations.ExpectationError):
+        tables.write_once(spark.createDataFrame([("m", "a"), ("m", "b")], ddl), path, "key", "digest")
+    assert sorted(tuple(r) for r in spark.read.schema(ddl).parquet(path).collect()) == [("k", "a"), ("l", "b")]
+
+
 def test_geojson(spark):
-    rows = spark.createDataFrame([(f"k{k}", "t", "e", "ACTIVE", "MAPPABLE" if k else "LOCATION_HIDDEN", 47.0, 8.0) for k in range(4)], "vacancy_key string, title string, employer string, status string, mapping_status string, public_latitude double, public_longitude double")
-    rows = rows.withColumn("first_seen_at", F.current_timestamp())
+    rows = spark.createDataFrame([(f"k{k}", "t", "e", "ACTIVE", "MAPPABLE" if k else "LOCATION_HIDDEN", 47.0, 8.0) for k in range(4)], "vacancy_key string, title string, employer string, vacancy_status string, mapping_status string, public_display_latitude double, public_display_longitude double")
+    rows = rows.withColumns({"first_seen_at": F.current_timestamp(), "location_resolution_status": F.lit("RESOLVED"), "privacy_display_level": F.lit("EXACT_ALLOWED")})
     features, truncated = snapshot.geojson(rows, 2)
     assert truncated and features.count() == 2 and json.loads(features.first().feature)["geometry"]["coordinates"] == [8.0, 47.0]
     assert snapshot.geojson(rows, 3)[1] is False
+    for column, value in (("public_display_latitude", None), ("public_display_latitude", float("nan")), ("public_display_longitude", 180.5), ("location_resolution_status", "REVIEW"), ("privacy_display_level", "HIDDEN")):
+        kind = rows.schema[column].dataType
+        assert snapshot.geojson(rows.withColumn(column, F.lit(value).cast(kind)))[0].count() == 0
 
 
 def test_expectations(spark):

@@ -107,10 +107,33 @@ def test_effective_result(spark):
     assert {r.assessment_id: r.effective_result for r in found.collect()} == {1: "NOT_GREEN", 2: "REVIEW", 3: "NOT_GREEN", 4: "MISSING", 5: "REVIEW", 6: "GREEN_CONFIRMED"}
 
 
-def test_filters_are_validated():
-    for bad in ({"x": "1"}, {"status": "OPEN"}, {"canton": "XX"}, {"mapping": "NO"}, {"published_from": "2024-02-01", "published_to": "2024-01-01"}, {"municipality": "x" * 101}):
-        with pytest.raises(ValueError):
-            snapshot.FilterSpec.parse(bad)
+BAD_FILTERS = [
+    {"x": "1"}, {"page": "1"}, {"status": "OPEN"}, {"status": ["ACTIVE", "ACTIVE"]}, {"canton": "Z"}, {"canton": "Z1"}, {"canton": "ZHX"}, {"mapping": "NO"}, {"segment": "LUXURY"}, {"precision": "STREET"}, {"municipality": "x" * 201}, {"q": "x" * 201},
+    {"published_from": "2024-02-01", "published_to": "2024-01-01"}, {"first_seen_from": "2024-02-01", "first_seen_to": "2024-01-31"}, {"published_to": "1.2.2024"},
+]
+
+
+@pytest.mark.parametrize("given", BAD_FILTERS)
+def test_filters_are_refused(given):
+    with pytest.raises(ValueError):
+        snapshot.FilterSpec.parse(given)
+
+
+def test_filters_cut_long_values_and_pass_over_empty_ones(spark):
+    long = "M" * 150
+    rows = spark.createDataFrame([(1, "AB", "m" * 100, "s" * 40, "t"), (2, "AB", "m" * 150, "s" * 150, "t"), (3, None, None, None, None)], "id int, canton_code string, municipality_name string, source_id string, title string").withColumn("employer", F.lit("e"))
+    ids = lambda given: [r.id for r in rows.where(snapshot.FilterSpec.parse(given).condition()).orderBy("id").collect()]
+    assert ids({"municipality": long, "source": ["s" * 150], "canton": "ab"}) == [1]
+    assert ids({"canton": "xx"}) == [] and ids({"q": " ", "status": "", "canton": []}) == [1, 2, 3] and ids({"q": " T "}) == [1, 2] and ids({"q": "%"}) == []
+
+
+def test_record_pages(spark):
+    rows = spark.range(30).select(F.col("id").alias("vacancy_key"), F.when(F.col("id") < 25, "PUBLIC_GREEN_CONFIRMED").otherwise("REVIEW_NOT_PUBLIC").alias("visibility_status"), F.lit("ACTIVE").alias("vacancy_status"), F.timestamp_seconds("id").alias("first_seen_at"))
+    found, total, pages = snapshot.record_page(rows, {"status": "ACTIVE"}, 3, 10)
+    assert ([r.vacancy_key for r in found.collect()], total, pages) == ([4, 3, 2, 1, 0], 25, 3)
+    assert snapshot.record_page(rows, {"status": "CLOSED_OBSERVED"})[1:] == (0, 1)
+    with pytest.raises(ValueError, match="beyond"):
+        snapshot.record_page(rows, {}, 4, 10)
 
 
 def test_paging(spark):
