@@ -117,10 +117,16 @@ def class_pairs(rows: DataFrame, members: DataFrame) -> DataFrame:
     return scored.join(size("a"), "a").join(size("b"), "b").withColumn("n_pairs", pairs).drop("n_a", "n_b")
 
 
-def classes(rows: DataFrame) -> DataFrame:
-    """``(posting_id, representative)``: postings with all features equal form a class, which its least id represents."""
+def classes(rows: DataFrame, apart: DataFrame | None = None) -> DataFrame:
+    """``(posting_id, representative)``: postings with all features equal form a class, which its least id represents.
+    Postings of ``apart`` (posting_id: those on which humans have decided) are classes of their own."""
     digest = F.sha2(F.to_json(F.struct(*FEATURES), {"ignoreNullFields": "false"}), 256)
-    marked = materialize(rows.select("posting_id", digest.alias("class")), "classes")
+    named = rows.select("posting_id", digest.alias("class"))
+    if apart is not None:
+        own = apart.select("posting_id", F.lit(True).alias("_own")).distinct()
+        alone = F.concat("class", F.lit(":"), F.col("posting_id").cast("string"))
+        named = named.join(own, "posting_id", "left").select("posting_id", F.when(F.col("_own"), alone).otherwise(F.col("class")).alias("class"))
+    marked = materialize(named, "classes")
     least = materialize(marked.groupBy("class").agg(F.min("posting_id").alias("representative")), "representatives")
     return look_up(marked, least, "class").select("posting_id", "representative")
 
@@ -182,7 +188,12 @@ def vacancy_clusters(rows: DataFrame) -> DataFrame:
     # A class whose copies merge is linked to itself.
     copies = members.where("posting_id <> representative").select(F.col("representative").alias("a"), F.col("representative").alias("b")).distinct()
     merged = scored_pairs(one, merge_candidates(one).union(copies)).where("outcome = 'AUTO_MERGE'").select("a", "b")
-    labels = components(merged)
+    return class_clusters(members, merged.withColumn("outcome", F.lit("AUTO_MERGE")))
+
+
+def class_clusters(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(posting_id, cluster)`` from assessed pairs of classes (``class_pairs``, which humans may have decided)."""
+    labels = components(pairs.where(F.col("outcome").isin("AUTO_MERGE", "MERGE")).select("a", "b"))
     table = members.select("representative").distinct().join(labels, F.col("representative") == F.col("node"), "left").select("representative", "label")
     return look_up(members, materialize(table, "labelled"), "representative").select("posting_id", F.coalesce("label", "posting_id").alias("cluster"))
 
@@ -267,9 +278,14 @@ def clusters(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def conflicting_reviews(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs left for review whose postings ended up in one cluster: there must be none."""
+    """Pairs left for review whose postings ended up in one cluster: there must be none. Of pairs of copies (a = b), which
+    ended up so if the class was merged with any other."""
     side = lambda s: members.select(F.col("posting_id").alias(s), F.col("cluster").alias(f"cluster_{s}"))
-    return pairs.where("outcome = 'REVIEW'").join(side("a"), "a").join(side("b"), "b").where("cluster_a = cluster_b")
+    merged = pairs.where(F.col("outcome").isin("AUTO_MERGE", "MERGE")).select(F.explode(F.array("a", "b")).alias("a")).distinct()
+    review = pairs.where("outcome = 'REVIEW'")
+    among = review.where("a = b").join(merged, "a", "left_semi")
+    apart = review.where("a <> b").join(side("a"), "a").join(side("b"), "b").where("cluster_a = cluster_b")
+    return apart.unionByName(among, allowMissingColumns=True)
 
 
 def cluster_key(posting_id: str) -> Column:

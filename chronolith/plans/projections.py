@@ -11,7 +11,8 @@ from chronolith.functions import text as X
 from chronolith.functions import values as V
 from chronolith.operators import governance, linkage, market, pit, places, readiness, rules, snapshot
 from chronolith.operators.evidence import posting_evidence
-from chronolith.plans.catalogue import _PAIRS, _pairs, at, query, table
+from chronolith.plans import cycle
+from chronolith.plans.catalogue import _CLUSTERS, _PAIRS, _pairs, at, query, table
 from chronolith.session import materialize
 from chronolith.sources import listings
 
@@ -360,3 +361,64 @@ def record_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of the latest public records, and whether some were left out."""
     found, truncated = snapshot.geojson(snapshot.public_records(_records(spark, sf_dir)), 300)
     return found.withColumn("truncated", F.lit(truncated))
+
+
+_CYCLE_AT = "2026-01-01 00:00:00"
+
+
+def _cycle(spark: SparkSession, sf_dir: str) -> tuple[cycle.Stages, cycle.Published]:
+    """Documents as postings of five sources, through all stages of a cycle."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z]+", " "))
+    size, key, whole, head = F.col("n_chars"), F.col("doc_id"), F.col("text"), F.substring_index("text", "\n", 1)
+    digest = lambda c: F.when(F.length(plain(c)) >= 20, F.sha2(plain(c).cast("binary"), 256)).otherwise("")
+    seen = F.date_add(F.lit("2024-01-01").cast("date"), (size % 400).cast("int")).cast("timestamp")
+    empty, code = F.lit(""), F.concat(F.lit("s"), (size % 5).cast("string"))
+    docs = table(spark, sf_dir, "documents")
+    observations = docs.select(
+        key.alias("posting_id"), key.alias("observation_id"), code.alias("source_id"), key.cast("string").alias("source_posting_id"), seen.alias("observed_at"), seen.alias("first_seen_at"), F.lit("ACTIVE").alias("observation_status"), plain(head).alias("title"), plain(whole).alias("text"), F.col("source").alias("employer"), F.col("lang").alias("location"),
+        F.when(size % 3 == 0, "").when(size % 3 == 1, "80").otherwise("100").alias("terms"), F.when(size % 2 == 0, F.sha2(whole.cast("binary"), 256)).otherwise("").alias("requisition"), digest(whole).alias("url"), F.when(size % 5 == 0, digest(head)).otherwise("").alias("redirect"),
+        F.when(size % 3 == 0, "regional").when(size % 3 == 1, "specialist").otherwise("canton").alias("source_type"), empty.alias("platform_family"), F.lit("S").alias("source_name"), F.lit("CANONICAL").alias("canonicality"), F.lit("<p>x</p>").alias("description_html"), F.concat(F.lit("https://x.ch/"), key.cast("string")).alias("canonical_url"), F.lit(None).cast("date").alias("date_posted"),
+        F.lit("zh").alias("region"), F.lit("Bern").alias("municipality_name"), F.lit("BE").alias("municipality_canton"), F.lit("{}").alias("structured_payload"), F.lit("{}").alias("contract_payload"),
+    )
+    told = F.when(size % 7 == 0, F.timestamp_add("DAY", F.lit(10), seen)).otherwise(seen)
+    events = docs.select(key.alias("posting_id"), key.alias("event_id"), F.when(size % 7 == 0, "CLOSED_OBSERVED").otherwise("STILL_ACTIVE").alias("event_type"), told.alias("observed_at"), told.alias("created_at"))
+    contexts = F.explode(F.array(F.lit(places.PUBLIC), F.lit("PRIVATE_RESIDENCE"))).alias("privacy_context")
+    located = docs.where(key % 5 != 0).select(key.alias("location_resolution_id"), key.alias("observation_id"), contexts, F.when(key % 5 == 1, "REVIEW").otherwise("RESOLVED").alias("resolution_status"), F.lit("MUNICIPALITY").alias("precision"), F.lit(47.0).alias("public_latitude"), F.lit(8.0).alias("public_longitude"), F.lit("Chur").alias("resolved_municipality"), F.lit("gr").alias("resolved_canton"))
+    located = located.withColumn("display_level", F.when(F.col("privacy_context") == places.PUBLIC, "EXACT_ALLOWED").otherwise("HIDDEN"))
+    sources = observations.select("source_id").distinct()
+    name = F.col("source_id")
+    universe = sources.select("source_id", F.when(name == "s0", "OFFICIAL_FEDERAL").otherwise("OFFICIAL_MUNICIPAL").alias("source_family"), (name == "s4").alias("blocked"), F.when(name == "s4", "ACCEPTED_BLOCKED").otherwise("ACCEPTED_IMPLEMENTED").alias("disposition"), F.lit(True).alias("canonical"))
+    ended = F.timestamp_add("HOUR", F.when(name == "s3", -200).otherwise(-1), at(_CYCLE_AT))
+    runs = sources.select("source_id", F.concat(F.lit("r"), name).alias("run_id"), F.lit("FULL_SOURCE").alias("run_scope"), F.lit("SUCCEEDED").alias("status"), F.lit("HEALTHY").alias("source_health_status"), F.lit(True).alias("snapshot_complete"), *(F.lit(5).alias(c) for c in readiness.COUNTERS), ended.alias("started_at"), ended.alias("finished_at"))
+    terms = [rules.Term("G1", "the", "TITLE_OR_TEXT"), rules.Term("X1", "que la", "EXCLUSION"), rules.Term("O1", "src1", "ORGANIZATION_SIGNAL")]
+    stages = cycle.run(observations, events, terms, at(_CYCLE_AT))
+    signals = [rules.Signal(s, p, "JOB") for s, p in (("P001", "of the"), ("P004", "in der"), ("P008", "on the"))]
+    return stages, cycle.publish(stages, events, signals, located, universe, runs, at(_CYCLE_AT))
+
+
+_CYCLE = f"""{_CLUSTERS}, posts AS (SELECT id, n_chars % 5 AS source, CASE n_chars % 3 WHEN 0 THEN 6 WHEN 1 THEN 4 ELSE 1 END AS rank, seen, n_chars % 7 = 0 AS ended, c.cluster,
+  CASE WHEN contains(plain, 'the') AND contains(plain, 'que la') THEN 'REVIEW' WHEN contains(plain, 'the') THEN 'GREEN_CONFIRMED' WHEN contains(plain, 'que la') THEN 'NOT_GREEN' WHEN contains(l.source, 'src1') THEN 'REVIEW' ELSE 'NOT_GREEN' END AS result, ' ' || plain || ' ' AS words FROM l JOIN p ON p.id = l.doc_id JOIN c USING (id)),
+g AS (SELECT *, CASE WHEN result <> 'GREEN_CONFIRMED' THEN 'UNKNOWN' WHEN contains(words, ' of the ') THEN 'PRIVATE_RESIDENTIAL_PREMIUM' WHEN contains(words, ' in der ') THEN 'UNKNOWN' WHEN contains(words, ' on the ') THEN 'PRIVATE_RESIDENTIAL_STANDARD' ELSE 'UNKNOWN' END AS segment,
+  result = 'GREEN_CONFIRMED' AND NOT contains(words, ' of the ') AND contains(words, ' in der ') AS asked FROM posts),
+o AS (SELECT cluster, 1 + count(*) FILTER (NOT ended AND before) AS episode FROM (SELECT *, lag(ended) OVER (PARTITION BY cluster ORDER BY seen + CASE WHEN ended THEN 10 ELSE 0 END, id) AS before FROM g) GROUP BY cluster),
+shown AS (SELECT g.*, episode, NOT ended AS open, CASE WHEN result = 'GREEN_CONFIRMED' THEN 'PUBLIC_GREEN_CONFIRMED' WHEN result = 'NOT_GREEN' THEN 'EXCLUDED_NOT_GREEN' ELSE 'REVIEW_NOT_PUBLIC' END AS visibility,
+  CASE WHEN result <> 'GREEN_CONFIRMED' THEN 'LOCATION_UNRESOLVED' WHEN id % 5 = 0 AND segment <> 'UNKNOWN' THEN 'PRIVACY_RESOLUTION_MISSING' WHEN id % 5 = 0 THEN 'LOCATION_UNRESOLVED' WHEN id % 5 = 1 THEN 'LOCATION_REVIEW' WHEN segment <> 'UNKNOWN' THEN 'LOCATION_HIDDEN' ELSE 'MAPPABLE' END AS mapping
+  FROM g JOIN o USING (cluster) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY rank, seen, id) = 1)"""
+
+
+@query(f"{_CYCLE} SELECT id AS canonical_posting, CASE WHEN open THEN 'ACTIVE' ELSE 'CLOSED_OBSERVED' END AS vacancy_status, visibility AS visibility_status, mapping AS mapping_status, segment AS premium_segment, episode::INT AS episode_number, 43 AS n_columns FROM shown")
+def cycle_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records that a whole cycle publishes of all documents."""
+    records = _cycle(spark, sf_dir)[1].records
+    return records.select("canonical_posting", "vacancy_status", "visibility_status", "mapping_status", "premium_segment", "episode_number", F.lit(len(records.columns)).alias("n_columns"))
+
+
+@query(f"""{_CYCLE}, mine AS (SELECT g.*, v.open, v.id = g.id AS canonical, v.mapping, g.source < 3 AS ours FROM g JOIN shown v USING (cluster)),
+asks AS (SELECT count(*) FILTER (coalesce(a.open AND a.ours AND a.result IN ('GREEN_CONFIRMED', 'REVIEW'), false) OR coalesce(b.open AND b.ours AND b.result IN ('GREEN_CONFIRMED', 'REVIEW'), false)) AS dedup, count(*) AS reviews FROM pairs JOIN mine a ON a.id = pairs.a JOIN mine b ON b.id = pairs.b WHERE outcome = 'REVIEW'),
+rest AS (SELECT count(*) FILTER (result = 'REVIEW' AND ours AND canonical AND open) AS green, count(*) FILTER (result = 'REVIEW') AS all_green, count(*) FILTER (asked AND ours AND canonical AND open) AS premium, count(*) FILTER (canonical AND open AND mapping = 'LOCATION_REVIEW' AND ours) AS location FROM mine)
+SELECT green AS critical_green, dedup AS critical_dedup, premium AS critical_premium, location AS critical_location, all_green - green + reviews - dedup AS n_other, CASE WHEN green + dedup + premium + location > 0 THEN 'BLOCKED_QUALITY' ELSE 'NOT_READY' END AS status FROM rest, asks""")
+def cycle_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is open for review after a whole cycle, by kind, and the status that follows."""
+    out = _cycle(spark, sf_dir)[1]
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n_critical"))), F.lit(0)).cast("long").alias(f"critical_{kind}")
+    return out.reviews.agg(of("green"), of("dedup"), of("premium"), of("location"), F.coalesce(F.sum("n_other"), F.lit(0)).cast("long").alias("n_other")).withColumn("status", F.lit(out.status))
