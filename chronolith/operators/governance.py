@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from chronolith.functions.values import dataset_fingerprint, row_fingerprint
 from chronolith.operators.expectations import ExpectationError, require_empty
+from chronolith.operators.lookup import look_up
 from chronolith.operators.rules import first_match
+from chronolith.session import materialize
 
 # Families that hold no vacancies, and what makes a source authoritative.
 NO_VACANCIES = ("OFFICIAL_REFERENCE", "OFFICIAL_STATISTICS", "SALARY_REFERENCE")
@@ -66,8 +68,10 @@ def distinct_events(events: DataFrame, cycle: str, fingerprint: str, order: list
 
 
 def against_previous(cycles: DataFrame, keys: list[str], succeeded: Column, order: list[Column], values: list[str]) -> DataFrame:
-    """Successful cycles with the values of the successful one before, and whether any differs."""
-    by = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
+    """Successful cycles of each key with the values of the successful one before, and whether any differs."""
+    if not keys:
+        raise ValueError("cycles are compared within a key: without one they would all meet in one task")
+    by = Window.partitionBy(*keys).orderBy(*order)
     rows = cycles.where(succeeded).withColumns({f"previous_{v}": F.lag(v).over(by) for v in values}).withColumn("_n", F.row_number().over(by))
     differs = F.lit(False)
     for v in values:
@@ -76,9 +80,12 @@ def against_previous(cycles: DataFrame, keys: list[str], succeeded: Column, orde
 
 
 def zscores(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Extension: each value's distance from its group's mean in standard deviations, and their mean."""
-    by = Window.partitionBy(*keys)
-    scored = rows.withColumns({f"z_{v}": F.try_divide(F.col(v) - F.avg(v).over(by), F.stddev_samp(v).over(by)) for v in values})
+    """Extension: each value's distance from its group's mean in standard deviations, and their mean. Groups are summed
+    before the shuffle, and those of very many rows are answered by a broadcast. Null keys are keys like any other."""
+    known = materialize(rows.withColumn("_group", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})), "rows")
+    stats = materialize(known.groupBy("_group").agg(*(f(v).alias(f"_{n}_{v}") for v in values for n, f in (("m", F.avg), ("s", F.stddev_samp)))), "groups")
+    found = look_up(known, stats, "_group")
+    scored = found.withColumns({f"z_{v}": F.try_divide(F.col(v) - F.col(f"_m_{v}"), F.col(f"_s_{v}")) for v in values}).select(*rows.columns, *(f"z_{v}" for v in values))
     return scored.withColumn("pressure", sum((F.col(f"z_{v}") for v in values), F.lit(0.0)) / len(values))
 
 

@@ -392,9 +392,9 @@ def merged_identities(members: DataFrame, identities: DataFrame) -> DataFrame:
 
     ``members``: posting_id, cluster; ``identities``: posting_id, vacancy_id, first_seen_at.
     """
-    owned = identities.join(members, "posting_id").groupBy("cluster", "vacancy_id").agg(F.min("first_seen_at").alias("first_seen_at"))
-    winner = owned.groupBy("cluster").agg(F.min_by("vacancy_id", F.struct("first_seen_at", "vacancy_id")).alias("winner"))
-    return owned.join(winner, "cluster").select("vacancy_id", "winner", (F.col("vacancy_id") != F.col("winner")).alias("merged"))
+    owned = materialize(identities.join(members, "posting_id").groupBy("cluster", "vacancy_id").agg(F.min("first_seen_at").alias("first_seen_at")), "owned")
+    winner = materialize(owned.groupBy("cluster").agg(F.min_by("vacancy_id", F.struct("first_seen_at", "vacancy_id")).alias("winner")), "winners")
+    return look_up(owned, winner, "cluster").select("vacancy_id", "winner", (F.col("vacancy_id") != F.col("winner")).alias("merged"))
 
 
 def resolved_reviews(reviews: DataFrame, resolutions: DataFrame) -> DataFrame:

@@ -768,13 +768,12 @@ def missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey").join(pending, "c_custkey", "left_anti")
 
 
-@query("""SELECT s_suppkey, n_nationkey FROM supplier LEFT JOIN (SELECT min(n_nationkey) AS n_nationkey, right(n_name, 1) AS tail FROM nation GROUP BY right(n_name, 1) HAVING count(*) = 1 OR right(n_name, 1) IN ('8', '9')) n
-  ON n.tail = right(s_name, 1) AND n.tail IN (SELECT right(n_name, 1) FROM nation GROUP BY 1 HAVING count(*) = 2)""")
+@query("""SELECT s_suppkey, n_nationkey FROM supplier LEFT JOIN (SELECT n_nationkey % 20 AS name, min(n_nationkey) AS n_nationkey FROM nation GROUP BY name HAVING count(*) = 1) n ON name = s_suppkey % 23""")
 def unique_dim_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dimension looked up by a name that must lead to one row (here: to exactly two)."""
-    nation = table(spark, sf_dir, "nation").groupBy(F.substring("n_name", -1, 1).alias("tail")).agg(F.count("*").alias("n"), F.min("n_nationkey").alias("n_nationkey")).where("n = 2 AND tail IN ('8', '9')")
-    supplier = table(spark, sf_dir, "supplier")
-    return supplier.join(nation, F.substring("s_name", -1, 1) == nation["tail"], "left").select("s_suppkey", "n_nationkey")
+    """A dimension looked up by a name that must lead to exactly one row."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("  Place "), (F.col("n_nationkey") % 20).cast("string")).alias("name"))
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("PLACE  "), (F.col("s_suppkey") % 23).cast("string")).alias("wanted"))
+    return places.unique_match(supplier, "wanted", nation, "name", "n_nationkey").select("s_suppkey", "n_nationkey")
 
 
 _RULES = ["o_totalprice > 1000", "o_orderstatus IN ('O', 'F')", "o_orderdate >= TIMESTAMP '1996-01-01 00:00:00'", "o_custkey % 10 <> 3"]

@@ -3,18 +3,22 @@ registers its queries."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions import canonical
 from chronolith.functions import text as X
 from chronolith.functions import values as V
-from chronolith.operators import governance, linkage, market, pit, places, readiness, rules, snapshot
+from chronolith.operators import governance, lineage, linkage, market, pit, places, readiness, rules, snapshot
 from chronolith.operators.evidence import posting_evidence
 from chronolith.plans import cycle
 from chronolith.plans.catalogue import _CLUSTERS, _PAIRS, _pairs, at, query, table
-from chronolith.session import materialize
+from chronolith.session import materialize, shared_folder
 from chronolith.sources import listings
+from chronolith.sources.dimension import Dimension
+from chronolith.sources.json_schema import validated
 
 _FOLDED = "replace(lower(text), 'ß', 'ss')"
 
@@ -422,3 +426,57 @@ def cycle_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _cycle(spark, sf_dir)[1]
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n_critical"))), F.lit(0)).cast("long").alias(f"critical_{kind}")
     return out.reviews.agg(of("green"), of("dedup"), of("premium"), of("location"), F.coalesce(F.sum("n_other"), F.lit(0)).cast("long").alias("n_other")).withColumn("status", F.lit(out.status))
+
+
+@query("""SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT p_partkey, upper(p_name), p_size + 2 FROM part WHERE p_partkey % 3 = 0""")
+def dimension_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts written as a dimension, new rows of which every key has two put into it, and the newest version read."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    sink = Dimension(spark, f"{shared_folder(spark).rstrip('/')}/part-{uuid.uuid4().hex}", ["p_partkey"], 16)
+    sink.upsert(part, [F.desc("p_size")], part.count())
+    fresh = part.where("p_partkey % 3 = 0").select("p_partkey", F.upper("p_name").alias("p_name"), F.explode(F.array(F.col("p_size") + 1, F.col("p_size") + 2)).alias("p_size"))
+    sink.upsert(fresh, [F.desc("p_size")], part.count())
+    return sink.read()
+
+
+#: What a document of ``document_contracts`` must be like.
+_CONTRACT = {"type": "object", "required": ["id", "lines"], "additionalProperties": False, "properties": {"id": {"type": "string", "pattern": "^o[0-9]*[02468]$"}, "status": {"enum": ["F", "O"]}, "day": {"type": ["string", "null"], "format": "date"}, "price": {"type": ["number", "null"], "maximum": 300000}, "lines": {"type": "array", "maxItems": 2, "items": {"type": "integer", "minimum": 10}}}}
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS st, o_totalprice > 300000 AS dear FROM orders), e AS (
+  SELECT k, unnest(list_filter([CASE WHEN k % 2 = 1 THEN '/id pattern' END, CASE WHEN st = 'P' THEN '/status enum' END, CASE WHEN k % 7 = 0 THEN '/day format' WHEN k % 7 = 1 THEN '/day type' END, CASE WHEN dear THEN '/price maximum' END, CASE WHEN k % 5 = 0 THEN '/lines required' END, CASE WHEN k % 5 = 1 THEN '/more additionalProperties' END,
+    CASE WHEN k % 5 = 2 THEN '/lines maxItems' END, CASE WHEN k % 5 = 2 AND k % 13 < 10 THEN '/lines/2 minimum' END, CASE WHEN k % 11 = 3 THEN NULL END], lambda x: x IS NOT NULL)) AS x FROM o WHERE k % 11 <> 3 UNION ALL SELECT k, ' json' FROM o WHERE k % 11 = 3)
+SELECT k AS o_orderkey, coalesce(string_agg(x, ',' ORDER BY x), '') AS errors FROM o LEFT JOIN e USING (k) GROUP BY k""")
+def document_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as JSON documents, some of them broken, against a schema."""
+    key = F.col("o_orderkey")
+    day = F.when(key % 7 == 0, F.lit("1996-02-30")).when(key % 7 != 2, F.date_format("o_orderdate", "yyyy-MM-dd"))
+    body = F.concat(
+        F.lit('{"id":"o'), key.cast("string"), F.lit('","status":"'), F.col("o_orderstatus"), F.lit('","day":'), F.when(key % 7 == 1, F.lit("17")).otherwise(F.coalesce(F.concat(F.lit('"'), day, F.lit('"')), F.lit("null"))), F.lit(',"price":'), F.col("o_totalprice").cast("decimal(18,2)").cast("string"),
+        F.when(key % 5 == 0, "").when(key % 5 == 1, ',"lines":[],"more":1').when(key % 5 == 2, F.concat(F.lit(',"lines":[10,20,'), (key % 13).cast("string"), F.lit("]"))).otherwise(',"lines":[10]'), F.when(key % 11 == 3, "").otherwise("}"),
+    )
+    found = validated(table(spark, sf_dir, "orders").select("o_orderkey", body.alias("doc")), "doc", _CONTRACT)
+    return found.select("o_orderkey", F.array_join(F.array_sort(F.transform("errors", lambda e: F.concat(e["path"], F.lit(" "), e["keyword"]))), ",").alias("errors"))
+
+
+_LINKS = """links AS (SELECT 'orders' AS t, o_orderkey AS k, 'customer' AS x, o_custkey AS y FROM orders UNION ALL SELECT 'customer', c_custkey, 'nation', c_nationkey FROM customer UNION ALL SELECT 'customer', c_custkey, 'customer', c_custkey // 2 FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'nation', n_nationkey, 'region', n_regionkey FROM nation)"""
+
+
+@query(f"""WITH RECURSIVE {_LINKS}, reach AS (SELECT 'orders' AS t, o_orderkey AS k FROM orders WHERE o_totalprice > 400000 UNION SELECT x, y FROM reach JOIN links USING (t, k))
+SELECT t AS "table", k::VARCHAR AS key FROM reach""")
+def lineage_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that the dearest orders lead to, by typed references."""
+    orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    kin = customer.withColumn("_kin", F.when(F.col("c_custkey") % 3 == 0, F.expr("c_custkey DIV 2")))
+    edges = lineage.references({"orders": (orders, "o_orderkey"), "customer": (kin, "c_custkey"), "nation": (nation, "n_nationkey")}, {"orders": {"o_custkey": "customer"}, "customer": {"c_nationkey": "nation", "_kin": "customer"}, "nation": {"n_regionkey": "region"}})
+    return lineage.closure(edges, orders.where("o_totalprice > 400000").select(F.lit("orders").alias("table"), F.col("o_orderkey").cast("string").alias("key"))).select("table", "key")
+
+
+@query("""SELECT 'customer' AS "table", c_custkey::VARCHAR AS key, CASE WHEN c_custkey % 211 = 5 THEN 'LEFT_ONLY' ELSE 'CONFLICTING' END AS state FROM customer WHERE c_custkey % 211 = 5 OR c_custkey % 307 = 7""")
+def package_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a package that was tampered with differs from the rows it was made of, by digest trees."""
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    made = governance.inventory({"customer": (customer, "c_custkey"), "nation": (nation, "n_nationkey")})
+    changed = customer.where("c_custkey % 211 <> 5").withColumn("c_name", F.when(F.col("c_custkey") % 307 == 7, "x").otherwise(F.col("c_name")))
+    given = governance.inventory({"customer": (changed, "c_custkey"), "nation": (nation, "n_nationkey")})
+    return lineage.differences(lineage.digest_tree(made), lineage.digest_tree(given), made, given).select("table", "key", "state")
