@@ -2,8 +2,11 @@
 
 import os
 import re
+from collections import Counter
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -24,6 +27,9 @@ COLUMNS = {
     "op8_language_crf": "doc_id held_out lang_pred score",
     "op9_main_text": "page_id url text n_chars",
     "op10_edit_embedding": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+    "op11_url_filter": "page_id host path rule verdict",
+    "op12_hard_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
+    "op13_vector_codes": "vec_id code error label_error codebooks_sha256",
 }
 
 
@@ -58,3 +64,30 @@ def test_stages(spark):
             assert after == clean
     out = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id for r in out} == after and all(len(r.ids) == r.n_tokens for r in out)
+
+
+@pytest.mark.parametrize("number", range(len(corpus_pipeline.STAGES)))
+def test_stages_take_odd_rows_and_none(spark, edge, empty, number):
+    """Null, empty, very long, tied and repeated texts, rows without an id, and columns whose names clash; and no rows."""
+    name, stage = corpus_pipeline.STAGES[number]
+    out = stage(spark, edge, SF)
+    kept = Counter((r.doc_id, r.text if "text" in out.columns else None) for r in out.collect())
+    given = Counter((r.doc_id, r.text if "text" in out.columns else None) for r in edge.collect())
+    assert kept <= given and len(kept) >= 20
+    if number < len(corpus_pipeline.STAGES) - 1:
+        assert out.columns == edge.columns
+        assert {r.host for r in out.select(F.col("fingerprint").alias("host")).collect()} == {"clash"}
+    else:
+        assert kept == given
+    none = stage(spark, empty, SF)
+    assert none.count() == 0 and (number == len(corpus_pipeline.STAGES) - 1 or none.columns == empty.columns)
+
+
+def test_the_contract_queries_with_sql_equal_it(spark):
+    con = duckdb.connect()
+    for t in ("embeddings", "documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    for name in ("op12_hard_negatives", "op13_vector_codes"):
+        told = con.execute(__spark_entry__.oracle_sql()[name])
+        names = [c[0] for c in told.description]
+        assert sorted(map(tuple, __spark_entry__.queries()[name](spark, SF).select(*names).collect())) == sorted(told.fetchall())
