@@ -6,9 +6,9 @@ then those that hold a benchmark window; what is left is encoded. All stages but
 ``documents``, further ones and clashing names included.
 
 A document without a text, or with an empty one, is in no language and goes in the first stage; for the others it is an
-empty text. Very long texts are taken whole. Repeated rows are judged alike, one by one; of rows with equal texts the
-third stage keeps the one of the least id, and all rows that share that id and text. A row without an id stays unless a
-stage rejects its text. An empty table stays empty.
+empty text. Very long texts are taken whole. Repeated rows are judged alike; of rows with equal or nearly equal texts,
+repeated ones included, the third stage keeps one, of the least id. A row without an id stays unless a stage rejects its
+text. An empty table stays empty.
 """
 
 from __future__ import annotations
