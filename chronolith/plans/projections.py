@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chronolith.functions import canonical
 from chronolith.functions import text as X
 from chronolith.functions import values as V
-from chronolith.operators import governance, lineage, linkage, market, pit, places, readiness, rules, snapshot
+from chronolith.operators import evidence, governance, lifecycle, lineage, linkage, market, pit, places, readiness, rules, snapshot
 from chronolith.operators.evidence import posting_evidence
 from chronolith.plans import cycle
 from chronolith.plans.catalogue import _CLUSTERS, _PAIRS, _pairs, at, query, table
@@ -480,3 +480,45 @@ def package_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = customer.where("c_custkey % 211 <> 5").withColumn("c_name", F.when(F.col("c_custkey") % 307 == 7, "x").otherwise(F.col("c_name")))
     given = governance.inventory({"customer": (changed, "c_custkey"), "nation": (nation, "n_nationkey")})
     return lineage.differences(lineage.digest_tree(made), lineage.digest_tree(given), made, given).select("table", "key", "state")
+
+
+@query("""SELECT o_orderkey, CASE WHEN b THEN NULL ELSE d END AS iso, CASE WHEN b THEN NULL ELSE d || ' 10:30:00.250000' END AS naive, CASE WHEN b THEN NULL ELSE d || 'T08:30:00.000000Z' END AS zoned, CASE WHEN b THEN NULL ELSE d END AS dotted, CASE WHEN b THEN NULL ELSE d END AS german, CASE WHEN b THEN NULL ELSE d || 'T00:00:00.500000Z' END AS unix,
+  array_to_string(list_distinct(['F', o_orderstatus]), '') = 'F' AS one_listed FROM (SELECT *, o_orderkey % 10 = 3 AS b, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders)""")
+def date_parsers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates and moments read back from the forms in which sources write them; a tenth is unreadable."""
+    key, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    spoilt = lambda text: F.when(key % 10 == 3, F.concat(F.lit("x"), text)).otherwise(text)
+    iso = F.date_format(day, "yyyy-MM-dd")
+    month = F.element_at(F.array(*(F.lit(m.capitalize()) for m in V.GERMAN_MONTHS)), F.month(day))
+    told = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        told(V.iso_date(spoilt(F.concat(iso, F.lit("T99"))))).alias("iso"),
+        F.date_format(V.iso_timestamp(spoilt(F.concat(F.lit(" "), iso, F.lit("T10:30:00.25 ")))), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("naive"),
+        V.utc_micros(V.aware_timestamp(spoilt(F.concat(iso, F.lit("T10:30:00+02:00"))))).alias("zoned"),
+        told(V.dotted_date(spoilt(F.date_format(day, "d.M.yyyy")))).alias("dotted"),
+        told(V.german_date(F.when(key % 10 == 3, "3. Brumaire 1996").otherwise(F.concat(F.dayofmonth(day).cast("string"), F.lit(". "), month, F.lit(" "), F.year(day).cast("string"))))).alias("german"),
+        V.utc_micros(V.unix_timestamp(spoilt(F.concat(F.unix_seconds(day.cast("timestamp")).cast("string"), F.lit(".5"))))).alias("unix"),
+        (evidence.joined_observed(F.array(F.lit("F"), F.lit(""), F.col("o_orderstatus"), F.lit("F"))) == "F").alias("one_listed"),
+    )
+
+
+@query("""WITH o AS (SELECT o_custkey % 5 AS s, o_custkey % 5 * 100 + month(o_orderdate) AS run, month(o_orderdate) AS m, o_custkey % 50 AS posting FROM orders WHERE o_orderkey % 3 = 0), scans AS (SELECT DISTINCT s, run, m FROM o WHERE m <> 3), seen AS (SELECT DISTINCT s, posting, run, m FROM o WHERE m <> 3),
+known AS (SELECT s, posting, min(m) AS since FROM seen GROUP BY ALL), due AS (SELECT s, posting, run FROM scans JOIN known USING (s) WHERE m >= since AND m % 4 <> 1 AND m <> 6)
+SELECT s AS source_id, posting AS source_posting_id, run AS run_id, bool_or(p) AS present FROM (SELECT s, posting, run, false AS p FROM due UNION ALL SELECT s, posting, run, true FROM seen) GROUP BY ALL""")
+def scan_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings that each finished scan showed, or, if it saw its whole source in health, lacked."""
+    month = F.month("o_orderdate")
+    orders = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select((F.col("o_custkey") % 5).alias("source_id"), (F.col("o_custkey") % 5 * 100 + month).alias("run_id"), month.alias("m"), (F.col("o_custkey") % 50).alias("source_posting_id"))
+    scans = orders.select("source_id", "run_id", "m").distinct().select("source_id", "run_id", F.when(F.col("m") == 3, "FAILED").otherwise("SUCCESS").alias("status"), F.when(F.col("m") % 4 == 1, "PARTIAL").otherwise("FULL_SOURCE").alias("run_scope"), F.when(F.col("m") == 6, "DEGRADED").otherwise("HEALTHY").alias("source_health_status"), F.make_timestamp(F.lit(2024), F.col("m"), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("observed_at"))
+    return lifecycle.presence(scans, orders.drop("m")).select("source_id", "source_posting_id", "run_id", "present")
+
+
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS s, l_orderkey AS id, l_linenumber AS surface FROM lineitem), u AS (SELECT s, id, min(surface) AS surface FROM e GROUP BY ALL)
+SELECT s AS source_id, id::VARCHAR AS source_posting_id, surface::VARCHAR AS surface FROM u WHERE (s, id) NOT IN (SELECT s, id FROM e WHERE surface = 3)""")
+def surface_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of each supplier over all its surfaces (line numbers), each once, less those that the third surface shows."""
+    entries = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source_id"), F.col("l_linenumber").cast("string").alias("surface"), F.lit(1).alias("ordinal"), F.col("l_orderkey").cast("string").alias("source_posting_id"), F.concat(F.lit("https://x.ch/"), F.col("l_orderkey").cast("string")).alias("url"), F.lit("t").alias("title"))
+    whole = materialize(listings.union_surfaces(entries), "entries")
+    third = entries.where("surface = '3'").select("source_id", "source_posting_id").distinct()
+    return listings.subtract_surface(whole, third).select("source_id", "source_posting_id", "surface")
