@@ -2,11 +2,10 @@
 
 Postings whose features are all equal are a class, named by the digest of the features, so a class never changes: a
 posting that changes leaves one and joins another. The index holds the living classes with their features, which posting
-is in which, the links by which classes merge, the order of title tokens (kept as it was when a token first came, so that
-old and new titles compare), and each posting's cluster.
+is in which, the links by which classes merge, and each posting's cluster.
 
 An update compares only ids and digests of all postings. Classes that came are joined with all living ones under their keys
-and rare title tokens; where a class went, its neighbours in the links are held against all others again, since it may
+(``tiles``); where a class went, its neighbours in the links are held against all others again, since it may
 have been what tied them together. Components are solved anew only where a class came, went or was linked, or where a
 posting moved. The labels are those of a run from scratch.
 """
@@ -20,8 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.operators.components import components
-from chronolith.operators.linkage import FEATURES, MERGE_KEYS, MERGE_TITLES, hard_merge_candidates, met, prefixes, rarest_first, scored_pairs
+from chronolith.operators.linkage import FEATURES, MERGE_KEYS, MERGE_TEXTS, MERGE_TITLES, assessed, hard_merge_candidates, scored_pairs
 from chronolith.operators.lookup import look_up
+from chronolith.operators.tiles import like_pairs
 from chronolith.session import materialize
 
 REPORT = "n_postings long, n_changed long, n_classes_gained long, n_classes_lost long, n_pairs_scored long, n_reread long"
@@ -32,15 +32,13 @@ class Index:
     """What a cutoff leaves for the next one.
 
     ``classes``: posting_id (the class's digest) and features; ``members``: posting_id, class; ``links``: a, b (classes;
-    a = b where a class's own copies merge); ``titles``: posting_id (class), keys, tokens; ``order``: keys, token, df,
-    number; ``parts``: class, component, of the classes with a link; ``labels``: posting_id, cluster.
+    a = b where a class's own copies merge); ``parts``: class, component, of the classes with a link; ``labels``:
+    posting_id, cluster.
     """
 
     classes: DataFrame
     members: DataFrame
     links: DataFrame
-    titles: DataFrame
-    order: DataFrame
     parts: DataFrame
     labels: DataFrame
 
@@ -86,17 +84,11 @@ def update(index: Index | None, rows: DataFrame) -> tuple[Index, DataFrame]:
     ends = index.links.union(index.links.select("b", "a")).toDF("class", "other")
     widowed = ends.join(lost, "class", "left_semi").select(F.col("other").alias("class")).join(lost, "class", "left_anti")
     asked = materialize(gained.union(widowed).distinct().select(F.col("class").alias("posting_id")), "asked")
-    new_titles, order = rarest_first(fresh, list(MERGE_KEYS), index.order)
-    titles = materialize(index.titles.join(gone, "posting_id", "left_anti").unionByName(new_titles), "titles")
-    every = prefixes(titles, MERGE_TITLES)
-    ours = materialize(prefixes(titles.join(asked, "posting_id", "left_semi"), MERGE_TITLES), "prefixes")
-    near = materialize(every.join(ours.select(*MERGE_KEYS, "token").distinct(), [*MERGE_KEYS, "token"], "left_semi"), "prefixes")
-    alike = met(ours, near, list(MERGE_KEYS), MERGE_TITLES)
-    ordered = alike.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    alike = materialize(assessed(like_pairs(live, list(MERGE_KEYS), MERGE_TITLES, MERGE_TEXTS, asked)).select("a", "b", "outcome"), "alike")
     copies = gained.select(F.col("class").alias("a"), F.col("class").alias("b"))
-    pairs = materialize(hard_merge_candidates(live, asked).union(ordered).union(copies).distinct(), "pairs")
+    pairs = materialize(hard_merge_candidates(live, asked).union(copies).distinct(), "pairs")
     met_by = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "posting_id")
-    merged = materialize(scored_pairs(live.join(met_by, "posting_id", "left_semi"), pairs).where("outcome = 'AUTO_MERGE'").select("a", "b"), "links")
+    merged = materialize(scored_pairs(live.join(met_by, "posting_id", "left_semi"), pairs).select("a", "b", "outcome").union(alike).where("outcome = 'AUTO_MERGE'").select("a", "b").distinct(), "links")
     apart = lambda df, c: df.join(lost.withColumnRenamed("class", c), c, "left_anti")
     links = materialize(apart(apart(index.links, "a"), "b").select("a", "b").union(merged).distinct(), "links")
 
@@ -118,13 +110,12 @@ def update(index: Index | None, rows: DataFrame) -> tuple[Index, DataFrame]:
     alone = reread.join(placed, "posting_id", "left_anti").select("posting_id", F.col("posting_id").alias("cluster"))
     kept = index.labels.join(reread, "posting_id", "left_anti").join(now, "posting_id", "left_semi")
     labels = materialize(kept.unionByName(tied).unionByName(alone), "labels")
-    counts = [now.count(), changed.count(), gained.count(), lost.count(), pairs.count(), reread.count()]
-    return Index(live, now, links, titles, order, parts, labels), spark.createDataFrame([tuple(counts)], REPORT)
+    counts = [now.count(), changed.count(), gained.count(), lost.count(), pairs.count() + alike.count(), reread.count()]
+    return Index(live, now, links, parts, labels), spark.createDataFrame([tuple(counts)], REPORT)
 
 
 def _nothing(rows: DataFrame, members: DataFrame) -> Index:
     spark, key = rows.sparkSession, rows.schema["posting_id"].dataType.simpleString()
     empty = lambda ddl: spark.createDataFrame([], ddl)
     classes = rows.select(F.lit("").alias("posting_id"), *FEATURES).limit(0)
-    keys = ", ".join(f"{k} string" for k in MERGE_KEYS)
-    return Index(classes, members.limit(0), empty("a string, b string"), empty(f"posting_id string, {keys}, tokens array<long>"), empty(f"{keys}, token string, df long, number long"), empty("class string, component string"), empty(f"posting_id {key}, cluster {key}"))
+    return Index(classes, members.limit(0), empty("a string, b string"), empty("class string, component string"), empty(f"posting_id {key}, cluster {key}"))
