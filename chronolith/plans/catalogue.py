@@ -334,20 +334,22 @@ def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     URL is a digest of the whole text's letters, and every other document names a digest of its whole text as its
     requisition; some redirect to what their first line would be alone."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z]+", " "))
-    tokens = lambda c: F.array_sort(X.tokens(plain(c)))
-    size, first = F.col("n_chars"), F.substring_index("text", "\n", 1)
-    digest = lambda c: F.when(F.length(plain(c)) >= 20, F.sha2(plain(c).cast("binary"), 256)).otherwise("")
+    tokens = lambda c: F.sort_array(X.tokens(F.col(c)))
+    size = F.col("n_chars")
+    digest = lambda c: F.when(F.length(c) >= 20, F.sha2(F.col(c).cast("binary"), 256)).otherwise("")
     seen = F.date_add(F.lit("2024-01-01").cast("date"), (size % 400).cast("int"))
-    rows = table(spark, sf_dir, "documents").select(
+    # Normalized once, in a projection of its own, and used several times.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text", plain(F.col("text")).alias("_plain"), plain(F.substring_index("text", "\n", 1)).alias("_head"))
+    rows = docs.select(
         F.col("doc_id").alias("posting_id"),
         F.col("source").alias("employer"),
         F.col("lang").alias("location"),
         F.when(size % 3 == 0, "").when(size % 3 == 1, "80").otherwise("100").alias("terms"),
         F.when(size % 2 == 0, F.sha2(F.col("text").cast("binary"), 256)).otherwise("").alias("requisition"),
-        digest(F.col("text")).alias("url"),
-        F.when(size % 5 == 0, digest(first)).otherwise("").alias("redirect"),
-        tokens(first).alias("title_tokens"),
-        tokens(F.col("text")).alias("text_tokens"),
+        digest("_plain").alias("url"),
+        F.when(size % 5 == 0, digest("_head")).otherwise("").alias("redirect"),
+        tokens("_head").alias("title_tokens"),
+        tokens("_plain").alias("text_tokens"),
         F.array(F.col("lang")).alias("location_tokens"),
         seen.cast("timestamp").alias("first_seen_at"),
         F.when(size % 7 == 0, F.date_add(seen, 10).cast("timestamp")).alias("closed_at"),
