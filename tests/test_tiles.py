@@ -2,8 +2,10 @@
 
 import random
 import re
+from collections.abc import Iterator
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from chronolith.operators import linkage, tiles
@@ -40,6 +42,44 @@ def test_only_pairs_of_those_asked_for(spark, monkeypatch):
     assert {(r.a, r.b): (r.title, r.text) for r in got.collect()} == want and got.count() == len(want) > 10
 
 
+def test_bands_of_text_sizes_lose_no_pair(spark, monkeypatch):
+    """A large group is dealt by sizes of texts: only neighbouring bands meet, and no pair alike enough is lost."""
+    monkeypatch.setattr(tiles, "ROWS", 6)
+    monkeypatch.setattr(tiles, "SIDE", 4)
+    chance, rows = random.Random(9), []
+    for k, r in enumerate(postings(150, 6)):
+        size = chance.choice([0, 1, 2, 3, 4, 5, 7, 9, 12, 16, 21, 28, 37, 50])
+        rows.append((*r[:7], [f"t{n}" for n in range(k % 3, k % 3 + 8)], [f"x{n}" for n in range(size)], *r[9:]))
+    for asked in (None, {r[0] for r in rows if chance.random() < 0.3}):
+        frame = spark.createDataFrame(rows, SCHEMA)
+        chosen = None if asked is None else spark.createDataFrame([(x,) for x in sorted(asked)], "posting_id string")
+        got = tiles.like_pairs(frame, ["employer"], "0.7", "0.75", chosen).select("a", "b", "title", "text").collect()
+        want = set()
+        for k, a in enumerate(rows):
+            for b in rows[k + 1 :]:
+                title, text = similarity(a[7], b[7]), similarity(a[8], b[8])
+                if a[1] and a[1] == b[1] and (asked is None or {a[0], b[0]} & asked) and 10 * title >= 7 and 4 * text >= 3:
+                    want.add((a[0], b[0], int(title * 10000), int(text * 10000)))
+        assert sorted(map(tuple, got)) == sorted(want) and len(want) > 50
+
+
+def test_large_groups_go_to_the_tiles_of_like_text_sizes(spark, monkeypatch):
+    """Rows of a large group are shuffled to the tiles of three bands, not to all tiles of the group."""
+    monkeypatch.setattr(tiles, "ROWS", 8)
+    monkeypatch.setattr(tiles, "_judge", lambda *_: _counted)
+    row = next(iter(postings(1)))
+    rows = [(f"p{k:03d}", "one", *row[2:7], ["t"], [f"x{n}" for n in range(2 ** (k % 8))], *row[9:]) for k in range(128)]
+    tiled = tiles.like_pairs(spark.createDataFrame(rows, SCHEMA), ["employer"], "0.5", "0.75")
+    assert tiled.selectExpr("sum(title)").first()[0] <= 128 * 2  # 16 blocks of 8 rows; sizes of all 8 bands are apart
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row of a tile's size, in place of its pairs."""
+    size, moment = sum(b.num_rows for b in batches), pa.timestamp("us", "UTC")
+    types = {"a": pa.string(), "b": pa.string(), "title": pa.int32(), "text": pa.int32()} | dict.fromkeys(tiles.SIGNS, pa.int8()) | {"redirected": pa.bool_(), "apart": pa.bool_()} | dict.fromkeys(["a_seen", "b_seen", "a_closed", "b_closed"], moment)
+    yield pa.RecordBatch.from_pydict({f: pa.array([size], t) if f == "title" else pa.nulls(1, t) for f, t in types.items()})
+
+
 @pytest.fixture(scope="module")
 def chained(spark, tmp_path_factory):
     """Texts of which each merges with the next, while the first and the third are left for review."""
