@@ -231,6 +231,16 @@ def test_simhash_repeated_ids_keep_a_row_of_each_component(spark):
     assert sorted(map(tuple, simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == sorted(rows)
 
 
+def test_simhash_ids_reach_through_all_their_rows(spark):
+    chance = random.Random(6)
+    a, b, c, d, e = (" ".join(f"w{chance.randrange(10**6)}" for _ in range(80)) for _ in range(5))
+    rows = [(6, b), (5, b), (5, a), (3, a), (5, c), (9, c + " "), (8, d), (None, b), (None, d), (None, e)]
+    rows += [(20, f"{k} {d[:k]}") for k in range(300)] + [(21, f"7 {d[:7]}")]  # an id of many texts
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [3, 3, 3, 3, 3, 3, 8, 3, 8, None] + [20] * 301
+    assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == Counter((doc, f"{fingerprint(t):016x}", x) for (doc, t), x in zip(rows, want, strict=True))
+
+
 def test_simhash_large_groups_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 8)
     chance = np.random.default_rng(5)
