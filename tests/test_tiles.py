@@ -8,9 +8,10 @@ import duckdb
 import pyarrow as pa
 import pytest
 
-from chronolith.operators import linkage, tiles
+from chronolith.operators import linkage, lookup, tiles
 from chronolith.plans import catalogue, projections  # noqa: F401  projections registers its queries
 from chronolith.plans import cycle
+from chronolith.session import materialize
 from tests.test_catalogue import plain
 from tests.test_linkage import SCHEMA, expected, postings, similarity
 
@@ -73,6 +74,44 @@ def test_large_groups_go_to_the_tiles_of_like_text_sizes(spark, monkeypatch):
     assert tiled.selectExpr("sum(title)").first()[0] <= 128 * 2  # 16 blocks of 8 rows; sizes of all 8 bands are apart
 
 
+def test_a_large_group_goes_to_few_sides(spark, monkeypatch):
+    """A group of 64 blocks is shuffled as often as it has sides, packed, and not as often as it has blocks."""
+    monkeypatch.setattr(tiles, "ROWS", 8)
+    monkeypatch.setattr(tiles, "_meet", lambda *_: _held)
+    row = next(iter(postings(1)))
+    rows = [(f"p{k:03d}", "one", *row[2:7], ["t"], ["x"], *row[9:]) for k in range(512)]
+    tiled = tiles.like_pairs(spark.createDataFrame(rows, SCHEMA), ["employer"], "0.5")
+    assert 512 <= tiled.selectExpr("sum(title)").first()[0] <= 512 * tiles.SIDES
+
+
+def test_packs_hold_all_of_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "ROWS", 7)
+    chance = random.Random(5)
+    sets = [None if k % 9 == 4 else sorted({chance.randrange(-(1 << 63), 1 << 63) if chance.random() < 0.5 else chance.randrange(40) for _ in range(k % 7)}) for k in range(60)]
+    table = pa.table({"_key0": [f"k{k % 3}" for k in range(60)], "_band": [0] * 60, "_own": [True] * 60, "posting_id": [str(k) for k in range(60)], "title_tokens": pa.array(sets, pa.list_(pa.int64())), "text_tokens": pa.array(sets[::-1], pa.list_(pa.int64()))})
+    packs = pa.Table.from_batches(list(tiles._packer(1)(iter(table.to_batches(max_chunksize=4)))))
+    assert packs.num_rows > 3 and sum(packs.column("_rows").to_pylist()) == 60
+    got = {}
+    for key, *one in zip(*(packs.column(c).to_pylist() for c in ("_key0", *tiles.PACKED))):
+        got |= {r["posting_id"]: (key, sorted(r["title_tokens"]), sorted(r["text_tokens"])) for r in tiles.unpack(*one).to_pylist()}
+    assert got == {str(k): (f"k{k % 3}", sets[k] or [], sets[59 - k] or []) for k in range(60)}
+
+
+@pytest.mark.parametrize("few", [0, 99])
+def test_wide_rows_stay_where_they_are_if_copies_are_few(spark, monkeypatch, few):
+    monkeypatch.setattr(lookup, "FEW", few)
+    rows = [*postings(30, 2), *((f"z{r[0]}", *r[1:]) for r in list(postings(30, 2))[::4])]
+    frame = materialize(spark.createDataFrame(rows, SCHEMA), "rows")
+    got = linkage.representatives(frame, linkage.classes(frame))
+    assert sorted(r.posting_id for r in got.collect()) == sorted(r[0] for r in rows if not r[0].startswith("z"))
+    assert ("BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()) == (few > 0)
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row of the number of rows that a group holds, in place of its pairs."""
+    yield from _counted(b for k in batches for n in k.column("_rows").to_pylist() for b in [pa.record_batch({"x": [0] * n})])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row of a tile's size, in place of its pairs."""
     size, moment = sum(b.num_rows for b in batches), pa.timestamp("us", "UTC")
