@@ -15,6 +15,8 @@ from chronolith.session import materialize
 from tests.test_catalogue import plain
 from tests.test_linkage import SCHEMA, expected, postings, similarity
 
+NAMES = [c.split()[0] for c in re.sub(r"<[^>]*>", "", SCHEMA).split(",")]
+
 
 def test_many_tiles_give_what_the_loop_gives(spark, monkeypatch):
     monkeypatch.setattr(tiles, "ROWS", 9)
@@ -97,6 +99,35 @@ def test_packs_hold_all_of_their_rows(spark, monkeypatch):
     assert got == {str(k): (f"k{k % 3}", sets[k] or [], sets[59 - k] or []) for k in range(60)}
 
 
+@pytest.mark.parametrize("many", [5, 1000])
+def test_decisive_pairs_are_all_that_merge_or_are_left_for_review(spark, monkeypatch, many):
+    """Whatever the pairs have in common, and with places that differ but overlap or are missing."""
+    monkeypatch.setattr(tiles, "ROWS", many)
+    chance, rows = random.Random(11), []
+    for k, r in enumerate(postings(110, 7)):
+        places = chance.choice([["bern"], ["bern"], ["bern", "land"], []])
+        some = lambda p, n, c: sorted(f"{p}{x}" for x in range(n) if chance.random() < c)
+        title, text = chance.choice([some("t", 6, 0.8), [f"t{x}" for x in range(6)]]), chance.choice([some("x", 12, 0.75), [f"x{x}" for x in range(12)], some("x", 40, 0.5)])
+        shown = {"employer": chance.choice(["one", "two"]), "location": " ".join(places), "terms": chance.choice(["", "80", "80", "100"]), "title_tokens": title, "text_tokens": text, "location_tokens": places, "requisition": chance.choice([None, "", f"q{k % 40}"]), "url": f"u{k % 50}" if k % 4 == 0 else f"v{k}"}
+        rows.append({**dict(zip(NAMES, r)), **shown})
+    frame = spark.createDataFrame([tuple(r[n] for n in NAMES) for r in rows], SCHEMA)
+    told = lambda df: sorted((r.a, r.b, r.score, r.hard_key, r.barriers, r.outcome) for r in df.collect())
+    got, want = told(linkage.decisive_outcomes(frame)), told(linkage.candidate_outcomes(frame).where("outcome <> 'KEEP_SEPARATE'"))
+    assert got == want
+    by_id = {r["posting_id"]: r for r in rows}
+    alike = lambda a, b, f: bool(by_id[a][f]) and by_id[a][f] == by_id[b][f]
+    cases = {(outcome, alike(a, b, "location"), alike(a, b, "terms")) for a, b, _, hard, _, outcome in got if not hard}
+    assert cases >= {("AUTO_MERGE", True, True), ("REVIEW", True, True), ("REVIEW", True, False), ("REVIEW", False, True)}
+
+
+def test_a_cycle_makes_decisive_pairs_only(spark, chained, monkeypatch):
+    """Pairs that stay separate grow with the square of an employer's postings, and nothing that is published needs them."""
+    monkeypatch.setattr(linkage, "candidate_outcomes", lambda _: pytest.fail("all candidate pairs were made"))
+    monkeypatch.setattr(linkage.class_pairs, "__defaults__", (linkage.candidate_outcomes,))
+    assert catalogue.queries()["cycle_snapshot"](spark, chained[0]).count() == 1
+    assert catalogue.queries()["cycle_readiness"](spark, chained[0]).first().critical_dedup + 1
+
+
 @pytest.mark.parametrize("few", [0, 99])
 def test_wide_rows_stay_where_they_are_if_copies_are_few(spark, monkeypatch, few):
     monkeypatch.setattr(lookup, "FEW", few)
